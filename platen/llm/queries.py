@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platen.llm import simhash, warc
-from platen.llm.common import table
+from platen.llm import bpe, simhash, unigram, urls, warc
+from platen.llm.common import LOWER, UPPER, sha256_hex, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,8 +22,44 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {"op1_warc": op1_warc, "op2_simhash": op2_simhash}
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("word_bpe_49k.json")
+    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), sha256_hex(F.col("decoded")).alias("decoded_sha256"))
+
+
+#: Rules of op8: host, path, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Query] = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op6_bpe": op6_bpe, "op8_urls": op8_urls, "op10_tokens": op10_tokens}
 
 ORACLES: dict[str, str] = {
-    # SQL can digest and compare the payloads; the archives themselves it cannot write. X'..' base 32 is not in SQL, so no oracle.
+    "op8_urls": f"""
+        WITH urls AS (
+            SELECT page_id,
+                   translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), '{UPPER}', '{LOWER}') AS host,
+                   coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+            FROM pages),
+        rules(r_host, r_path, r_verdict) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+        fits AS (
+            SELECT page_id, r_host || r_path AS rule, r_verdict,
+                   row_number() OVER (PARTITION BY page_id ORDER BY length(r_host || r_path) DESC) AS n
+            FROM urls JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path))
+        SELECT urls.page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict
+        FROM urls LEFT JOIN (SELECT * FROM fits WHERE n = 1) f ON urls.page_id = f.page_id""",
 }
