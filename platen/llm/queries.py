@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platen.llm import bpe, simhash, unigram, urls, warc
+from platen.llm import bpe, chat, decontaminate, quality, simhash, unigram, urls, warc
 from platen.llm.common import LOWER, UPPER, sha256_hex, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,24 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha256_hex(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
+
+
+#: The conversation that op5 adds: control strings in both of its texts.
+CHAT_EXTRA = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame(CHAT_EXTRA, "conv_id long, turn long, role string, text string"))
+    read = chat.read_back(chat.format_conversations(turns))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    read = read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), told.alias("told"), F.array_join("learned", "").alias("learned"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return read.select("conv_id", "n_turns", sha256_hex(F.col("told")).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"), sha256_hex(F.col("learned")).alias("loss_sha256"), "formatted_chars")
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -34,6 +52,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), sha256_hex(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 #: Rules of op8: host, path, verdict.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -46,7 +68,23 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Query] = {"op1_warc": op1_warc, "op2_simhash": op2_simhash, "op6_bpe": op6_bpe, "op8_urls": op8_urls, "op10_tokens": op10_tokens}
+QUERIES: dict[str, Query] = {
+    "op1_warc": op1_warc, "op2_simhash": op2_simhash, "op4_decontaminate": op4_decontaminate, "op5_chat": op5_chat, "op6_bpe": op6_bpe,
+    "op7_quality": op7_quality, "op8_urls": op8_urls, "op10_tokens": op10_tokens,
+}
+
+
+def _escaped(column: str, template: chat.Template = chat.Template()) -> str:  # noqa: B008
+    sql = f"replace(coalesce({column}, ''), '\\', '\\\\')"
+    for mark in template.controls:
+        sql = f"replace({sql}, '{mark}', '{mark[0]}\\{mark[1:]}')"
+    return sql
+
+
+_T = chat.Template()
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+_SMALL_WORDS = rf"list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+_LIMITS = quality.Limits()
 
 ORACLES: dict[str, str] = {
     "op8_urls": f"""
@@ -62,4 +100,68 @@ ORACLES: dict[str, str] = {
             FROM urls JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path))
         SELECT urls.page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict
         FROM urls LEFT JOIN (SELECT * FROM fits WHERE n = 1) f ON urls.page_id = f.page_id""",
+    "op4_decontaminate": f"""
+        WITH w AS (SELECT doc_id, {_SMALL_WORDS} AS words FROM documents),
+        b AS (SELECT item_id, {_SMALL_WORDS} AS words FROM benchmark),
+        wins AS (
+            SELECT DISTINCT item_id, array_to_string(words[s:s + 9], ' ') AS win, least(len(words), 10) AS n
+            FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS s FROM b WHERE len(words) > 0)),
+        p AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS pos FROM w),
+        spans AS (SELECT doc_id, pos, n, array_to_string(words[pos:pos + n - 1], ' ') AS win FROM p, (SELECT DISTINCT n FROM wins) WHERE pos + n - 1 <= len(words)),
+        found AS (SELECT doc_id, pos, spans.n, item_id FROM spans JOIN wins ON spans.win = wins.win),
+        hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS k FROM found) GROUP BY doc_id),
+        own AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM found) GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM w LEFT JOIN hit ON w.doc_id = hit.doc_id LEFT JOIN own ON w.doc_id = own.doc_id""",
+    "op5_chat": f"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT * FROM (VALUES {", ".join(str(r) for r in CHAT_EXTRA)})),
+        m AS (
+            SELECT *, coalesce(lag(role) OVER o <> role, true) AS first, {_escaped("role")} AS e_role, {_escaped("text")} AS e_text
+            FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text))
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length(e_text) + CASE WHEN first THEN length(e_role) + {len(_T.open + _T.role_end + _T.close)} ELSE {len(_T.between)} END) AS BIGINT) AS formatted_chars
+        FROM m GROUP BY conv_id""",
+    "op7_quality": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS host, {_WORDS} AS words FROM documents),
+        l AS (
+            SELECT doc_id, host, unnest(raw) AS raw
+            FROM (SELECT doc_id, host, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS raw FROM d)),
+        h AS (
+            SELECT doc_id, host, raw, md5(trim(regexp_replace(lower(raw), '[0-9]+', '0', 'g'), ' ')) AS line,
+                   len(list_filter(string_split_regex(raw, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS n
+            FROM l),
+        own AS (SELECT doc_id, host, line, sum(n) AS n FROM h GROUP BY ALL),
+        ends AS (
+            SELECT a.doc_id, a.host, a.line, a.n, min(b.line) AS low, max(b.line) AS high
+            FROM own a LEFT JOIN own b ON a.doc_id = b.doc_id AND a.line <> b.line GROUP BY ALL),
+        free AS (
+            SELECT host, line, count(*) AS n
+            FROM (SELECT *, count(*) OVER (PARTITION BY host, line, low) AS lows, count(*) OVER (PARTITION BY host, line, high) AS highs FROM ends WHERE low IS NOT NULL)
+            WHERE lows = 1 AND highs = 1 GROUP BY host, line),
+        often AS (
+            SELECT free.host, line FROM free JOIN (SELECT host, count(*) AS n FROM d GROUP BY host) t ON free.host = t.host
+            WHERE free.n > {_LIMITS.least_docs} AND free.n > {_LIMITS.share_of_host} * t.n),
+        gone AS (SELECT doc_id, sum(n) AS n FROM own JOIN often ON own.host = often.host AND own.line = often.line GROUP BY doc_id),
+        dups AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n FROM h GROUP BY doc_id),
+        win AS (
+            SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, win) AS c
+            FROM (SELECT doc_id, pos, array_to_string(words[pos:pos + 7], ' ') AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS pos FROM d))),
+        reps AS (SELECT doc_id, sum(gap) AS n FROM (SELECT doc_id, least(8, coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) - pos, 8)) AS gap FROM win WHERE c > 1) GROUP BY doc_id),
+        m AS (
+            SELECT d.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                   coalesce(dups.n, 0) AS n_dup_lines, coalesce(reps.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS n_removed_words
+            FROM d LEFT JOIN dups ON d.doc_id = dups.doc_id LEFT JOIN reps ON d.doc_id = reps.doc_id LEFT JOIN gone ON d.doc_id = gone.doc_id)
+        SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+               CAST(n_repeat_words AS BIGINT) AS n_repeat_words, CAST(n_removed_words AS BIGINT) AS n_removed_words,
+               n_words < {_LIMITS.least_words} OR 100 * n_repeat_words > {_LIMITS.repeat_percent} * n_words AS base_failed,
+               NOT (n_words < {_LIMITS.least_words} OR 100 * n_repeat_words > {_LIMITS.repeat_percent} * n_words)
+                   AND NOT (n_removed_words > 0 AND (n_words - n_removed_words < {_LIMITS.least_left} OR n_words - n_removed_words < {_LIMITS.share_left} * n_words)) AS kept
+        FROM m""",
 }
