@@ -9,6 +9,8 @@ text and every id once more, over the disk allowed for that, to save the repeats
 
 from __future__ import annotations
 
+import os
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -17,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes under the rolling hash; one cut in so many places; bytes that are hashed at once.
-WINDOW, ONE_IN, SLAB = 16, 1024, 1 << 20
-#: A worker's memory: bytes of kept chunks with their ids, and kept words.
-CHUNK_BYTES, WORDS, LONG_WORD = 48 << 20, 300_000, 64
+#: Bytes under the rolling hash; one cut in 2 to so many places; bytes that are hashed at once.
+WINDOW, CUT_BITS, SLAB = 16, 11, 1 << 20
+#: A worker's memory: bytes of kept chunks with their ids, kept words and parts of words, and bytes of the longest of these.
+CHUNK_BYTES, KEPT, LONG_WORD = 32 << 20, 200_000, 64
 #: Bytes of an Arrow batch that is handed back.
 OUT_BYTES = 8 << 20
 
@@ -39,7 +41,7 @@ def _roll() -> tuple[np.ndarray, np.ndarray]:
 
 
 def cuts(text: bytes) -> list[int]:
-    """Where a text is cut: after each window whose polynomial rolling hash has a chance of one in ONE_IN, between characters."""
+    """Where a text is cut: after each window whose polynomial rolling hash has a chance of one in 2 to CUT_BITS, between characters."""
     up, down = _roll()
     found: list[int] = []
     for at in range(0, len(text), SLAB):
@@ -51,7 +53,7 @@ def cuts(text: bytes) -> list[int]:
         ends = total[WINDOW - 1 :].copy()
         ends[1:] -= total[: len(total) - WINDOW]
         mixed = ends * down[: len(ends)] * np.uint64(0xBF58476D1CE4E5B9)
-        for end in (np.flatnonzero((mixed ^ (mixed >> np.uint64(29))) >> np.uint64(54) == 0) + WINDOW + start).tolist():
+        for end in (np.flatnonzero((mixed ^ (mixed >> np.uint64(29))) >> np.uint64(64 - CUT_BITS) == 0) + WINDOW + start).tolist():
             if end > at and end < len(text) and text[end] & 0xC0 != 0x80 and (not found or found[-1] < end):
                 found.append(end)
     return found
@@ -65,46 +67,103 @@ def chunks(text: bytes) -> list[bytes]:
 SPACE = (b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c")
 
 
+#: Bytes of plain text: ASCII but for control characters and what contractions and special tokens start with, and Latin-1 letters.
+PLAIN = bytes(b for b in range(0x20, 0x7F) if b not in b"'|") + b"\t\n\v\f\r\xc3" + bytes(range(0x80, 0xC0))
+#: Runs of letters, and of digits and marks, of plain text. None goes on across the end of another, so each encodes by itself.
+PARTS = re.compile(rb"[A-Za-z\x80-\xff]+|[!-&(-@\[-`{}~]+")
+
+
+def is_plain(text: bytes) -> bool:
+    return not text.translate(None, PLAIN) and b"\xc3\x97" not in text and b"\xc3\xb7" not in text
+
+
+class Kept:
+    """A memo of the latest entries: when the young ones are full they grow old, and the old ones that nobody asked for go."""
+
+    def __init__(self) -> None:
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def get(self, key: bytes) -> bytes | None:
+        ids = self.young.get(key)
+        if ids is None and (ids := self.old.get(key)) is not None:
+            self.put(key, ids)
+        return ids
+
+    def put(self, key: bytes, ids: bytes) -> None:
+        if len(key) <= LONG_WORD:
+            if len(self.young) >= KEPT:
+                self.old, self.young = self.young, {}
+            self.young[key] = ids
+
+
 class Encoder:
     """Encodes whole texts as the tokenizers library does, by way of shared chunks.
 
     It is for tokenizers that drop white space: then a word between white space encodes by itself, which the agreement of
-    each repaired join confirms; a text that can't be confirmed is encoded whole.
+    each repaired join confirms; a text that can't be confirmed is encoded whole. The runs of letters and of marks that
+    plain chunks consist of, and other words, are kept as well.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words: dict[bytes, bytes] = {}
+        self.words, self.parts = Kept(), Kept()
         self.chunks: dict[bytes, bytes] = {}
         self.held = self.reused = self.encoded = 0
+        mark = self.tokenizer.encode("\1", add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else -1
 
     def _fresh(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
-    def learn(self, words: set[bytes]) -> None:
-        """Encode words that aren't kept yet, all at once; what is kept stays under the bound."""
-        new = [w for w in words if w not in self.words and len(w) <= LONG_WORD]
-        if len(self.words) + len(new) > WORDS:
-            self.words.clear()
-        for at in range(0, len(new), WORDS):
-            part = new[at : at + WORDS]
-            self.words.update(zip(part, self._fresh(part), strict=True))
-
-    def of_words(self, words: list[bytes]) -> bytes:
-        get, out = self.words.get, []
-        for w in words:
-            ids = get(w)
-            if ids is None:
-                ids = self._fresh([w])[0]
-                if len(w) <= LONG_WORD and len(self.words) < WORDS:
-                    self.words[w] = ids
-            out.append(ids)
-        return b"".join(out)
+    def _each(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of many parts of plain words: in texts of some hundred, with a mark between them that has one id of its own."""
+        out: list[bytes] = []
+        for at in range(0, len(parts), 256):
+            part = parts[at : at + 256]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" \1 ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            edges = [-1, *np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            if len(edges) != len(part) + 1:
+                out += self._fresh(part)
+                continue
+            data = ids.tobytes()
+            out += [data[4 * a + 4 : 4 * b] for a, b in zip(edges, edges[1:], strict=False)]
+        return out
+
+    def learn(self, texts: list[bytes]) -> None:
+        """Encode the parts that are new in some texts at once."""
+        seen: set[bytes] = set()
+        for text in texts:
+            seen.update(PARTS.findall(text.lower()))
+        new = [x for x in seen.difference(self.parts.young) if self.parts.get(x) is None]
+        for x, ids in zip(new, self._each(new), strict=True):
+            self.parts.put(x, ids)
+
+    def of_parts(self, plain: bytes) -> bytes:
+        parts = PARTS.findall(plain.lower())
+        found = list(map(self.parts.young.get, parts))
+        if None in found:
+            found = [ids if ids is not None else self._kept(self.parts, x) for x, ids in zip(parts, found, strict=True)]
+        return b"".join(found)
+
+    def _kept(self, kept: Kept, text: bytes) -> bytes:
+        ids = kept.get(text)
+        if ids is None:
+            ids = self._fresh([text])[0]
+            kept.put(text, ids)
+        return ids
+
+    def of_word(self, word: bytes) -> bytes:
+        return self.of_parts(word) if is_plain(word) else self._kept(self.words, word)
+
+    def of_words(self, text: bytes) -> bytes:
+        return self.of_parts(text) if is_plain(text) else b"".join([self.of_word(w) for w in text.split()])
 
     def of_chunk(self, chunk: bytes) -> bytes:
         ids = self.chunks.get(chunk)
@@ -112,7 +171,7 @@ class Encoder:
             self.reused += 1
             return ids
         self.encoded += 1
-        ids = self.of_words(chunk.split())
+        ids = self.of_words(chunk)
         self.held += len(chunk) + len(ids) + 150
         if self.held > CHUNK_BYTES:
             self.chunks.clear()
@@ -127,33 +186,32 @@ class Encoder:
 
         def cut_off() -> bool:
             """Take the ids of the open word off the end; False if they aren't what it ends in."""
-            left = self.of_words([open_word])
-            if not pending and left:
+            if not pending and (left := self.of_word(open_word)):
                 if not done or not done[-1].endswith(left):
                     return False
                 done[-1] = done[-1][: len(done[-1]) - len(left)]
             return True
 
         for chunk in chunks(text):
-            words, closed = chunk.split(), chunk[-1:] in SPACE
+            words, closed = [*chunk.split(None, 1)[:1], *chunk.rsplit(None, 1)[1:]], chunk[-1:] in SPACE
             if open_word and chunk[:1] not in SPACE:
                 if not cut_off():
                     return self._whole(text)
                 if len(words) == 1 and not closed:  # the word goes on through the whole chunk; it is encoded when it ends
                     open_word, pending = open_word + chunk, True
                     continue
-                ids, right = self.of_chunk(chunk), self.of_words(words[:1])
+                ids, right = self.of_chunk(chunk), self.of_word(words[0])
                 if not ids.startswith(right):
                     return self._whole(text)
-                done += [self.of_words([open_word + words[0]]), ids[len(right) :]]
+                done += [self.of_word(open_word + words[0]), ids[len(right) :]]
             else:
                 if pending:
-                    done.append(self.of_words([open_word]))
+                    done.append(self.of_word(open_word))
                 if words:
                     done.append(self.of_chunk(chunk))
             open_word, pending = b"" if closed or not words else words[-1], False
         if pending:
-            done.append(self.of_words([open_word]))
+            done.append(self.of_word(open_word))
         return b"".join(done)
 
     def _whole(self, text: bytes) -> bytes:
@@ -183,7 +241,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             texts, at, out, size = batch.column(1).to_pylist(), 0, [], 0
             for step in range(0, len(texts), 256):
                 part = texts[step : step + 256]
-                enc.learn(set().union(*(t.split() for t in part if t)))
+                enc.learn([t for t in part if t])
                 for text in part:
                     out.append(enc.encode(text or b""))
                     size += len(out[-1])
