@@ -5,21 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platen.llm import simhash
-from platen.llm.common import table, written
+from platen.llm import bpe, decontaminate, quality, simhash, toxicity
+from platen.llm.common import small, table, written
+from platen.llm.queries import TOXIC, tokenizer_path
+
+#: Rejected ids are broadcast up to so many; beyond, the join shuffles.
+BROADCAST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, rejected: DataFrame, label: str) -> DataFrame:
+    """The rows whose doc_id isn't among the rejected ones: the table of rejections is small, so texts needn't move."""
+    ids = small(written(rejected.select("doc_id").distinct(), f"rejected-{label}"), BROADCAST_IDS)
+    return docs.join(ids.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules, or that are depleted by the removal of frequent lines, go."""
+    return without(docs, quality.judge(docs).where("not kept"), "quality")
+
+
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score of TOXIC or more go; the model learns from the labels of what is left."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return without(docs, toxicity.score(docs, model).where(F.col("score") >= TOXIC), "toxic")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies stays, that with the smallest id: five-word shingles, similarity of 0.8 or more."""
     search = simhash.Search.similar(docs.count())
-    found = simhash.near_duplicates(docs.select("doc_id", "text"), 5, search)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(docs.columns)
+    found = simhash.near_duplicates(docs, 5, search)
+    return without(docs, found.where("doc_id <> component_id"), "copies")
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return without(docs, found.where("contaminated"), "benchmark")
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), and digests of the ids and of the text decoded from them."""
+    path = tokenizer_path("word_bpe_49k.json")
+    both = bpe.decode(bpe.encode(docs, path), path)
+    return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "ids")
 
 
-STAGES = [("simhash", near_duplicates)]
+STAGES = [("quality", quality_rules), ("toxicity", toxic_documents), ("simhash", near_duplicates), ("decontamination", benchmark_passages), ("bpe", token_ids)]
 
-#: SQL has neither the hashes of the fingerprints nor the scores of the fitted model.
+#: SQL has neither the fitted model, nor the hashes of the fingerprints, nor the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

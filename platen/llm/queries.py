@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platen.llm import bpe, chat, decontaminate, quality, simhash, unigram, urls, warc
+from platen.llm import bpe, chat, decontaminate, licenses, quality, simhash, toxicity, unigram, urls, warc
 from platen.llm.common import LOWER, UPPER, sha256_hex, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha256_hex(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
@@ -64,13 +68,24 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
 
+#: A score from which a document is predicted toxic.
+TOXIC = 0.3
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), "spans")
+
+
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 QUERIES: dict[str, Query] = {
-    "op1_warc": op1_warc, "op2_simhash": op2_simhash, "op4_decontaminate": op4_decontaminate, "op5_chat": op5_chat, "op6_bpe": op6_bpe,
-    "op7_quality": op7_quality, "op8_urls": op8_urls, "op10_tokens": op10_tokens,
+    "op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_licenses": op3_licenses, "op4_decontaminate": op4_decontaminate, "op5_chat": op5_chat, "op6_bpe": op6_bpe,
+    "op7_quality": op7_quality, "op8_urls": op8_urls, "op9_toxicity": op9_toxicity, "op10_tokens": op10_tokens,
 }
 
 
