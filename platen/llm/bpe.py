@@ -22,9 +22,7 @@ from pyspark.sql import functions as F
 #: Bytes under the rolling hash; one cut in 2 to so many places; bytes that are hashed at once.
 WINDOW, CUT_BITS, SLAB = 16, 11, 1 << 20
 #: A worker's memory: bytes of kept chunks with their ids, kept words and parts of words, and bytes of the longest of these.
-CHUNK_BYTES, KEPT, LONG_WORD = 32 << 20, 200_000, 64
-#: Bytes of an Arrow batch that is handed back.
-OUT_BYTES = 8 << 20
+CHUNK_BYTES, KEPT, LONG_WORD = 24 << 20, 150_000, 64
 
 _BASE = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = []
@@ -228,41 +226,43 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, *, with_decoded: bool = False) -> DataFrame:
     """(doc_id, ids): ids is binary, little-endian unsigned 32-bit integers; a row for each row of docs (doc_id, text).
 
-    path is a tokenizer's JSON file on every executor. Null text counts as empty, which has no ids; repeated rows
-    stay; other columns are ignored.
+    path is a tokenizer's JSON file on every executor. With with_decoded, decode()'s column decoded is made by the same worker,
+    which saves the memory of a second one. Null text counts as empty, which has no ids; repeated rows stay; other columns
+    are ignored.
     """
+    names = ["doc_id", "ids", *["decoded"] * with_decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            texts, at, out, size = batch.column(1).to_pylist(), 0, [], 0
-            for step in range(0, len(texts), 256):
-                part = texts[step : step + 256]
-                enc.learn([t for t in part if t])
-                for text in part:
-                    out.append(enc.encode(text or b""))
-                    size += len(out[-1])
-                if size > OUT_BYTES:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(out)), pa.array(out, pa.binary())], ["doc_id", "ids"])
-                    at, out, size = at + len(out), [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(out)), pa.array(out, pa.binary())], ["doc_id", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [t or b"" for t in part.column(1).to_pylist()]
+                enc.learn(texts)
+                ids = [enc.encode(t) for t in texts]
+                columns = [part.column(0), pa.array(ids, pa.binary())]
+                if with_decoded:
+                    columns.append(pa.array(_decoded(enc, ids), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = "doc_id long, ids binary" + ", decoded string" * with_decoded
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+
+
+def _decoded(enc: Encoder, ids: list[bytes]) -> list[str]:
+    return [enc.tokenizer.decode(np.frombuffer(x or b"", "<u4").tolist(), skip_special_tokens=False) for x in ids]
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids) to (doc_id, ids, decoded), as the library decodes, special tokens included; null ids are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = encoder(path).tokenizer
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = [np.frombuffer(x or b"", "<u4").tolist() for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(tokenizer.decode_batch(ids, skip_special_tokens=False), pa.string())], ["doc_id", "ids", "decoded"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(_decoded(encoder(path), part.column(1).to_pylist()), pa.string())], ["doc_id", "ids", "decoded"])
 
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded string")
