@@ -1,0 +1 @@
+"""Incremental reading of image files."""
