@@ -36,3 +36,21 @@ def best_class(scores: DataFrame) -> DataFrame:
     best = F.when(s[3] == top, 3).when(s[2] == top, 2).when(s[1] == top, 1).otherwise(0)
     total = sum((F.exp(x - top) for x in s[1:]), F.exp(s[0] - top))
     return scores.select("img", best.cast("long").alias("cls"), (1 / total).alias("chance"), ((4 - best) % 4).cast("long").alias("turns"))
+
+
+def decide(found: DataFrame, *, text: bool = False, force_rectangular: bool = False, safezone: bool = False, no_deskew: bool = False, no_doc_orient: bool = False, rect_threshold: float = 0.30) -> DataFrame:
+    """The decision on each object: (obj, use_text, fit, padded, source, angle_deg, theta, turns).
+
+    found: obj, rectangularity, clipped, holes, text_angle, mask_angle, flip (null: no vote), doc_turns (null: no model).
+    A text angle counts only where text is used, and goes before the mask's; theta is a single-precision angle in radians.
+    """
+    odd = F.lit(False) if force_rectangular else F.coalesce(F.col("rectangularity") < rect_threshold, F.lit(False))
+    use_text = F.lit(True) if text else odd | (F.col("clipped") >= 2)
+    text_angle = F.when(use_text, F.col("text_angle"))
+    angle = F.coalesce(text_angle, F.col("mask_angle"))
+    theta = F.lit(0.0) if no_deskew else F.coalesce(-F.radians(angle.cast("float")), F.lit(0.0))
+    by_model = F.lit(0) if no_doc_orient else F.coalesce("doc_turns", F.lit(0))
+    turns = F.lit(0) if no_deskew else F.when(use_text, F.when(F.col("flip"), 2).otherwise(0)).otherwise(by_model)
+    source = F.when(text_angle.isNotNull(), "text").when(F.col("mask_angle").isNotNull(), "mask").otherwise("none")
+    fit = F.lit("max") if safezone else F.when(odd, "max").otherwise("min")
+    return found.select("obj", use_text.alias("use_text"), fit.alias("fit"), (odd | (F.col("holes") > 0)).alias("padded"), source.alias("source"), angle.alias("angle_deg"), theta.cast("float").alias("theta"), turns.cast("long").alias("turns"))

@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from platen.functions.angles import orientation_distance, wrap_orientation
-from platen.operators import crops, objects, votes
+from platen.functions.angles import long_axis_degrees, orientation_distance, wrap_orientation
+from platen.operators import crops, objects, rectangles, votes
 from platen.sources import outputs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: An image of the raster: 8 x 8. Foreground from this alpha; lowest alpha of components.
 SIDE, CUTOFF = 8, 153
+#: Instances merge over this overlap.
+MERGE = 0.3
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -139,7 +141,68 @@ def detector_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_paths(spark, sf_dir).select("page_id", w.alias("out_w"), h.alias("out_h"))
 
 
+#: Cosine and sine of a Pythagorean turn, times its scale, by the remainder of the object's number: exact in whole numbers.
+TURNS = [(1, 0), (4, 3), (12, 5), (24, 7)]
+
+
+def turned_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(obj, x, y long): the quantities and discounts of a supplier as points of a turned object."""
+    p = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("obj"), F.col("l_quantity").cast("long").alias("px"), F.round(F.col("l_discount") * 100).cast("long").alias("py")).distinct()
+    c, s = (F.element_at(F.array(*(F.lit(t[k]) for t in TURNS)), (F.col("obj") % 4 + 1).cast("int")) for k in (0, 1))
+    return p.select("obj", (c * F.col("px") - s * F.col("py")).alias("x"), (s * F.col("px") + c * F.col("py")).alias("y"))
+
+
+def min_area_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = rectangles.least_rectangles(turned_points(spark, sf_dir))
+    degrees = long_axis_degrees(F.col("w"), F.col("h"), F.atan2("uy", "ux"))
+    return r.select("obj", F.round(F.col("w") * F.col("h"), 4).alias("area"), F.round(F.greatest("w", "h"), 4).alias("long_side"), F.round(F.least("w", "h"), 4).alias("short_side"), F.round(degrees, 4).alias("long_axis"))
+
+
+def rectangularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = turned_points(spark, sf_dir)
+    return rounded(rectangles.rectangularity(points, rectangles.least_rectangles(points)), ["side_support", "rectangularity"])
+
+
+def polygon_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    area, perimeter = rectangles.polygon_measures(F.col("q"))
+    r = rectangles.least_rectangles(turned_points(spark, sf_dir)).select("obj", rectangles.corners().alias("q"))
+    return r.select("obj", F.round(area, 4).alias("area"), F.round(perimeter, 4).alias("perimeter"))
+
+
+def unclip_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = rectangles.unclipped(rectangles.least_rectangles(turned_points(spark, sf_dir)))
+    return r.select("obj", F.round(F.greatest("w", "h"), 4).alias("long_side"), F.round(F.least("w", "h"), 4).alias("short_side"))
+
+
+def box_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of a fixed quad of each image."""
+    p = alpha_raster(spark, sf_dir).select("img", "y", "x", (F.col("alpha") / 255).alias("p"))
+    quad = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in [(1, 1), (6, 2), (5, 6), (0, 5)]))
+    quads = p.select("img").distinct().select("img", F.lit(0).alias("box"), quad.alias("q"))
+    return rounded(rectangles.box_scores(p, quads), ["score"], 6)
+
+
+def angle_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decision on each supplier's object: text angles from its lines as an order, flips by the parity of these, turns by its number."""
+    points = turned_points(spark, sf_dir)
+    r = rectangles.least_rectangles(points)
+    shape = rectangles.rectangularity(points, r)
+    mask = r.select("obj", long_axis_degrees(F.col("w"), F.col("h"), F.atan2("uy", "ux")).alias("mask_angle"))
+    text = robust_text_angle(spark, sf_dir).select("obj", F.col("angle_deg").alias("text_angle"))
+    all_of = shape.join(mask, "obj").join(text, "obj", "left").join(flip_vote(spark, sf_dir), "obj", "left")
+    found = votes.decide(all_of.withColumn("clipped", F.col("obj") % 3).withColumn("holes", F.col("obj") % 2).withColumn("doc_turns", F.col("obj") % 4), rect_threshold=0.8)
+    return found.select("obj", "use_text", "fit", "padded", "source", F.round("angle_deg", 3).alias("angle_deg"), "turns")
+
+
 QUERIES: dict[str, Query] = {
+    "min_area_rect": min_area_rect,
+    "rectangularity": rectangularity,
+    "polygon_measures": polygon_measures,
+    "unclip_rect": unclip_rect,
+    "box_score": box_score,
+    "angle_decision": angle_decision,
+    "hole_count": lambda s, d: objects.hole_counts(labelled(s, d)),
+    "iou_merge": lambda s, d: objects.merged_instances(instance_masks(s, d), MERGE),
     "component_objects": component_objects,
     "alpha_foreground": foreground,
     "min_side_filter": min_side_filter,
@@ -191,7 +254,66 @@ _BOUNDS = """turned AS (
 bounds AS (SELECT img, label, min(u) AS min_x, min(v) AS min_y, max(u) AS max_x, max(v) AS max_y FROM turned GROUP BY img, label)"""
 _SIZE = "CAST(greatest(round({0} * least(1.0::DOUBLE, 960.0::DOUBLE / greatest(w, h)) / 32) * 32, 32) AS BIGINT)"
 
+_RECTS = f"""x3 AS (
+    SELECT obj, c * px - s * py AS x, s * px + c * py AS y, py = min(py) OVER (PARTITION BY obj, px) OR py = max(py) OVER (PARTITION BY obj, px) AS outer_point
+    FROM (SELECT DISTINCT l_suppkey AS obj, CAST(l_quantity AS BIGINT) AS px, CAST(round(l_discount * 100) AS BIGINT) AS py,
+                 ({[t[0] for t in TURNS]})[CAST(l_suppkey % 4 + 1 AS INTEGER)] AS c, ({[t[1] for t in TURNS]})[CAST(l_suppkey % 4 + 1 AS INTEGER)] AS s FROM lineitem)),
+e AS (SELECT obj, x, y FROM x3 WHERE outer_point),
+edges AS (
+    SELECT a.obj, a.x AS ax, a.y AS ay, b.x - a.x AS dx, b.y - a.y AS dy FROM e a JOIN e b ON a.obj = b.obj AND (a.x <> b.x OR a.y <> b.y) JOIN e c ON a.obj = c.obj
+    GROUP BY ALL HAVING min((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) >= 0 AND max((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) > 0),
+directions AS (SELECT DISTINCT obj, dx / sqrt(dx * dx + dy * dy) AS ux, dy / sqrt(dx * dx + dy * dy) AS uy FROM edges),
+fits AS (
+    SELECT d.obj, ux, uy, min(x * ux + y * uy) AS u0, max(x * ux + y * uy) AS u1, min(y * ux - x * uy) AS v0, max(y * ux - x * uy) AS v1
+    FROM directions d JOIN e ON d.obj = e.obj GROUP BY d.obj, ux, uy),
+rects AS (
+    SELECT obj, ux, uy, round(u0, 9) AS u0, round(v0, 9) AS v0, round(u1 - u0, 9) AS w, round(v1 - v0, 9) AS h FROM fits
+    QUALIFY row_number() OVER (PARTITION BY obj ORDER BY round((u1 - u0) * (v1 - v0), 6), 270 - (((270 - degrees(atan2(uy, ux))) % 360) + 360) % 360) = 1)"""
+_AXIS = _WRAP.format("degrees(atan2(uy, ux)) + CASE WHEN w >= h THEN 0 ELSE 90 END")
+_SUPPORT = """near AS (
+    SELECT r.*, round(x * ux + y * uy - u0, 6) AS u, round(y * ux - x * uy - v0, 6) AS v, least(greatest(least(w, h) * 0.03, 1.0::DOUBLE), 4.0::DOUBLE) AS eps,
+           least(greatest(ceil(w / 8), 4), 64) AS nw, least(greatest(ceil(h / 8), 4), 64) AS nh FROM x3 JOIN rects r ON x3.obj = r.obj),
+places AS (
+    SELECT *, least(floor(least(greatest(u / w, 0.0::DOUBLE), 1.0::DOUBLE) * nw), nw - 1) AS pu, least(floor(least(greatest(v / h, 0.0::DOUBLE), 1.0::DOUBLE) * nh), nh - 1) AS pv,
+           u BETWEEN -eps AND w + eps AS in_u, v BETWEEN -eps AND h + eps AS in_v FROM near),
+support AS (
+    SELECT obj, count(*) AS area, any_value(w) AS w, any_value(h) AS h,
+           CASE WHEN any_value(w) < 1 OR any_value(h) < 1 THEN 0 ELSE (count(DISTINCT pu) FILTER (in_u AND abs(v) <= eps) / any_value(nw) + count(DISTINCT pu) FILTER (in_u AND abs(h - v) <= eps) / any_value(nw)
+           + count(DISTINCT pv) FILTER (in_v AND abs(u) <= eps) / any_value(nh) + count(DISTINCT pv) FILTER (in_v AND abs(w - u) <= eps) / any_value(nh)) / 4 END AS support
+    FROM places GROUP BY obj),
+shape AS (SELECT obj, support AS side_support, 0.25::DOUBLE * least(area / ((w + 1) * (h + 1)), 1.0::DOUBLE) + 0.75::DOUBLE * support AS rectangularity FROM support)"""
+
 ORACLES: dict[str, str] = {
+    "min_area_rect": f"WITH {_RECTS} SELECT obj, round(w * h, 4) AS area, round(greatest(w, h), 4) AS long_side, round(least(w, h), 4) AS short_side, round({_AXIS}, 4) AS long_axis FROM rects",
+    "rectangularity": f"WITH {_RECTS}, {_SUPPORT} SELECT obj, round(side_support, 4) AS side_support, round(rectangularity, 4) AS rectangularity FROM shape",
+    "polygon_measures": f"WITH {_RECTS} SELECT obj, round(w * h, 4) AS area, round(2 * (w + h), 4) AS perimeter FROM rects",
+    "unclip_rect": f"WITH {_RECTS}, d AS (SELECT obj, w, h, w * h * 1.4::DOUBLE / (w + h) AS d FROM rects) SELECT obj, round(greatest(w, h) + d, 4) AS long_side, round(least(w, h) + d, 4) AS short_side FROM d",
+    "box_score": f"""WITH {_X1} SELECT img, 0 AS box, round(avg(alpha / 255.0::DOUBLE), 6) AS score FROM x1
+        WHERE 5 * (y - 1) - (x - 1) >= 0 AND -(y - 2) - 4 * (x - 6) >= 0 AND -5 * (y - 6) + (x - 5) >= 0 AND (y - 5) + 4 * x >= 0 GROUP BY img""",
+    "hole_count": f"""WITH RECURSIVE {_LABELS},
+        free AS (SELECT o.img, o.label, o.min_x, o.max_x, o.min_y, o.max_y, CAST(a.y AS INTEGER) AS y, CAST(b.x AS INTEGER) AS x FROM objects o, range({SIDE}) a(y), range({SIDE}) b(x)
+                 WHERE a.y BETWEEN min_y AND max_y AND b.x BETWEEN min_x AND max_x AND NOT EXISTS (SELECT 1 FROM labelled l WHERE l.img = o.img AND l.label = o.label AND l.y = a.y AND l.x = b.x)),
+        spread(img, label, y, x, s) AS (
+            SELECT img, label, y, x, y * {SIDE} + x FROM free
+            UNION
+            SELECT f.img, f.label, f.y, f.x, s.s FROM spread s JOIN free f ON f.img = s.img AND f.label = s.label AND abs(f.y - s.y) + abs(f.x - s.x) = 1),
+        regions AS (SELECT img, label, y, x, min(s) AS s FROM spread GROUP BY img, label, y, x),
+        inner_ones AS (SELECT r.img, r.label, r.s FROM regions r JOIN free f USING (img, label, y, x) GROUP BY ALL HAVING NOT bool_or(y IN (min_y, max_y) OR x IN (min_x, max_x)))
+        SELECT o.img, o.label, count(i.s) AS holes FROM objects o LEFT JOIN inner_ones i ON i.img = o.img AND i.label = o.label GROUP BY o.img, o.label""",
+    "iou_merge": f"""WITH RECURSIVE {_X5}, n AS (SELECT img, inst, count(*) AS n FROM x5 GROUP BY img, inst),
+        i AS (SELECT p.img, p.inst AS a, q.inst AS b, count(*) AS i FROM x5 p JOIN x5 q ON p.img = q.img AND p.y = q.y AND p.x = q.x AND p.inst <> q.inst GROUP BY ALL),
+        near AS (SELECT i.img, a, b FROM i JOIN n p ON p.img = i.img AND p.inst = a JOIN n q ON q.img = i.img AND q.inst = b WHERE i / (p.n + q.n - i) > {MERGE}),
+        spread(img, inst, root) AS (SELECT img, inst, inst FROM n UNION SELECT s.img, near.b, s.root FROM spread s JOIN near ON near.img = s.img AND near.a = s.inst)
+        SELECT img, inst, min(root) AS root FROM spread GROUP BY img, inst""",
+    "angle_decision": f"""WITH {_RECTS}, {_SUPPORT}, {_X4},
+        a AS (SELECT obj, arg_max(angle, struct_pack(l := length, p := pos)) AS anchor FROM x4 GROUP BY obj),
+        t AS (SELECT x4.obj, anchor, sum(length * length * ({_WRAP.format("angle - anchor")})) FILTER ({_DIST.format("angle - anchor")} <= 10) / sum(length * length) FILTER ({_DIST.format("angle - anchor")} <= 10) AS d
+              FROM x4 JOIN a ON x4.obj = a.obj GROUP BY x4.obj, anchor HAVING sum(length) > 0),
+        f AS (SELECT obj, count(*) FILTER (pos % 2 = 1 AND {_DIST.format("angle")} <= 45) > count(*) FILTER (pos % 2 = 0 AND {_DIST.format("angle")} <= 45) AS flip FROM lines GROUP BY obj),
+        g AS (SELECT s.obj, rectangularity < 0.8 AS odd, rectangularity < 0.8 OR s.obj % 3 >= 2 AS use_text, round({_WRAP.format("anchor + d")}, 4) AS text_angle, {_AXIS} AS mask_angle, coalesce(flip, false) AS flip
+              FROM shape s JOIN rects r ON r.obj = s.obj LEFT JOIN t ON t.obj = s.obj LEFT JOIN f ON f.obj = s.obj)
+        SELECT obj, use_text, CASE WHEN odd THEN 'max' ELSE 'min' END AS fit, odd OR obj % 2 > 0 AS padded, CASE WHEN use_text AND text_angle IS NOT NULL THEN 'text' ELSE 'mask' END AS source,
+               round(CASE WHEN use_text THEN coalesce(text_angle, mask_angle) ELSE mask_angle END, 3) AS angle_deg, CAST(CASE WHEN NOT use_text THEN obj % 4 WHEN flip THEN 2 ELSE 0 END AS BIGINT) AS turns FROM g""",
     "component_objects": f"WITH RECURSIVE {_LABELS} SELECT img, obj_idx, label, area, min_x, min_y, max_x, max_y FROM objects",
     "alpha_foreground": f"WITH {_X1} SELECT img, y, x, alpha FROM x1 WHERE alpha >= {CUTOFF}",
     "min_side_filter": f"WITH RECURSIVE {_LABELS} SELECT img, obj_idx, area FROM objects WHERE greatest(max_x - min_x, max_y - min_y) + 1 >= 0.3 * {SIDE}",
