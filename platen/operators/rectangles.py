@@ -73,6 +73,31 @@ def polygon_measures(polygon: Column) -> tuple[Column, Column]:
     return area, total(F.transform(polygon, lambda p, i: F.hypot(following(i)["x"] - p["x"], following(i)["y"] - p["y"])))
 
 
+def body_rectangles(points: DataFrame, rectangles: DataFrame) -> DataFrame:
+    """Rectangles at the same angle around an object's body: thin parts that stick out don't count. For objects that are rectangular.
+
+    In the rectangle's frame, each whole column has a least and a greatest place across, each whole row one along. A slice
+    votes for its two places, rounded, with its extent as weight (1 at least); a side goes where the votes for it are most, of ties
+    outwards. An axis without extent keeps the rectangle's own. Votes are sums by object, slice and place,
+    joined before each shuffle; sums are rounded, so that their order doesn't matter.
+    """
+    framed = points.join(rectangles, "obj").select("obj", F.round(F.col("x") * F.col("ux") + F.col("y") * F.col("uy"), 6).alias("u"), F.round(F.col("y") * F.col("ux") - F.col("x") * F.col("uy"), 6).alias("v"))
+    cut = F.explode(F.array(*(F.struct(F.lit(axis).alias("axis"), F.round(F.col(key)).cast("long").alias("key"), F.col(axis).alias("at")) for axis, key in (("u", "v"), ("v", "u")))))
+    slices = framed.select("obj", cut.alias("c")).groupBy("obj", "c.axis", "c.key").agg(F.min("c.at").alias("low"), F.max("c.at").alias("high"))
+    weight = F.greatest(F.col("high") - F.col("low"), F.lit(1.0))
+    ends = F.explode(F.array(*(F.struct(F.lit(sign).alias("sign"), F.round(F.col(end)).cast("long").alias("place")) for sign, end in ((-1, "low"), (1, "high")))))
+    voted = slices.select("obj", "axis", weight.alias("weight"), ends.alias("e")).groupBy("obj", "axis", "e.sign", "e.place").agg(F.round(F.sum("weight"), PLACES).alias("votes"))
+    best = lambda axis, sign: F.max(F.when((F.col("axis") == axis) & (F.col("sign") == sign), F.struct("votes", (F.col("place") * F.col("sign")).alias("out"))))["out"] * sign
+    sides = voted.groupBy("obj").agg(*(best(axis, sign).alias(f"{axis}{'low' if sign < 0 else 'high'}") for axis in "uv" for sign in (-1, 1)))
+
+    def side(axis: str, length: str) -> list[Column]:
+        low, extent = F.col(f"{axis}low").cast("double"), (F.col(f"{axis}high") - F.col(f"{axis}low")).cast("double")
+        return [F.when(extent > 0, low).otherwise(F.col(f"{axis}0")).alias(f"{axis}0"), F.when(extent > 0, extent).otherwise(F.col(length)).alias(length)]
+
+    (u0, w), (v0, h) = side("u", "w"), side("v", "h")
+    return rectangles.join(sides, "obj", "left").select("obj", "ux", "uy", u0, v0, w, h)
+
+
 def side_bins(length: Column) -> Column:
     return F.least(F.greatest(F.ceil(length / 8.0), F.lit(4)), F.lit(64)).cast("int")
 

@@ -158,6 +158,12 @@ def min_area_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("obj", F.round(F.col("w") * F.col("h"), 4).alias("area"), F.round(F.greatest("w", "h"), 4).alias("long_side"), F.round(F.least("w", "h"), 4).alias("short_side"), F.round(degrees, 4).alias("long_axis"))
 
 
+def body_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = turned_points(spark, sf_dir)
+    found = rectangles.body_rectangles(points, rectangles.least_rectangles(points))
+    return found.select("obj", *(F.round(c, 4).alias(c) for c in ("u0", "v0", "w", "h")))
+
+
 def rectangularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = turned_points(spark, sf_dir)
     return rounded(rectangles.rectangularity(points, rectangles.least_rectangles(points)), ["side_support", "rectangularity"])
@@ -196,6 +202,7 @@ def angle_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "min_area_rect": min_area_rect,
+    "body_rect": body_rect,
     "rectangularity": rectangularity,
     "polygon_measures": polygon_measures,
     "unclip_rect": unclip_rect,
@@ -285,6 +292,14 @@ shape AS (SELECT obj, support AS side_support, 0.25::DOUBLE * least(area / ((w +
 
 ORACLES: dict[str, str] = {
     "min_area_rect": f"WITH {_RECTS} SELECT obj, round(w * h, 4) AS area, round(greatest(w, h), 4) AS long_side, round(least(w, h), 4) AS short_side, round({_AXIS}, 4) AS long_axis FROM rects",
+    "body_rect": f"""WITH {_RECTS},
+        p AS (SELECT x3.obj, round(x * ux + y * uy, 6) AS u, round(y * ux - x * uy, 6) AS v FROM x3 JOIN rects r ON x3.obj = r.obj),
+        slices AS (SELECT obj, 'v' AS axis, round(u) AS key, min(v) AS low, max(v) AS high FROM p GROUP BY ALL UNION ALL SELECT obj, 'u', round(v) AS key, min(u), max(u) FROM p GROUP BY ALL),
+        ends AS (SELECT obj, axis, -1 AS sign, round(low) AS place, greatest(high - low, 1) AS weight FROM slices UNION ALL SELECT obj, axis, 1, round(high), greatest(high - low, 1) FROM slices),
+        best AS (SELECT obj, axis, sign, place, round(sum(weight), 9) AS votes FROM ends GROUP BY obj, axis, sign, place QUALIFY row_number() OVER (PARTITION BY obj, axis, sign ORDER BY round(sum(weight), 9) DESC, place * sign DESC) = 1),
+        sides AS (SELECT obj, max(place) FILTER (axis = 'u' AND sign < 0) AS ul, max(place) FILTER (axis = 'u' AND sign > 0) AS uh, max(place) FILTER (axis = 'v' AND sign < 0) AS vl, max(place) FILTER (axis = 'v' AND sign > 0) AS vh FROM best GROUP BY obj)
+        SELECT r.obj, round(CASE WHEN uh > ul THEN ul ELSE u0 END, 4) AS u0, round(CASE WHEN vh > vl THEN vl ELSE v0 END, 4) AS v0,
+               round(CASE WHEN uh > ul THEN uh - ul ELSE w END, 4) AS w, round(CASE WHEN vh > vl THEN vh - vl ELSE h END, 4) AS h FROM rects r JOIN sides s ON r.obj = s.obj""",
     "rectangularity": f"WITH {_RECTS}, {_SUPPORT} SELECT obj, round(side_support, 4) AS side_support, round(rectangularity, 4) AS rectangularity FROM shape",
     "polygon_measures": f"WITH {_RECTS} SELECT obj, round(w * h, 4) AS area, round(2 * (w + h), 4) AS perimeter FROM rects",
     "unclip_rect": f"WITH {_RECTS}, d AS (SELECT obj, w, h, w * h * 1.4::DOUBLE / (w + h) AS d FROM rects) SELECT obj, round(greatest(w, h) + d, 4) AS long_side, round(least(w, h) + d, 4) AS short_side FROM d",

@@ -6,7 +6,7 @@ from platen.operators import objects, rectangles, votes
 from platen.plans import queries
 from test_scans import SF, TABLES, same
 
-NAMES = ["min_area_rect", "rectangularity", "polygon_measures", "unclip_rect", "box_score", "hole_count", "iou_merge", "angle_decision"]
+NAMES = ["min_area_rect", "body_rect", "rectangularity", "polygon_measures", "unclip_rect", "box_score", "hole_count", "iou_merge", "angle_decision"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -30,6 +30,15 @@ def test_rectangles_of_a_bar_a_triangle_and_a_line(spark):
     assert found.limit(0).count() == rectangles.least_rectangles(points.limit(0)).count() == 0
 
 
+def test_body_leaves_out_a_spike(spark):
+    body = [(1, x, y) for x in range(60) for y in range(40) if x in (0, 59) or y in (0, 39)]
+    points = spark.createDataFrame([*body, *((1, 30, y) for y in range(40, 80))], "obj long, x long, y long")
+    whole = rectangles.least_rectangles(points)
+    (w,), (b,) = whole.collect(), rectangles.body_rectangles(points, whole).collect()
+    assert max(w.w, w.h) > 75
+    assert max(b.w, b.h) < 66 and min(b.w, b.h) > 30
+
+
 def test_unclip_moves_the_sides_and_keeps_the_angle(spark):
     r = spark.createDataFrame([(1, 1.0, 0.0, 0.0, 0.0, 40.0, 10.0)], "obj long, ux double, uy double, u0 double, v0 double, w double, h double")
     (row,) = rectangles.unclipped(r).collect()
