@@ -41,12 +41,18 @@ def windows_of(items: DataFrame, window: int = 10) -> DataFrame:
 
 
 def _tokens(docs: DataFrame, sizes: list[int]) -> DataFrame:
-    """(doc_id, rid, n_words, size, pos, token): the shingles of all documents."""
-    worded = docs.select("doc_id", "rid", folded_words(F.col("text")).alias("words"))
-    parts = [worded.select("doc_id", "rid", F.size("words").alias("n_words"), F.lit(n).alias("size"), F.posexplode(shingles(F.col("words"), n)).alias("pos", "token")) for n in sizes]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
+    """(doc_id, rid, n_words, size, pos, token): the shingles of all documents, with the hashes that shingles() gives.
+
+    Words and their followers are unnested side by side and hashed as rows: that is compiled, functions over arrays aren't.
+    """
+    worded = docs.select("doc_id", "rid", folded_words(F.col("text")).alias("words")).withColumn("n_words", F.size("words"))
+    fewer = F.greatest(F.col("n_words") - 1, F.lit(0))
+    out = None
+    for n in sizes:
+        ahead = [F.slice("words", F.lit(i + 1), fewer).alias(f"w{i}") for i in range(n)] if n > 1 else [F.col("words").alias("w0")]
+        rows = worded.select("doc_id", "rid", "n_words", *ahead).select("doc_id", "rid", "n_words", F.posexplode(F.arrays_zip(*(f"w{i}" for i in range(n)))).alias("pos", "x"))
+        part = rows.select("doc_id", "rid", "n_words", F.lit(n).alias("size"), "pos", F.xxhash64(*(f"x.w{i}" for i in range(n))).alias("token"))
+        out = part if out is None else out.unionAll(part)
     return out
 
 
