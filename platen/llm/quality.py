@@ -17,7 +17,7 @@ HAS_WORD = r"[^\x20\x09-\x0D]"
 @dataclass(frozen=True)
 class Limits:
     """Base: fewest words, and percent of words in repeated windows. Method: a line counts as frequent if over least_docs
-    documents, and over share_of_host of its host's, hold it independently; a document is depleted if fewer than least_left
+    documents, and over share_of_host of its host's, hold it, copies of a text being one; a document is depleted if fewer than least_left
     words, or than share_left of its words, are left without frequent lines."""
 
     least_words: int = 20
@@ -60,9 +60,8 @@ def line_hashes(text: Column) -> Column:
 def removed_words(docs: DataFrame, limits: Limits = Limits(), broadcast_rows: int = 2_000_000) -> DataFrame:  # noqa: B008
     """(doc_id, rid, removed): words in frequent lines, for the documents (doc_id, rid, host, text) that have any.
 
-    First, distinct documents are counted for each host and line hash, with partial sums; only lines of over least_docs documents go
-    on. Of these, a document counts if neither the least nor the greatest hash of its other lines comes with the line in
-    another document: copies, whole or nearly, share these, so a text that many copies repeat isn't
+    First, documents are counted for each host and line hash, with partial sums; only lines of over least_docs documents go on. Of
+    these, each distinct text counts once, as the sequence of its line hashes, so a text that many exact copies repeat isn't
     taken for a frequent line. Hosts and lines that hold a large part of the rows are summed before any shuffle.
     """
     hashed = docs.select("doc_id", "rid", F.coalesce("host", F.lit("")).alias("host"), line_hashes(F.col("text")).alias("lines"))
@@ -71,20 +70,13 @@ def removed_words(docs: DataFrame, limits: Limits = Limits(), broadcast_rows: in
     wanted = small(written(first.select("key"), "lines-often"), broadcast_rows)
 
     spread = docs.select("doc_id", "rid", F.coalesce("host", F.lit("")).alias("host"), line_hashes(F.col("text")).alias("lines"), F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(HAS_WORD)).alias("raw"))
-    spread = spread.withColumn("own", F.array_sort(F.array_distinct("lines")))
-    ends = [F.col("own")[0].alias("low"), F.get("own", F.lit(1)).alias("low2"), F.element_at("own", -1).alias("high"), F.get("own", F.size("own") - 2).alias("high2")]
-    each = spread.where(F.size("lines") > 0).select("doc_id", "rid", "host", F.monotonically_increasing_id().alias("row"), *ends, F.explode(F.arrays_zip("lines", "raw")).alias("x"))
-    each = each.select("doc_id", "rid", "host", "row", F.col("x.lines").alias("line"), F.col("x.raw").alias("raw"), "low", "low2", "high", "high2").withColumn("key", host_line)
-    met = each.join(wanted, "key").select(
-        "doc_id", "rid", "host", "row", "key", F.when(F.col("low") == F.col("line"), F.col("low2")).otherwise(F.col("low")).alias("low"), F.when(F.col("high") == F.col("line"), F.col("high2")).otherwise(F.col("high")).alias("high"),
-        F.size(ascii_words(F.col("raw"))).alias("words"),
-    )
-    both = [F.min("low").alias("low"), F.max("high").alias("high")]
-    rows = met.groupBy("doc_id", "rid", "host", "key", "row").agg(*both, F.sum("words").alias("words"))  # a line as often as the row has it
-    met = written(rows.groupBy("doc_id", "rid", "host", "key").agg(*both, F.max("words").alias("words")), "lines-met")
+    each = spread.where(F.size("lines") > 0).select("doc_id", "rid", "host", F.monotonically_increasing_id().alias("row"), F.xxhash64("lines").alias("copy"), F.explode(F.arrays_zip("lines", "raw")).alias("x"))
+    each = each.select("doc_id", "rid", "host", "row", "copy", F.col("x.lines").alias("line"), F.col("x.raw").alias("raw")).withColumn("key", host_line)
+    met = each.join(wanted, "key").select("doc_id", "rid", "host", "row", "copy", "key", F.size(ascii_words(F.col("raw"))).alias("words"))
+    rows = met.groupBy("doc_id", "rid", "host", "copy", "key", "row").agg(F.sum("words").alias("words"))  # a line as often as the row has it
+    met = written(rows.groupBy("doc_id", "rid", "host", "copy", "key").agg(F.max("words").alias("words")), "lines-met")
 
-    alone = lambda end: met.where(f"{end} is not null").groupBy("key", end).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rid")).alias("doc")).where("n = 1").select("key", "doc")
-    free = alone("low").intersect(alone("high")).groupBy("key").agg(F.count("*").alias("n"))
+    free = met.select("key", "copy").distinct().groupBy("key").agg(F.count("*").alias("n"))
     totals = docs.groupBy(F.coalesce("host", F.lit("")).alias("host")).agg(F.count("*").alias("of_host"))
     hosts = met.select("key", "host").distinct().join(totals, "host")
     frequent = free.join(hosts, "key").where((F.col("n") > limits.least_docs) & (F.col("n") > limits.share_of_host * F.col("of_host"))).select("key")

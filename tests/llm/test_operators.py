@@ -90,6 +90,17 @@ def test_quality_removes_frequent_lines_and_keeps_copies(spark):
     assert not base[0].kept and base[2].n_repeat_words == 24 and base[2].base_failed
 
 
+def test_quality_counts_documents_made_of_shared_lines(spark):
+    shared = [f"{w} navigation entry of every page here" for w in ("home", "about", "contact", "search", "legal", "imprint")]
+    letters = lambda i: chr(97 + i // 26) + chr(97 + i % 26)
+    mixed = [[x for j, x in enumerate(shared) if i >> j & 1] for i in range(1, 64)]  # no line of their own, each a different text
+    texts = ["\n".join([*shared, f"own {letters(i)}"]) for i in range(40)] + ["\n".join(x) for x in mixed] + [shared[0]] * 5
+    found = {r.doc_id: r for r in quality.judge(docs_of(spark, texts)).collect()}
+    assert all(found[i].n_removed_words == 42 and not found[i].base_failed and not found[i].kept for i in range(40))
+    assert all(found[40 + i].n_removed_words == 7 * len(x) and not found[40 + i].kept for i, x in enumerate(mixed))
+    assert found[103].n_removed_words == 7
+
+
 def test_url_trie_equals_join(spark):
     pages = spark.createDataFrame([(i, u) for i, u in enumerate([None, "x", "http://A.example.org/es/1", "http://example.org/en/12?q", "http://b.com/fr/", "http://com/de/x", "http://org", "http://xorg/"])], "page_id long, url string")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
