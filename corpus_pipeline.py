@@ -31,10 +31,10 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies stays, that with the smallest id: five-word shingles, similarity of 0.8 or more."""
-    search = simhash.Search.similar(docs.count())
-    found = simhash.near_duplicates(docs, 5, search)
-    return without(docs, found.where("doc_id <> component_id"), "copies")
+    """In order of doc_id, documents go that are alike to one that stays: sets of five-word shingles, exact Jaccard similarity of 0.8 or more."""
+    search = simhash.Search.similar(docs.count(), slack=3.0)
+    gone = small(written(simhash.copies(docs, 5, search).distinct(), "rejected-copies"), BROADCAST_IDS).toDF("__id", "__rid")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__rid")), "left_anti")
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

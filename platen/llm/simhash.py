@@ -285,3 +285,60 @@ def near_duplicates(docs: DataFrame, k: int = 3, search: Search | None = None, b
     search = search or Search.exact()
     prints = written(fingerprints(docs, k, search.words), "simhash")
     return prints.join(classes(prints, search, block_rows), names(search.words)).select("doc_id", "component_id", *names(search.words))
+
+
+def shingle_sets(docs: DataFrame, k: int, words: int) -> DataFrame:
+    """(doc_id, rid, w0, ..., digest, hashes): the sorted set of each text's shingle hashes, its fingerprint, in which each shingle weighs once, and its hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                sets = [np.unique(shingle_hashes(text, k)) for text in part.column(2).to_pylist()]
+                prints = np.array([[np.packbits(2 * bit_counts(mixed(h, n)) > len(h), bitorder="little").view("<u8")[0] for n in range(words)] for h in sets], np.uint64).reshape(-1, words).view(np.int64)
+                digests = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
+                hashes = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(np.ascontiguousarray(prints[:, i])) for i in range(words)), digests, hashes], ["doc_id", "rid", *names(words), "digest", "hashes"])
+
+    schema = ", ".join(["doc_id long", "rid long", *(f"{w} long" for w in names(words)), "digest binary", "hashes array<long>"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, part_rows: int = 256, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Those pairs (u, v) whose sets (node, hashes) have a Jaccard similarity of the percent or more. A v of many pairs is dealt out in parts."""
+    many = written(pairs.groupBy("v").count().where(F.col("count") > part_rows).select("v", F.ceil(F.col("count") / part_rows).alias("parts")), "simhash-many")
+    dealt = pairs.join(small(many, broadcast_rows), "v", "left").select("u", "v", F.pmod(F.xxhash64("u"), F.coalesce("parts", F.lit(1))).alias("part"))
+    right = dealt.select("v", "part").distinct().join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
+    both = dealt.join(right, ["v", "part"]).join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u")
+    total, common = F.size("a") + F.size("b"), F.size(F.array_intersect("a", "b"))
+    alike = 100 * F.least(F.size("a"), F.size("b")) >= percent * F.greatest(F.size("a"), F.size("b"))
+    return both.where(F.when(alike, 100 * common >= percent * (total - common)).otherwise(False)).select("u", "v")
+
+
+def copies(docs: DataFrame, k: int, search: Search, percent: int = 80, block_rows: int = 8192) -> DataFrame:
+    """(doc_id, rid) of the rows of docs (doc_id, text) to reject, rid being xxhash64(text): in order of doc_id, a set of shingles goes if its
+    exact Jaccard similarity to one that stays is the percent or more, and of rows with equal sets those of the smallest id stay.
+
+    The search only finds candidates. Of those left, a set that is the first of its links in each bucket stays; the others are compared with
+    the staying ones that they are linked to, and what is neither goes into the next round. So each link
+    that the search finds is compared, without all pairs of a large group. Null ids come last.
+    """
+    words = names(search.words)
+    prints = written(shingle_sets(docs, k, search.words), "simhash-sets")
+    first = prints.groupBy("digest").agg(F.min("doc_id").alias("id"), *(F.min(w).alias(w) for w in words))
+    nodes = written(first.orderBy(F.asc_nulls_last("id"), "digest").withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")  # grows with the id
+    left, sets, gone = nodes.select(F.col("node").alias("id"), *words), None, None
+    while True:
+        found = written(links(left, search, block_rows).distinct(), "simhash-links")
+        if found.isEmpty():
+            break
+        if sets is None:
+            ends = found.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "digest"), "node")
+            one = ends.join(prints.select("digest", "hashes"), "digest").dropDuplicates(["node"])
+            sets = written(one.select("node", "hashes"), "simhash-compared")
+        waiting = found.select("u").distinct()
+        near = written(verified(found.join(waiting.withColumnRenamed("u", "v"), "v", "left_anti").select("u", "v"), sets, percent).select("u").distinct(), "simhash-near")
+        gone = near if gone is None else gone.unionByName(near)
+        left = written(left.join(waiting.join(near, "u", "left_anti").withColumnRenamed("u", "id"), "id"), "simhash-left")
+    judged = nodes.select("digest", "id", F.lit(False).alias("copy")) if gone is None else nodes.join(gone.withColumnRenamed("u", "node").withColumn("copy", F.lit(True)), "node", "left").select("digest", "id", F.coalesce("copy", F.lit(False)).alias("copy"))
+    return prints.select("doc_id", "rid", "digest").join(judged, "digest").where(F.col("copy") | ~F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "rid")

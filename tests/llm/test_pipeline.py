@@ -81,3 +81,23 @@ def test_stages_keep_null_ids_and_clean_repeats(spark, tmp_path, name):
     out = dict(corpus_pipeline.STAGES)[name](spark, spark.createDataFrame(rows, DOCS), folder).collect()
     found = [r.doc_id for r in out]
     assert found.count(5) == 2 and None in found and (6 in found) == (name != "quality")
+
+
+def test_only_exact_similarity_of_four_fifths_makes_copies(spark, tmp_path):
+    rng = random.Random(9)
+    prose = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+    texts = []
+    for changed in (3, 5, 6):  # of 40 shingles: similarities 0.86, 0.78, 0.74
+        for _ in range(20):
+            base = prose(44)
+            texts += [" ".join(base), " ".join(base[: 44 - changed] + prose(changed))]
+    base = prose(44)
+    texts += [" ".join(base), " ".join(base[:41] + prose(3)), " ".join(prose(3) + base[3:]), " ".join(base + base[:4] * 9)]  # a star, and repeats that are one shingle each
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash"](spark, docs, "").collect()}
+    near = lambda a, b: len(shingles(texts[a]) & shingles(texts[b])) >= 0.8 * len(shingles(texts[a]) | shingles(texts[b]))
+    expected = set()
+    for b in range(len(texts)):
+        if not any(near(a, b) for a in expected):
+            expected.add(b)
+    assert kept == expected and len(expected) == 101
