@@ -128,6 +128,18 @@ def test_license_notices(spark):
     assert found[2] == ("MIT", True) and found[3] == ("GPL-2.0", True) and not found[4][1] and set(found) == {2, 3, 4}
 
 
+def test_license_notices_that_differ_in_a_telling_word(spark):
+    gpl = "This work is licensed under the GNU {}General Public License, version {}."
+    texts = [gpl.format("Lesser ", 3), gpl.format("Affero ", 3), gpl.format("", 1), gpl.format("", 4), licenses.TEMPLATES["GPL-2.0"][1].replace("General", "Lesser General").replace("version 2", "version 2.1")]
+    texts += ["This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", licenses.TEMPLATES["Apache-2.0"][1].replace("2.0", "1.1"), licenses.TEMPLATES["MIT"][1].replace("substantial", "").replace("obtaining", "getting")]
+    found = {r.doc_id: (r.license, r.confirmed) for r in licenses.scan(docs_of(spark, texts)).collect()}
+    assert [found[i] for i in range(3)] == [("LGPL-3.0", True), ("AGPL-3.0", True), ("GPL-1.0", True)]
+    assert not any(found[i][1] and found[i][0] != "LGPL-2.1" for i in (3, 4, 5, 6)) and found[7] == ("MIT", True)
+    notices = {(name, n): t for name, ts in licenses.TEMPLATES.items() for n, t in enumerate(ts)}
+    rows = licenses.scan(spark.createDataFrame([(i, t) for i, t in enumerate(notices.values())], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.license) for r in rows if r.confirmed} == {(i, name) for i, (name, _) in enumerate(notices)}
+
+
 def test_toxicity_on_held_out_labels(spark):
     import zlib
 
