@@ -96,10 +96,10 @@ def doc_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def background_inversion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    masks = instance_masks(spark, sf_dir)
-    few = masks.where("inst % 7 = 0")
-    grid = masks.select("img").distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(30)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(23))))
-    return objects.background(grid, few)
+    """The objects that are left if every component of an image counts as a mask of the background: (img, y, x, label)."""
+    masks = labelled(spark, sf_dir).select("img", F.col("label").alias("inst"), "y", "x")
+    grid = alpha_raster(spark, sf_dir).select("img", "y", "x")
+    return objects.label_components(objects.background(grid, masks), SIDE)
 
 
 def rotated_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:

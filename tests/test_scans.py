@@ -29,3 +29,18 @@ def test_labels_touching_diagonally_and_areas(spark):
     labelled = objects.label_components(spark.createDataFrame(rows, "img long, y int, x int"), 8)
     found = [(r.label, r.area) for r in objects.objects(labelled).orderBy("obj_idx").collect()]
     assert found == [(0, 3), (40, 2), (27, 1)]
+
+
+def test_background_is_what_no_mask_covers_labelled(spark):
+    dark = {(r.img, r.y, r.x) for r in queries.alpha_raster(spark, SF).where(f"alpha < {queries.CUTOFF}").collect()}
+    expected, left = {}, set(dark)
+    for img, y, x in sorted(dark):  # the first pixel of each component in row order
+        todo = [(img, y, x)]
+        while todo:
+            i, b, a = todo.pop()
+            if (i, b, a) in left:
+                left.remove((i, b, a))
+                expected[i, b, a] = y * queries.SIDE + x
+                todo += [(i, b + d, a + e) for d in (-1, 0, 1) for e in (-1, 0, 1)]
+    found = queries.background_inversion(spark, SF).collect()
+    assert len(found) == len(expected) > 0 and {(r.img, r.y, r.x): r.label for r in found} == expected
