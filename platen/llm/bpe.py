@@ -1,10 +1,14 @@
 """BPE encoding and decoding with content-defined chunks that documents share.
 
 A rolling hash cuts texts where their content says so, so equal passages give equal chunks wherever they stand.
-A Python worker encodes each chunk once and keeps it, up to a size bound, for all documents of its tasks;
-where two chunks meet inside a word, the join is repaired by encoding the words around it again until both
-sides agree with what the chunks gave. Nothing is shuffled: a corpus-wide table of chunks would move every
+A Python worker encodes each chunk once and keeps its ids, up to a size bound, for all documents of its tasks. Where two
+chunks meet, the tokenizer encodes the words around the join again, on more and more words, until the ids agree with both
+chunks' own at either end of the span. Nothing is shuffled: a corpus-wide table of chunks would move every
 text and every id once more, over the disk allowed for that, to save the repeats between workers.
+
+Chunks go through the tokenizer as they are. For tokenizers that encode runs of letters and of marks apart and drop white
+space (found out by trial on each file), a chunk's ids are put together from kept ids of such runs, which costs less; the repair
+of joins doesn't use them.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from pyspark.sql import functions as F
 WINDOW, CUT_BITS, SLAB = 16, 11, 1 << 20
 #: A worker's memory: bytes of kept chunks with their ids, kept words and parts of words, and bytes of the longest of these.
 CHUNK_BYTES, KEPT, LONG_WORD = 24 << 20, 150_000, 64
+#: Words on each side of a join that are encoded again at first.
+SPAN_WORDS = 2
 
 _BASE = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = []
@@ -57,12 +63,43 @@ def cuts(text: bytes) -> list[int]:
     return found
 
 
-def chunks(text: bytes) -> list[bytes]:
-    edges = [0, *cuts(text), len(text)]
-    return [text[a:b] for a, b in zip(edges, edges[1:], strict=False) if b > a]
+_SPACE = re.compile(rb"\s")
+#: Where a word ends before white space.
+_WORD_END = re.compile(rb"(?<=\S)\s")
+
+
+def edges_of(text: bytes) -> list[int]:
+    """Edges of the chunks. A cut goes if there would be no white space before or after it: then each chunk but a lone one has some, and a word is in two chunks at most."""
+    edges = [0] if text else []
+    last = 0
+    for cut in [*cuts(text), len(text)] if text else []:
+        if _SPACE.search(text, last, cut):
+            edges.append(cut)
+        last = cut
+    if edges and edges[-1] != len(text):
+        edges[-1:] = [len(text)] if len(edges) > 1 else [0, len(text)]
+    return edges
+
 
+def before(text: bytes, at: int, words: int) -> int:
+    """Where the last so many words before a place start, with the white space ahead of them; 0 if there are fewer."""
+    size = 32 * words
+    while True:
+        low = max(0, at - size)
+        found = [m.start() for m in _WORD_END.finditer(text, low, at)]
+        if len(found) >= words:
+            return found[-words]
+        if not low:
+            return 0
+        size *= 2
 
-SPACE = (b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c")
+
+def after(text: bytes, at: int, end: int, words: int) -> int:
+    """Where the first so many words after a place end; the end if there are fewer."""
+    for n, m in enumerate(_WORD_END.finditer(text, at, end), 1):
+        if n == words:
+            return m.start()
+    return end
 
 
 #: Bytes of plain text: ASCII but for control characters and what contractions and special tokens start with, and Latin-1 letters.
@@ -95,13 +132,12 @@ class Kept:
             self.young[key] = ids
 
 
-class Encoder:
-    """Encodes whole texts as the tokenizers library does, by way of shared chunks.
+#: Texts on which it is tried whether a tokenizer encodes runs of letters and of marks apart. Fixed values.
+PROBES = ("a b", "Hello, world!", "x--y  (z)\n\tw", "don't we'll", "caf\u00e9 ol\u00e9.", "<b>bold</b> & #tag $5", "tiontion inghth oneand.", "a.b.c e-mail@host.org", "\u6f22\u5b57 \u00df\u00e6", "end. Start")
 
-    It is for tokenizers that drop white space: then a word between white space encodes by itself, which the agreement of
-    each repaired join confirms; a text that can't be confirmed is encoded whole. The runs of letters and of marks that
-    plain chunks consist of, and other words, are kept as well.
-    """
+
+class Encoder:
+    """Encodes whole texts as the tokenizers library does, by way of shared chunks."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -112,9 +148,11 @@ class Encoder:
         self.tokenizer.no_padding()
         self.words, self.parts = Kept(), Kept()
         self.chunks: dict[bytes, bytes] = {}
-        self.held = self.reused = self.encoded = 0
+        self.spans: dict[bytes, bytes] = {}
+        self.held = self.reused = self.encoded = self.grown = 0
         mark = self.tokenizer.encode("\1", add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else -1
+        self.by_parts = all(self.of_words(x.encode()) == self._fresh([x.encode()])[0] for x in PROBES)
 
     def _fresh(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
@@ -169,7 +207,7 @@ class Encoder:
             self.reused += 1
             return ids
         self.encoded += 1
-        ids = self.of_words(chunk)
+        ids = self.of_words(chunk) if self.by_parts else self._fresh([chunk])[0]
         self.held += len(chunk) + len(ids) + 150
         if self.held > CHUNK_BYTES:
             self.chunks.clear()
@@ -177,43 +215,68 @@ class Encoder:
         self.chunks[chunk] = ids
         return ids
 
-    def encode(self, text: bytes) -> bytes:
+    def prepare(self, texts: list[bytes]) -> list[list[int]]:
+        """The edges of some texts; what is new in them and the spans around their joins are encoded at once."""
+        edges = [edges_of(t) for t in texts]
+        if self.by_parts:
+            self.learn(texts)
+        spans: set[bytes] = set()
+        for text, own in zip(texts, edges, strict=True):
+            for at, end in zip(own[1:-1], own[2:], strict=True):
+                low, high = before(text, at, SPAN_WORDS), after(text, at, end, SPAN_WORDS)
+                spans.update((text[low:at], text[at:high], text[low:high]))
+        found = sorted(spans)
+        self.spans = dict(zip(found, self._fresh(found), strict=True)) if found else {}
+        return edges
+
+    def _span(self, span: bytes) -> bytes:
+        ids = self.spans.get(span)
+        return self._fresh([span])[0] if ids is None else ids
+
+    def encode(self, text: bytes, edges: list[int] | None = None) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
+        edges = edges_of(text) if edges is None else edges
         done: list[bytes] = []
-        open_word, pending = b"", False  # the word that the text so far ends in; whether its ids are still missing from done
+        for at, end in zip(edges, edges[1:], strict=False):
+            ids = self.of_chunk(text[at:end])
+            if done:
+                ids = self._repaired(text, at, end, done, ids)
+            done.append(ids)
+        return b"".join(done)
 
-        def cut_off() -> bool:
-            """Take the ids of the open word off the end; False if they aren't what it ends in."""
-            if not pending and (left := self.of_word(open_word)):
-                if not done or not done[-1].endswith(left):
-                    return False
+    def _repaired(self, text: bytes, at: int, end: int, done: list[bytes], ids: bytes) -> bytes:
+        """Ids that replace a chunk's after the repair of its join with what is done; ids that it takes over are cut off from those.
+
+        A span of words on both sides is encoded again. It holds if the ids so far end in those of its left part and the chunk's ids
+        start with those of its right part, and if its own ids agree with the former at its start and with the latter at its end: then
+        what the join changes lies within. Otherwise the span grows; a side that reaches the end of what is known needs no agreement.
+        """
+        words = SPAN_WORDS
+        while True:
+            low, high = before(text, at, words), after(text, at, end, words)
+            left, right, both = self._span(text[low:at]), self._span(text[at:high]), self._span(text[low:high])
+            if len(done[-1]) < len(left):
+                done[:] = [b"".join(done)]
+            holds = done[-1].endswith(left) and ids.startswith(right)
+            if holds and (not low or _agree(left, both)) and (high == end or _agree(right, both, ends=True)):
                 done[-1] = done[-1][: len(done[-1]) - len(left)]
-            return True
-
-        for chunk in chunks(text):
-            words, closed = [*chunk.split(None, 1)[:1], *chunk.rsplit(None, 1)[1:]], chunk[-1:] in SPACE
-            if open_word and chunk[:1] not in SPACE:
-                if not cut_off():
-                    return self._whole(text)
-                if len(words) == 1 and not closed:  # the word goes on through the whole chunk; it is encoded when it ends
-                    open_word, pending = open_word + chunk, True
-                    continue
-                ids, right = self.of_chunk(chunk), self.of_word(words[0])
-                if not ids.startswith(right):
-                    return self._whole(text)
-                done += [self.of_word(open_word + words[0]), ids[len(right) :]]
-            else:
-                if pending:
-                    done.append(self.of_word(open_word))
-                if words:
-                    done.append(self.of_chunk(chunk))
-            open_word, pending = b"" if closed or not words else words[-1], False
-        if pending:
-            done.append(self.of_word(open_word))
-        return b"".join(done)
+                return both + ids[len(right) :]
+            if not low and high == end:  # the whole text so far
+                done[:] = [b""]
+                return both
+            self.grown += 1
+            words *= 2
+
+
+def _agree(part: bytes, whole: bytes, *, ends: bool = False) -> bool:
+    """Whether a third of the part's ids, one at least, stand at the start (or end) of the whole's."""
+    n = 4 * max(1, len(part) // 12)
+    return len(part) >= n and (part[-n:] == whole[-n:] if ends else part[:n] == whole[:n])
+
 
-    def _whole(self, text: bytes) -> bytes:
-        return self._fresh([text])[0]
+def valid(text: bytes) -> bytes:
+    """The text with U+FFFD where it isn't UTF-8."""
+    return text.decode("utf-8", "replace").encode()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -230,8 +293,8 @@ def encode(docs: DataFrame, path: str, *, with_decoded: bool = False) -> DataFra
     """(doc_id, ids): ids is binary, little-endian unsigned 32-bit integers; a row for each row of docs (doc_id, text).
 
     path is a tokenizer's JSON file on every executor. With with_decoded, decode()'s column decoded is made by the same worker,
-    which saves the memory of a second one. Null text counts as empty, which has no ids; repeated rows stay; other columns
-    are ignored.
+    which saves the memory of a second one. Null text counts as empty, which has no ids; bytes that aren't UTF-8 count as
+    U+FFFD; repeated rows stay; other columns are ignored.
     """
     names = ["doc_id", "ids", *["decoded"] * with_decoded]
 
@@ -240,9 +303,8 @@ def encode(docs: DataFrame, path: str, *, with_decoded: bool = False) -> DataFra
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [t or b"" for t in part.column(1).to_pylist()]
-                enc.learn(texts)
-                ids = [enc.encode(t) for t in texts]
+                texts = [valid(t or b"") for t in part.column(1).to_pylist()]
+                ids = [enc.encode(t, e) for t, e in zip(texts, enc.prepare(texts), strict=True)]
                 columns = [part.column(0), pa.array(ids, pa.binary())]
                 if with_decoded:
                     columns.append(pa.array(_decoded(enc, ids), pa.string()))
