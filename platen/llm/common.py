@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII capitals and small letters, for translate(): lower-cases A-Z and nothing else.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -21,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session names none, as in tests in local mode, is a temporary folder made.
+    Without that setting a temporary folder is made in local mode, as in tests; on a cluster it is an error, for
+    executors wouldn't see a folder of the driver's machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="platen-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -38,9 +42,31 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark a written table for broadcast if it has at most max_rows rows; else leave the join to shuffle."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+#: Bytes of a table, as rows without overhead, up to which it is broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def _bytes_of(name: str, kind: T.DataType) -> Column:
+    """Bytes of a column's value in a row: 8, and for what has no fixed size its length (16 an element of an array)."""
+    column = F.col(f"`{name}`")
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 8
+    if isinstance(kind, T.ArrayType):
+        inner = F.lit(16) if not isinstance(kind.elementType, T.StringType | T.BinaryType | T.StructType | T.ArrayType) else F.octet_length(F.to_json(column)) / F.greatest(F.size(column), F.lit(1)) + 16
+        return F.coalesce(F.greatest(F.size(column), F.lit(0)) * inner, F.lit(0)) + 8
+    return F.lit(8)
+
+
+def fits(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a written table has at most max_rows rows of max_bytes together."""
+    size = sum((_bytes_of(f.name, f.dataType) for f in df.schema.fields), F.lit(16))
+    rows, total = df.limit(max_rows + 1).agg(F.count("*"), F.sum(size.cast("double"))).first()
+    return rows <= max_rows and (total or 0) <= max_bytes
+
+
+def small(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a written table for broadcast if it fits; else leave the join to shuffle."""
+    return F.broadcast(df) if fits(df, max_rows, max_bytes) else df
 
 
 def ascii_words(text: Column) -> Column:

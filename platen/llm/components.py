@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platen.llm.common import written
+from platen.llm.common import small, written
+
+#: Rows up to which the smallest neighbours of all ids are broadcast; beyond, Spark may split the join.
+BROADCAST_IDS = 1_000_000
 
 
 def _summary(edges: DataFrame) -> tuple[int, int]:
@@ -14,7 +17,8 @@ def _summary(edges: DataFrame) -> tuple[int, int]:
 
 
 def _star(pairs: DataFrame, lows: DataFrame) -> DataFrame:
-    return pairs.join(lows, "u").select("u", "v", "low")
+    """An id of many links meets its one row of lows in every task, if these may be broadcast."""
+    return pairs.join(small(lows, BROADCAST_IDS), "u").select("u", "v", "low")
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -28,14 +32,14 @@ def connected_components(links: DataFrame) -> DataFrame:
     before = _summary(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lows = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+        lows = written(both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")), "lows")
         large = _star(both.where("v > u"), lows).select(F.col("v").alias("u"), F.col("low").alias("v"))
         # an id that is not its neighbours' smallest keeps a link to the smallest as well
         own = lows.where("low < u").select("u", F.col("low").alias("v"))
         large = written(large.unionByName(own).distinct(), "links")
-        lows = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = _star(large, lows).where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        edges = written(small.unionByName(lows.select("u", F.col("low").alias("v"))).distinct(), "links")
+        lows = written(large.groupBy("u").agg(F.min("v").alias("low")), "lows")
+        fewer = _star(large, lows).where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        edges = written(fewer.unionByName(lows.select("u", F.col("low").alias("v"))).distinct(), "links")
         after = _summary(edges)
         if after == before:
             break

@@ -153,16 +153,13 @@ ORACLES: dict[str, str] = {
                    len(list_filter(string_split_regex(raw, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS n
             FROM l),
         own AS (SELECT doc_id, host, line, sum(n) AS n FROM h GROUP BY ALL),
-        ends AS (
-            SELECT a.doc_id, a.host, a.line, a.n, min(b.line) AS low, max(b.line) AS high
-            FROM own a LEFT JOIN own b ON a.doc_id = b.doc_id AND a.line <> b.line GROUP BY ALL),
-        free AS (
-            SELECT host, line, count(*) AS n
-            FROM (SELECT *, count(*) OVER (PARTITION BY host, line, low) AS lows, count(*) OVER (PARTITION BY host, line, high) AS highs FROM ends WHERE low IS NOT NULL)
-            WHERE lows = 1 AND highs = 1 GROUP BY host, line),
+        copies AS (
+            SELECT doc_id, md5(array_to_string(list_transform(list_filter(string_split(regexp_replace(lower(text), '[0-9]+', '0', 'g'), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')), lambda x: md5(trim(x, ' '))), ' ')) AS copy
+            FROM d),
+        held AS (SELECT host, line, count(DISTINCT copy) AS n FROM own JOIN copies ON own.doc_id = copies.doc_id GROUP BY host, line),
         often AS (
-            SELECT free.host, line FROM free JOIN (SELECT host, count(*) AS n FROM d GROUP BY host) t ON free.host = t.host
-            WHERE free.n > {_LIMITS.least_docs} AND free.n > {_LIMITS.share_of_host} * t.n),
+            SELECT held.host, line FROM held JOIN (SELECT host, count(*) AS n FROM d GROUP BY host) t ON held.host = t.host
+            WHERE held.n > {_LIMITS.least_docs} AND held.n > {_LIMITS.share_of_host} * t.n),
         gone AS (SELECT doc_id, sum(n) AS n FROM own JOIN often ON own.host = often.host AND own.line = often.line GROUP BY doc_id),
         dups AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n FROM h GROUP BY doc_id),
         win AS (

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platen.llm.common import small, written
+from platen.llm.common import fits, small, written
 from platen.llm.components import connected_components
 
 BITS = 64
@@ -37,8 +38,42 @@ def shingle_hashes(text: bytes | None, k: int, seed: int = 42) -> np.ndarray:
     return np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts, ends[k - 1 :].tolist(), strict=True)), np.uint64, len(starts))
 
 
+#: Hashes of words that a worker keeps, and odd factors by place in a shingle.
+_words: dict[bytes, int] = {}
+KEPT_WORDS = 300_000
+
+
+def shingle_set(text: bytes | None, k: int) -> np.ndarray:
+    """The sorted set of a text's shingles of k words as 64-bit hashes: of the whole sequence if it is shorter; none without words.
+
+    A shingle's hash comes from its words' hashes by one multiplication a word, so texts aren't hashed k times over.
+    """
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(_words) > KEPT_WORDS:
+        _words.clear()
+    for w in set(words).difference(_words):
+        _words[w] = xxhash.xxh64_intdigest(w, 1)
+    each = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    n, size = max(1, len(words) - k + 1), min(k, len(words))
+    total = np.full(n, size, np.uint64)
+    for i, factor in enumerate(orders(size, 5)):
+        total += each[i : i + n] * factor
+    return np.unique(mixed(total, 1))
+
+
 def bit_counts(words: np.ndarray) -> np.ndarray:
-    """How many of the words have each bit set: carry-save adders reduce three words to a sum and a carry."""
+    """How many of the words have each bit set. In long texts carry-save adders reduce three words to a sum and a carry."""
+    if len(words) < 20_000:  # bytes of 0 and 1, summed up in bytes by 255
+        bits = np.unpackbits(np.ascontiguousarray(words, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        whole = len(bits) // 255 * 255
+        sums = np.add.reduce(bits[:whole].reshape(-1, 255, BITS), axis=1, dtype=np.uint8)
+        return sums.sum(axis=0, dtype=np.int64) + np.add.reduce(bits[whole:], axis=0, dtype=np.uint8)
+    return carry_save_counts(words)
+
+
+def carry_save_counts(words: np.ndarray) -> np.ndarray:
     counts, weight = np.zeros(BITS, np.int64), 0
     while len(words):
         carries = []
@@ -53,6 +88,12 @@ def bit_counts(words: np.ndarray) -> np.ndarray:
     return counts
 
 
+def orders(n: int, seed: int = 11) -> np.ndarray:
+    """Odd factors: each gives the hashes another order."""
+    draw = random.Random(seed)
+    return np.array([draw.getrandbits(64) | 1 for _ in range(n)], np.uint64)
+
+
 def mixed(hashes: np.ndarray, n: int) -> np.ndarray:
     """The n-th of several independent hashes derived from one; the hash itself for n = 0."""
     if not n:
@@ -94,11 +135,17 @@ def fingerprints(docs: DataFrame, k: int = 3, words: int = 1) -> DataFrame:
 
 @dataclass(frozen=True)
 class Search:
-    """Fingerprints of words * 64 bits link at radius or fewer differing bits; each table is a word and a mask of the bits that must agree."""
+    """Fingerprints of words * 64 bits link at radius or fewer differing bits, if they meet in a bucket.
+
+    Each of tables is a word and a mask of the bits that must agree. Instead, each of bands may be a hash of so many rows
+    least values of a text's shingles under different orders, a column k0, k1, ... beside the fingerprint.
+    """
 
     words: int
     radius: int
-    tables: tuple[tuple[int, int], ...]
+    tables: tuple[tuple[int, int], ...] = ()
+    bands: int = 0
+    rows: int = 0
 
     @classmethod
     def exact(cls, radius: int = 2, parts: int = 4) -> Search:
@@ -108,20 +155,23 @@ class Search:
         return cls(1, radius, tuple((0, sum(part[i] for i in kept)) for kept in combinations(range(parts), parts - radius)))
 
     @classmethod
-    def similar(cls, rows: int, jaccard: float = 0.8, words: int = 8, recall: float = 0.99, slack: float = 1.5, seed: int = 7) -> Search:
-        """For word shingles of a Jaccard similarity or more: too far apart for exact buckets of a useful size.
+    def similar(cls, jaccard: float = 0.8, words: int = 4, bands: int = 20, rows: int = 5, slack: float = 3.0) -> Search:
+        """For sets of word shingles of a Jaccard similarity or more: too far apart for exact buckets of a useful size.
 
-        A bit differs with the chance angle / pi, where cos(angle) = 2 j / (1 + j) for texts alike in length. The radius is
-        the mean at the similarity plus slack standard deviations. Tables of random bits, as many bits as leave some 32
-        rows a bucket, are as many as find a pair at that similarity with the given chance; closer pairs
-        are found with a higher one.
+        A pair of similarity j meets in some band with the chance 1 - (1 - j^rows)^bands, 0.9996 at 0.8. A bit differs with the
+        chance angle / pi, where cos(angle) = 2 j / (1 + j) for sets alike in size. The radius is the mean at the similarity
+        plus slack standard deviations. Neither depends on the number of documents.
         """
         differ, bits = math.acos(2 * jaccard / (1 + jaccard)) / math.pi, words * BITS
-        width = min(28, max(12, math.ceil(math.log2(max(rows, 1) / 32))))
-        count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** width))
-        draw = random.Random(seed)
-        tables = tuple((t % words, sum(1 << b for b in draw.sample(range(BITS), width))) for t in range(count))
-        return cls(words, int(bits * differ + slack * math.sqrt(bits * differ * (1 - differ))), tables)
+        return cls(words, int(bits * differ + slack * math.sqrt(bits * differ * (1 - differ))), (), bands, rows)
+
+    def keys(self) -> list[Column]:
+        signed = lambda m: m - (1 << 64) if m >> 63 else m
+        masked = [F.col(f"w{w}").bitwiseAND(F.lit(signed(m)).cast("long")) for w, m in self.tables]
+        return masked + [F.col(f"k{i}") for i in range(self.bands)]
+
+    def columns(self) -> list[str]:
+        return names(self.words) + [f"k{i}" for i in range(self.bands)]
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
@@ -149,10 +199,10 @@ def _above(counter: list[np.ndarray], radius: int) -> np.ndarray:
     return above
 
 
-def close_pairs(fps: np.ndarray, ends: np.ndarray, radius: int, same: tuple[int, int] = (0, 0)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_pairs(fps: np.ndarray, ends: np.ndarray, radius: int, same: tuple[int, int] = (0, 0), wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, j), i < j < ends[i], of rows of fps (n x words) that differ in at most radius bits.
 
-    The bits of same (word, mask) are known to agree up to ends[i]. A row is compared with 64 others at once: the XOR of its
+    With wanted, only pairs with such a j. The bits of same (word, mask) are known to agree up to ends[i]. A row is compared with 64 others at once: the XOR of its
     bit with a word of the bit plane goes, three planes at a time through a carry-save adder, into vertical
     counters. Blocks (a row against a word) in which every counter is past the radius are abandoned, so most
     end after a part of the planes.
@@ -161,6 +211,9 @@ def close_pairs(fps: np.ndarray, ends: np.ndarray, radius: int, same: tuple[int,
     free = [(w, b) for b in range(BITS) for w in range(fps.shape[1]) if w != same[0] or not same[1] >> b & 1]
     every = 3 if radius < 8 else 24
     rows = np.arange(len(fps))
+    lanes = np.full(-(-len(fps) // 64), ALL)
+    if wanted is not None:
+        lanes = np.packbits(np.pad(wanted, (0, -len(wanted) % 64)), bitorder="little").view("<u8")
     first, last = (rows + 1) >> 6, (ends - 1) >> 6
     sizes = np.where(ends > rows + 1, last - first + 1, 0)
     total = np.concatenate([[0], np.cumsum(sizes)])
@@ -170,7 +223,10 @@ def close_pairs(fps: np.ndarray, ends: np.ndarray, radius: int, same: tuple[int,
         w = first[q] + item - total[q]
         low, high = np.clip(q + 1 - 64 * w, 0, 64).astype(np.uint64), np.clip(ends[q] - 64 * w, 0, 64).astype(np.uint64)
         below = lambda n: np.where(n >= 64, ALL, (ONE << np.minimum(n, np.uint64(63))) - ONE)
-        over = ~(below(high) & ~below(low))
+        over = ~(below(high) & ~below(low) & lanes[w])
+        if wanted is not None:
+            some = over != ALL
+            q, w, over = q[some], w[some], over[some]
         counter = [np.zeros(len(q), np.uint64) for _ in range((radius + every).bit_length())]
         for i in range(0, len(free), 3):
             diff = [planes[k][b][w] ^ (np.uint64(0) - (fps[q, k] >> np.uint64(b) & ONE)) for k, b in free[i : i + 3]]
@@ -203,55 +259,96 @@ def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = jumped
 
 
-def _kernel(ids: np.ndarray, fps: np.ndarray, group: np.ndarray, table: np.ndarray, search: Search) -> pa.RecordBatch:
+def _groups(place: list[np.ndarray]) -> np.ndarray:
+    """Number of the group of each row, by columns that the rows are sorted by."""
+    new = np.zeros(len(place[0]), bool)
+    for column in place:
+        new[1:] |= column[1:] != column[:-1]
+    return np.cumsum(new)
+
+
+def _ends(group: np.ndarray) -> np.ndarray:
+    """Where the group of each row ends."""
+    bounds = np.concatenate([np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]])
+    return np.repeat(bounds, np.diff(np.concatenate([[0], bounds])))
+
+
+def _spanning(ids: np.ndarray, fps: np.ndarray, mark: np.ndarray, group: np.ndarray, table: np.ndarray, search: Search) -> pa.RecordBatch:
     """Rows sorted by group to links (u, v) that span the classes of each group: at most one a row."""
-    change = np.flatnonzero(group[1:] != group[:-1]) + 1
-    bounds = np.concatenate([change, [len(fps)]])
-    ends = np.repeat(bounds, np.diff(np.concatenate([[0], bounds])))
-    label = np.arange(len(fps))
+    ends, label = _ends(group), np.arange(len(fps))
     for t in np.unique(table):
         own = np.flatnonzero(table == t)
         part = np.arange(len(own))
-        for i, j in close_pairs(fps[own], np.searchsorted(own, ends[own]), search.radius, search.tables[t]):
+        for i, j in close_pairs(fps[own], np.searchsorted(own, ends[own]), search.radius, search.tables[t] if search.tables else (0, 0)):
             unite(part, i, j)
         label[own] = own[part]
     moved = np.flatnonzero(label != np.arange(len(fps)))
     return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], ["u", "v"])
 
 
-def links(fps: DataFrame, search: Search, block_rows: int = 8192, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Distinct fingerprints (id, w0, ...) to links (u, v) of ids that span all pairs which the search finds.
-
-    A bucket holds the rows that agree in the bits of a table. One of over block_rows rows is cut into blocks, and
-    each pair of its blocks becomes a group, so no task ever holds more than two blocks and no link is
-    lost. Groups give links that span their classes, not all pairs.
+def _nearest(ids: np.ndarray, fps: np.ndarray, mark: np.ndarray, group: np.ndarray, slots: int, search: Search) -> pa.RecordBatch:
+    """Rows sorted by group and id to links (u, v, more): for each marked row u the nearest of the close rows before it in each of so many slots, and whether there are others."""
+    ends, marked = _ends(group), np.flatnonzero(mark)
+    place = np.full(len(fps), -1)
+    place[marked] = np.arange(len(marked))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    step = max(1, (4 << 20) // slots)
+    for at in range(0, len(marked), step):  # marked rows whose slots are held at once
+        best, hits = np.full(min(step, len(marked) - at) * slots, ALL), np.zeros(min(step, len(marked) - at), np.int64)
+        wanted = np.zeros(len(fps), bool)
+        wanted[marked[at : at + step]] = True
+        for i, j in close_pairs(fps, ends, search.radius, wanted=wanted):
+            own = place[j] - at
+            far = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.uint64)
+            np.minimum.at(best, own * slots + i % slots, far << np.uint64(40) | i.astype(np.uint64))
+            np.add.at(hits, own, 1)
+        full = best.reshape(-1, slots) != ALL
+        row, slot = np.nonzero(full)
+        first = (best.reshape(-1, slots)[row, slot] & np.uint64((1 << 40) - 1)).astype(np.int64)
+        found.append((marked[at + row], first, hits[row] > full.sum(axis=1)[row]))
+    u, v, more = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
+    return pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v]), pa.array(np.asarray(more, bool))], ["u", "v", "more"])
+
+
+def buckets(fps: DataFrame, search: Search, block_rows: int, broadcast_rows: int) -> DataFrame:
+    """Fingerprints (id, w0, ..., k0, ..., mark) to (id, t, key, a, b, w0, ..., mark), each bucket together and in order of id.
+
+    A bucket holds the rows that agree in the bits of a table, or in a band; those of one row, or without a marked one, are left out
+    before fingerprints are shuffled, if the list of the others may be broadcast. One of over block_rows rows is cut
+    into blocks, and each pair of its blocks becomes a group (a, b), so no task ever holds more than two blocks and no link is lost.
     """
     words = names(search.words)
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    key = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col(words[w]).bitwiseAND(F.lit(signed(m)).cast("long")).alias("key")) for t, (w, m) in enumerate(search.tables)]))
-    keyed = fps.select("id", *words, key.alias("k")).select("id", *words, "k.t", "k.key")
-    sizes = fps.select(*words, key.alias("k")).select("k.t", "k.key").groupBy("t", "key").count()
-    hot = written(sizes.where(F.col("count") > block_rows).select("t", "key", F.ceil(F.col("count") / block_rows).cast("int").alias("blocks")), "simhash-hot")
-    own = F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).otherwise(0)
-    dealt = keyed.join(small(hot, broadcast_rows), ["t", "key"], "left").withColumn("own", own)
+    key = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), k.alias("key")) for t, k in enumerate(search.keys())]))
+    keyed = fps.select("id", *words, "mark", key.alias("k")).select("id", *words, "mark", "k.t", "k.key")
+    sizes = fps.select("mark", key.alias("k")).select("mark", "k.t", "k.key").groupBy("t", "key").agg(F.count("*").alias("n"), F.max("mark").alias("mark")).where("n > 1 and mark")
+    shared = written(sizes.select("t", "key", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")), "simhash-shared")
+    if fits(shared, broadcast_rows):
+        dealt = keyed.join(F.broadcast(shared), ["t", "key"])
+    else:
+        dealt = keyed.join(small(written(shared.where("blocks > 1"), "simhash-hot"), broadcast_rows), ["t", "key"], "left")
+    own = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).otherwise(0)
     other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
-    grouped = dealt.select("id", *words, "t", "key", "own", other.alias("other")).withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
+    grouped = dealt.withColumn("own", own).select("id", *words, "mark", "t", "key", "own", other.alias("other"))
     place = ["t", "key", "a", "b"]
-    ready = grouped.select("id", "t", "key", "a", "b", *words).repartition(*place).sortWithinPartitions(*place)
+    ready = grouped.select("id", "t", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), *words, "mark")
+    return ready.repartition(*place).sortWithinPartitions(*place, "id")
+
+
+def compared(ready: DataFrame, kernel: Callable[..., pa.RecordBatch], schema: str) -> DataFrame:
+    """Buckets to what the kernel (ids, fingerprints, marks, groups, tables) gives for some whole groups at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             rows = pa.Table.from_batches(held)
-            ids, t, key, a, b, *fp = (c.combine_chunks().to_numpy(zero_copy_only=False) for c in rows.columns)
-            new = np.concatenate([[False], (t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            group = np.cumsum(new)
+            ids, t, key, a, b, *fp, mark = (c.combine_chunks().to_numpy(zero_copy_only=False) for c in rows.columns)
+            group = _groups([t, key, a, b])
             # a group that may go on in the next batch waits for it
             cut = len(ids) if last else int(np.searchsorted(group, group[-1]))
             held[:] = rows.slice(cut).to_batches() if cut < len(ids) else []
             if cut:
-                yield _kernel(ids[:cut], np.stack(fp, axis=1)[:cut].view(np.uint64), group[:cut], t[:cut], search)
+                yield kernel(ids[:cut], np.stack(fp, axis=1)[:cut].view(np.uint64), mark[:cut], group[:cut], t[:cut])
 
         for batch in batches:
             if batch.num_rows:
@@ -261,7 +358,16 @@ def links(fps: DataFrame, search: Search, block_rows: int = 8192, broadcast_rows
         if held:
             yield from flush(True)
 
-    return ready.mapInArrow(run, "u long, v long")
+    return ready.mapInArrow(run, schema)
+
+
+def links(fps: DataFrame, search: Search, block_rows: int = 8192, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Distinct fingerprints (id, w0, ..., k0, ...) to links (u, v) of ids that span all pairs which the search finds.
+
+    Groups give links that span their classes, not all pairs.
+    """
+    ready = buckets(fps.withColumn("mark", F.lit(True)), search, block_rows, broadcast_rows)
+    return compared(ready, lambda ids, fp, mark, group, table: _spanning(ids, fp, mark, group, table, search), "u long, v long")
 
 
 def classes(prints: DataFrame, search: Search, block_rows: int = 8192) -> DataFrame:
@@ -287,23 +393,60 @@ def near_duplicates(docs: DataFrame, k: int = 3, search: Search | None = None, b
     return prints.join(classes(prints, search, block_rows), names(search.words)).select("doc_id", "component_id", *names(search.words))
 
 
-def shingle_sets(docs: DataFrame, k: int, words: int) -> DataFrame:
-    """(doc_id, rid, w0, ..., digest, hashes): the sorted set of each text's shingle hashes, its fingerprint, in which each shingle weighs once, and its hash."""
+def band_keys(hashes: np.ndarray, bands: int, rows: int, factors: np.ndarray) -> np.ndarray:
+    """A key for each band, of the least values of a set of hashes under rows orders; 0 for an empty set."""
+    if not len(hashes):
+        return np.zeros(bands, np.uint64)
+    least = np.full(bands * rows, ALL)
+    for at in range(0, len(hashes), 8192):
+        np.minimum(least, (factors[:, None] * hashes[None, at : at + 8192]).min(axis=1), out=least)
+    keys = np.zeros(bands, np.uint64)
+    for column in least.reshape(bands, rows).T:
+        keys = mixed(keys ^ column, 1)
+    return keys
+
+
+def sketches(docs: DataFrame, k: int, search: Search) -> DataFrame:
+    """(doc_id, rid, digest, w0, ..., k0, ...): rid is xxhash64(text); digest, fingerprint and bands are those of the set of a text's shingle hashes, in which each shingle weighs once."""
+    factors, columns = orders(search.bands * search.rows), search.columns()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                sets = [np.unique(shingle_hashes(text, k)) for text in part.column(2).to_pylist()]
-                prints = np.array([[np.packbits(2 * bit_counts(mixed(h, n)) > len(h), bitorder="little").view("<u8")[0] for n in range(words)] for h in sets], np.uint64).reshape(-1, words).view(np.int64)
-                digests = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
-                hashes = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(np.ascontiguousarray(prints[:, i])) for i in range(words)), digests, hashes], ["doc_id", "rid", *names(words), "digest", "hashes"])
-
-    schema = ", ".join(["doc_id long", "rid long", *(f"{w} long" for w in names(words)), "digest binary", "hashes array<long>"])
+                out, digests = np.zeros((part.num_rows, len(columns)), np.uint64), []
+                for r, text in enumerate(part.column(2).to_pylist()):
+                    own = shingle_set(text, k)
+                    digests.append(xxhash.xxh3_128_digest(own.tobytes()))
+                    out[r, : search.words] = [np.packbits(2 * bit_counts(mixed(own, n)) > len(own), bitorder="little").view("<u8")[0] for n in range(search.words)]
+                    out[r, search.words :] = band_keys(own, search.bands, search.rows, factors)
+                found = out.view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.binary()), *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(len(columns)))], ["doc_id", "rid", "digest", *columns])
+
+    schema = ", ".join(["doc_id long", "rid long", "digest binary", *(f"{c} long" for c in columns)])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
+def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
+    """(node, text) to (node, hashes): the sorted set of the shingle hashes; of repeated nodes one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part, nodes, sets = batch.slice(at, 512), [], []
+                for node, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if node not in seen:
+                        seen.add(node)
+                        nodes.append(node)
+                        sets.append(shingle_set(text, k))
+                if nodes:
+                    hashes = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), hashes], ["node", "hashes"])
+
+    return texts.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"])
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, part_rows: int = 256, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Those pairs (u, v) whose sets (node, hashes) have a Jaccard similarity of the percent or more. A v of many pairs is dealt out in parts."""
     many = written(pairs.groupBy("v").count().where(F.col("count") > part_rows).select("v", F.ceil(F.col("count") / part_rows).alias("parts")), "simhash-many")
@@ -315,30 +458,63 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, part_rows: int = 2
     return both.where(F.when(alike, 100 * common >= percent * (total - common)).otherwise(False)).select("u", "v")
 
 
-def copies(docs: DataFrame, k: int, search: Search, percent: int = 80, block_rows: int = 8192) -> DataFrame:
-    """(doc_id, rid) of the rows of docs (doc_id, text) to reject, rid being xxhash64(text): in order of doc_id, a set of shingles goes if its
-    exact Jaccard similarity to one that stays is the percent or more, and of rows with equal sets those of the smallest id stay.
+def copies(docs: DataFrame, k: int, search: Search, percent: int = 80, block_rows: int = 8192, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(doc_id, rid) of the rows of docs (doc_id, text) to reject, rid being xxhash64(text): those whose set of shingles has an exact Jaccard
+    similarity of the percent or more to that of a smaller doc_id, and of texts with equal sets all but that of the smallest id.
 
-    The search only finds candidates. Of those left, a set that is the first of its links in each bucket stays; the others are compared with
-    the staying ones that they are linked to, and what is neither goes into the next round. So each link
-    that the search finds is compared, without all pairs of a large group. Null ids come last.
+    The search only finds candidates. A set is compared with its nearest candidate of a smaller id; if they aren't alike and there are more, with
+    the nearest in each of 16 and of 256 slots, then with all. So no candidate is passed over, while a
+    large group of copies costs one comparison each. Only texts that have a candidate are read again for
+    that. Null ids come last; null texts are one set with those that have no words; rows equal in id and text are one text, so none of them is rejected for another.
     """
-    words = names(search.words)
-    prints = written(shingle_sets(docs, k, search.words), "simhash-sets")
-    first = prints.groupBy("digest").agg(F.min("doc_id").alias("id"), *(F.min(w).alias(w) for w in words))
-    nodes = written(first.orderBy(F.asc_nulls_last("id"), "digest").withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")  # grows with the id
-    left, sets, gone = nodes.select(F.col("node").alias("id"), *words), None, None
-    while True:
-        found = written(links(left, search, block_rows).distinct(), "simhash-links")
+    columns = search.columns()
+    prints = written(sketches(docs, k, search), "simhash-sketches")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
+    sets = prints.groupBy("digest").agg(least, F.count("*").alias("n"), *(F.min(c).alias(c) for c in columns))
+    sets = sets.select("digest", "n", F.col("first.doc_id").alias("first_id"), F.col("first.rid").alias("first_rid"), *columns)
+    nodes = written(sets.orderBy(F.asc_nulls_last("first_id"), "digest").withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")  # grows with the id
+    left, sets, gone = nodes.select(F.col("node").alias("id"), *columns, F.lit(True).alias("mark")), None, None
+    for slots in (1, 16, 256, 2 * block_rows * 64):
+        ready = buckets(left, search, block_rows, broadcast_rows)
+        kernel = lambda ids, fp, mark, group, table, slots=slots: _nearest(ids, fp, mark, group, min(slots, len(ids)), search)
+        found = written(compared(ready, kernel, "u long, v long, more boolean").groupBy("u", "v").agg(F.max("more").alias("more")), "simhash-links")
         if found.isEmpty():
             break
-        if sets is None:
-            ends = found.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "digest"), "node")
-            one = ends.join(prints.select("digest", "hashes"), "digest").dropDuplicates(["node"])
-            sets = written(one.select("node", "hashes"), "simhash-compared")
-        waiting = found.select("u").distinct()
-        near = written(verified(found.join(waiting.withColumnRenamed("u", "v"), "v", "left_anti").select("u", "v"), sets, percent).select("u").distinct(), "simhash-near")
+        ends = found.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "first_id", "first_rid"), "node")
+        ends = small(written(ends, "simhash-ends"), broadcast_rows)
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ends, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.xxhash64("text") == F.col("first_rid")))
+        sets = written(shingle_sets(texts, k), "simhash-compared")
+        near = written(verified(found.select("u", "v"), sets, percent).select("u").distinct(), "simhash-near")
         gone = near if gone is None else gone.unionByName(near)
-        left = written(left.join(waiting.join(near, "u", "left_anti").withColumnRenamed("u", "id"), "id"), "simhash-left")
-    judged = nodes.select("digest", "id", F.lit(False).alias("copy")) if gone is None else nodes.join(gone.withColumnRenamed("u", "node").withColumn("copy", F.lit(True)), "node", "left").select("digest", "id", F.coalesce("copy", F.lit(False)).alias("copy"))
-    return prints.select("doc_id", "rid", "digest").join(judged, "digest").where(F.col("copy") | ~F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "rid")
+        open_ones = written(found.where("more").select("u").distinct().join(near, "u", "left_anti"), "simhash-open")
+        if open_ones.isEmpty():
+            break
+        marks = small(open_ones.select(F.col("u").alias("id"), F.lit(True).alias("open")), broadcast_rows)
+        left = left.drop("mark").join(marks, "id", "left").withColumn("mark", F.col("open").isNotNull()).drop("open")
+    judged = nodes.select("digest", "node", "n", "first_id", "first_rid")
+    copy = F.lit(False) if gone is None else F.coalesce("copy", F.lit(False))
+    judged = judged if gone is None else judged.join(gone.withColumnRenamed("u", "node").withColumn("copy", F.lit(True)), "node", "left")
+    judged = small(written(judged.select("digest", copy.alias("copy"), "n", "first_id", "first_rid").where("copy or n > 1"), "simhash-judged"), broadcast_rows)
+    other = ~(F.col("doc_id").eqNullSafe(F.col("first_id")) & F.col("rid").eqNullSafe(F.col("first_rid")))
+    return prints.select("doc_id", "rid", "digest").join(judged, "digest").where(F.col("copy") | other).select("doc_id", "rid")
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose (doc_id, xxhash64(text)) is none of gone (doc_id, rid); a null id equals a null id."""
+    names_of = [f"{c}_{uuid.uuid4().hex}" for c in gone.columns]  # no columns of docs
+    own = gone.toDF(*names_of)
+    return docs.join(own, F.col("doc_id").cast("long").eqNullSafe(F.col(names_of[0])) & (F.xxhash64("text") == F.col(names_of[1])), "left_anti")
+
+
+def without_repeats(docs: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """One of the rows that are equal in doc_id and text. Rows that don't repeat aren't moved, unless very many ids do."""
+    rid = f"rid_{uuid.uuid4().hex}"  # no column of docs
+    repeats = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid")).count().where("count > 1").select("doc_id", "rid")
+    repeats = written(repeats, "simhash-repeats")
+    if repeats.isEmpty():
+        return docs
+    repeats = small(repeats, broadcast_rows)
+    renamed = repeats.toDF(f"id_{rid}", rid)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"id_{rid}")) & (F.xxhash64("text") == F.col(rid))
+    once = docs.join(renamed, same).dropDuplicates(["doc_id", rid]).select(*docs.columns)
+    return without_rows(docs, repeats).unionByName(once)
