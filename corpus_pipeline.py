@@ -2,49 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platen.llm import bpe, decontaminate, quality, simhash, toxicity
 from platen.llm.common import small, table, written
 from platen.llm.queries import TOXIC, tokenizer_path
 
-#: Rejected ids are broadcast up to so many; beyond, the join shuffles.
-BROADCAST_IDS = 2_000_000
+#: Rejected rows are broadcast up to so many, and within a bound of bytes; beyond, the join shuffles.
+BROADCAST_ROWS = 2_000_000
+
+
+def row_key() -> Column:
+    """Tells rows apart: a hash of id, text and source. Rows with all three equal share every verdict."""
+    return F.xxhash64(F.col("doc_id"), F.lit("|"), F.col("text"), F.lit("|"), F.col("source"))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, source) with the row's key in the place of its id, for operators that judge rows: ids may be null or repeat."""
+    return docs.select(row_key().alias("doc_id"), "text", "source")
 
 
 def without(docs: DataFrame, rejected: DataFrame, label: str) -> DataFrame:
-    """The rows whose doc_id isn't among the rejected ones: the table of rejections is small, so texts needn't move."""
-    ids = small(written(rejected.select("doc_id").distinct(), f"rejected-{label}"), BROADCAST_IDS)
-    return docs.join(ids.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """The rows whose key isn't among the rejected ones: the table of rejections is small, so texts needn't move."""
+    name = f"key_{uuid.uuid4().hex}"  # no column of the documents
+    keys = small(written(rejected.select(F.col("doc_id").alias(name)).distinct(), f"rejected-{label}"), BROADCAST_ROWS)
+    return docs.join(keys, row_key() == F.col(name), "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules, or that are depleted by the removal of frequent lines, go."""
-    return without(docs, quality.judge(docs).where("not kept"), "quality")
+    """Documents that fail the base rules, or that are depleted by the removal of frequent lines, go.
+
+    Each row is judged by itself, whatever its id: null and empty texts fail, rows with a null or a repeated id are kept or rejected by their
+    text and source, repeated rows alike; a null source is a host of its own. Other columns pass through, whatever their names.
+    """
+    return without(docs, quality.judge(keyed(docs)).where("not kept"), "quality")
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score of TOXIC or more go; the model learns from the labels of what is left."""
+    """Documents with a score of TOXIC or more go; the model learns from the labels of what is left.
+
+    Each row is judged by its text: null and empty texts score 0 and stay, null and repeated ids and repeated rows make no
+    difference. Without labelled documents nothing scores. Other columns pass through, whatever their names.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return without(docs, toxicity.score(docs, model).where(F.col("score") >= TOXIC), "toxic")
+    return without(docs, toxicity.score(keyed(docs), model).where(F.col("score") >= TOXIC), "toxic")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """In order of doc_id, documents go that are alike to one that stays: sets of five-word shingles, exact Jaccard similarity of 0.8 or more."""
-    search = simhash.Search.similar(docs.count(), slack=3.0)
-    gone = small(written(simhash.copies(docs, 5, search).distinct(), "rejected-copies"), BROADCAST_IDS).toDF("__id", "__rid")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__rid")), "left_anti")
+    """In order of doc_id, documents go that are alike to one that stays: sets of five-word shingles, exact Jaccard similarity of 0.8 or more.
+
+    One of each group of copies stays, also among rows with one id or without any (null ids come last); of rows equal in id and text
+    one stays. Null, empty and wordless texts are copies of each other. Other columns pass through, whatever their names.
+    """
+    gone = simhash.copies(docs, 5, simhash.Search.similar()).distinct()
+    left = simhash.without_rows(docs, small(written(gone, "rejected-copies"), BROADCAST_ROWS))
+    return simhash.without_repeats(left, BROADCAST_ROWS)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that hold a window of a benchmark item go.
+
+    Each row is judged by its text: null and empty texts stay, null and repeated ids and repeated rows make no difference. Items
+    without words match nothing. Other columns pass through, whatever their names.
+    """
+    found = decontaminate.contamination(keyed(docs), table(spark, sf_dir, "benchmark"))
     return without(docs, found.where("contaminated"), "benchmark")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), and digests of the ids and of the text decoded from them."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), and digests of the ids and of the text decoded from them.
+
+    A row for each row, with null and repeated ids as they are; null text counts as empty and has no ids; other columns go.
+    """
     path = tokenizer_path("word_bpe_49k.json")
     both = bpe.encode(docs, path, with_decoded=True)
     return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "ids")
