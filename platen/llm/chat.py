@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,34 +41,34 @@ class Template:
 def format_conversations(turns: DataFrame, template: Template = Template()) -> DataFrame:  # noqa: B008
     """Rows (conv_id, turn, role, text) to (conv_id, formatted, loss).
 
-    The turns of a conversation are collected as structs and sorted by turn (ties: role, then text); adjacent turns of one role
+    Windows of a conversation number its turns and add up where their texts will stand, so the time grows with its length alone. The turns of a conversation are collected as structs and sorted by turn (ties: role, then text); adjacent turns of one role
     become one run, its texts joined by the mark between; runs are concatenated. loss: array of (start, end), in code points
     of formatted, a span for each turn of a role to learn from. Null roles and texts count as empty; null conv_ids
     are one conversation; repeated rows are turns of their own; other columns are ignored. A conversation is one row
     of the result, so its turns meet in one task.
     """
     t = template
-    rows = turns.select("conv_id", F.struct("turn", t.escape(F.col("role")).alias("role"), t.escape(F.col("text")).alias("text")).alias("t"))
-    sorted_turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    first = lambda x, i: (i == 0) | (x.role != F.col("turns")[F.greatest(i - 1, F.lit(0))].role)
-    last = lambda x, i: (i == F.size("turns") - 1) | (x.role != F.col("turns")[F.least(i + 1, F.size("turns") - 1)].role)
-    marked = sorted_turns.select("conv_id", F.transform("turns", lambda x, i: F.struct(x.role.alias("role"), x.text.alias("text"), first(x, i).alias("first"), last(x, i).alias("last"))).alias("turns"))
+    rows = turns.select("conv_id", "turn", t.escape(F.col("role")).alias("role"), t.escape(F.col("text")).alias("text"))
+    own = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    order = rows.withColumn("n", F.row_number().over(own)).withColumn("before", F.lag("role").over(own)).withColumn("next", F.lead("role").over(own))
+    first, last = ~F.col("role").eqNullSafe(F.col("before")), ~F.col("role").eqNullSafe(F.col("next"))
+    head = F.when(first, F.length("role") + len(t.open) + len(t.role_end)).otherwise(0)
+    tail = F.when(last, len(t.close)).otherwise(len(t.between))
+    size = (head + F.length("text") + tail).cast("long")
+    placed = order.select("conv_id", "n", "role", "text", first.alias("first"), head.alias("head"), size.alias("size")).withColumn("end", F.sum("size").over(Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))
+    start = F.col("end") - F.col("size") + F.col("head")
+    placed = placed.select("conv_id", F.struct("n", "role", "text", "first", start.cast("int").alias("start"), (start + F.length("text")).cast("int").alias("stop")).alias("t"))
+    sorted_turns = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     starts = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: F.col("turns")[i]["first"])
-    marked = marked.select("conv_id", "turns", starts.alias("starts"))
+    marked = sorted_turns.select("conv_id", "turns", starts.alias("starts"))
     ends = lambda j: F.coalesce(F.get("starts", j + 1), F.size("turns"))
     run = lambda s, j: F.concat(F.lit(t.open), F.col("turns")[s].role, F.lit(t.role_end), F.array_join(F.transform(F.slice("turns", s + 1, ends(j) - s), lambda x: x.text), t.between), F.lit(t.close))
+    loss = F.transform(F.filter("turns", lambda x: x.role.isin(*t.learn_from)), lambda x: F.struct(x.start.alias("start"), x.stop.alias("end")))
+    return marked.select("conv_id", F.array_join(F.transform("starts", run), "").alias("formatted"), loss.alias("loss"))
 
-    def step(acc: Column, x: Column) -> Column:
-        head = F.when(x["first"], F.length(x.role) + len(t.open) + len(t.role_end)).otherwise(0)
-        start = acc.at + head
-        end = start + F.length(x.text)
-        span = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
-        spans = F.when(x.role.isin(*t.learn_from), F.array_append(acc.spans, span)).otherwise(acc.spans)
-        return F.struct((end + F.when(x["last"], len(t.close)).otherwise(len(t.between))).cast("int").alias("at"), spans.alias("spans"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    loss = F.aggregate("turns", zero, step, lambda acc: acc.spans)
-    return marked.select("conv_id", F.array_join(F.transform("starts", run), "").alias("formatted"), loss.alias("loss"))
+#: Code points from which a text is cut into them before spans are taken: each span of a string is sought from its start.
+LONG = 100_000
 
 
 def read_back(formatted: DataFrame, template: Template = Template()) -> DataFrame:  # noqa: B008
@@ -77,5 +77,6 @@ def read_back(formatted: DataFrame, template: Template = Template()) -> DataFram
     runs = F.slice(F.split("formatted", re.escape(t.open)), F.lit(2), F.greatest(F.size(F.split("formatted", re.escape(t.open))) - 1, F.lit(0)))
     runs = F.transform(runs, lambda r: F.split(F.substring(r, F.lit(1), F.length(r) - len(t.close)), re.escape(t.role_end)))
     turns = F.flatten(F.transform(runs, lambda r: F.transform(F.split(r[1], re.escape(t.between)), lambda x: F.struct(t.unescape(r[0]).alias("role"), t.unescape(x).alias("text")))))
-    learned = F.transform("loss", lambda s: t.unescape(F.substring("formatted", s.start + 1, s.end - s.start)))
-    return formatted.select("conv_id", "formatted", "loss", turns.alias("turns"), learned.alias("learned"))
+    cut = formatted.select("conv_id", "formatted", "loss", F.when(F.length("formatted") > LONG, F.split("formatted", "")).alias("points"))
+    span = lambda s: F.when(F.col("points").isNull(), F.substring("formatted", s.start + 1, s.end - s.start)).otherwise(F.array_join(F.slice("points", s.start + 1, s.end - s.start), ""))
+    return cut.select("conv_id", "formatted", "loss", turns.alias("turns"), F.transform("loss", lambda s: t.unescape(span(s))).alias("learned"))

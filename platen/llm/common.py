@@ -82,4 +82,5 @@ def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     """Join on equal keys, null to null; the result has the keys once."""
     named = right.select(*(F.col(c).alias(f"__{c}" if c in keys else c) for c in right.columns))
     condition = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    return left.join(named, condition, how).drop(*(f"__{k}" for k in keys))
+    joined = left.join(named, condition, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*(f"__{k}" for k in keys))

@@ -62,8 +62,8 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 10, broadcast_rows: in
     Shingles of two words (one, for windows of one word) are counted over all documents; a window's prefix is its rarest
     shingle, which a document with the window must have. Windows with a shingle that no document has are dropped.
     Prefixes meet the documents' shingles on their hash; places where the window would stand out of the text are dropped;
-    what is left is compared word by word with the text. The tables on the benchmark's side are broadcast up to
-    broadcast_rows rows, beyond that joined by a shuffle that Spark may split.
+    the words at the places that are left are compared with the windows, whole. The tables on the benchmark's side are broadcast up to
+    broadcast_rows rows and a bound of bytes, beyond that joined by a shuffle that Spark may split; of the documents' side, ids are.
     """
     owners = written(windows_of(items, window), "windows")
     wins = owners.select("win", "len").distinct().withColumn("words", F.transform(F.split("win", " "), lambda w: F.upper(w)))
@@ -77,22 +77,24 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 10, broadcast_rows: in
     keys = small(written(own.select("size", "token").distinct(), "window-keys"), broadcast_rows)
     counts = written(_tokens(docs, sizes).select("size", "token").join(keys, ["size", "token"]).groupBy("size", "token").count(), "token-counts")
     ranked = own.join(counts, ["size", "token"], "left").groupBy("win", "len", "size").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "token", "offset")).alias("first"))
-    prefix = ranked.where("first.count > 0").groupBy("size", F.col("first.token").alias("token")).agg(F.collect_list(F.struct(F.col("first.offset").alias("offset"), "len", "win")).alias("wins"))
+    # where a window would start and how long it is, whichever it is: at most some window * window rows a token
+    prefix = ranked.where("first.count > 0").select("size", F.col("first.token").alias("token"), F.col("first.offset").alias("offset"), "len").distinct()
     prefix = small(written(prefix, "window-prefixes"), broadcast_rows)
 
-    met = _tokens(docs, sizes).join(prefix, ["size", "token"])
-    fits = F.filter("wins", lambda w: (F.col("pos") >= w.offset) & (F.col("pos") - w.offset + w.len <= F.col("n_words")))
-    placed = F.transform(fits, lambda w: F.struct((F.col("pos") - w.offset).alias("start"), w.len.alias("len"), w.win.alias("win")))
-    found = met.select("doc_id", "rid", placed.alias("wins")).where(F.size("wins") > 0)
-    cands = written(found.groupBy("doc_id", "rid").agg(F.array_distinct(F.flatten(F.collect_list("wins"))).alias("wins")), "window-candidates")
-
-    texts = join_same(docs.select("doc_id", "rid", "text"), small(cands, broadcast_rows // 10), ["doc_id", "rid"])
-    exact = texts.select("doc_id", "rid", words_of(F.col("text")).alias("words"), "wins")
-    exact = exact.select("doc_id", "rid", F.filter("wins", lambda w: F.array_join(F.slice("words", w.start + 1, w.len), " ") == w.win).alias("wins")).where(F.size("wins") > 0)
-    places = F.flatten(F.transform("wins", lambda w: F.sequence(w.start, w.start + w.len - 1)))
-    exact = written(exact.select("doc_id", "rid", F.size(F.array_distinct(places)).cast("long").alias("n_hit"), F.array_distinct(F.transform("wins", lambda w: w.win)).alias("wins")).distinct(), "window-hits")
-    named = exact.select("doc_id", "rid", F.explode("wins").alias("win")).join(owners.select("win", F.col("item_id").cast("string").alias("item_id")), "win").groupBy("doc_id", "rid").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    return join_same(exact.select("doc_id", "rid", "n_hit"), named, ["doc_id", "rid"])
+    start = F.col("pos") - F.col("offset")
+    met = _tokens(docs, sizes).join(prefix, ["size", "token"]).where((start >= 0) & (start + F.col("len") <= F.col("n_words")))
+    places = met.groupBy("doc_id", "rid").agg(F.collect_set(F.struct(start.alias("start"), "len")).alias("places"))
+    cands = written(places, "window-candidates")
+
+    # only texts with a candidate go on; their places are as many as they have words at most
+    ids = small(written(cands.select("doc_id", "rid").distinct(), "window-documents"), broadcast_rows)
+    texts = join_same(docs.select("doc_id", "rid", "text"), ids, ["doc_id", "rid"], "left_semi").dropDuplicates(["doc_id", "rid"])
+    exact = join_same(texts, small(cands, broadcast_rows), ["doc_id", "rid"]).select("doc_id", "rid", words_of(F.col("text")).alias("words"), "places")
+    cut = exact.select("doc_id", "rid", F.explode(F.transform("places", lambda p: F.struct(p.start.alias("start"), p.len.alias("len"), F.array_join(F.slice("words", p.start + 1, p.len), " ").alias("win")))).alias("p")).select("doc_id", "rid", "p.start", "p.len", "p.win")
+    named = small(written(owners.select("win", F.col("item_id").cast("string").alias("item_id")).groupBy("win").agg(F.collect_set("item_id").alias("items")), "window-items"), broadcast_rows)
+    same = cut.join(named, "win")
+    spans = F.flatten(F.collect_list(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)))
+    return same.groupBy("doc_id", "rid").agg(F.size(F.array_distinct(spans)).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, broadcast_rows: int = 2_000_000) -> DataFrame:

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from platen.llm.common import written
@@ -25,11 +25,15 @@ CELLS, KEPT = 1 << 20, 300_000
 
 @dataclass(frozen=True)
 class Fit:
-    """Bounds of the sample the model is fitted on, and of the model."""
+    """Bounds of the sample of labelled documents that the model is fitted on, and settings of the fit.
+
+    max_docs and max_bytes: labelled documents, in order of a hash of their id, as many as keep to both; evidence of features comes from all of
+    them. field_tokens: the chain's weights are fitted on those of them, toxic ones of each fiftieth first, that have so many tokens together.
+    """
 
     max_docs: int = 6000
-    max_tokens: int = 400_000
-    max_features: int = 2000
+    max_bytes: int = 48 << 20
+    field_tokens: int = 400_000
     rounds: int = 40
     ratio: float = 30.0
     evidence: float = 22.0
@@ -120,13 +124,13 @@ def fit(texts: list[str], toxic: list[int], bounds: Fit = Fit()) -> Model:  # no
         ratio = (n + 0.5) / n1 * n0 / (by[0][f] + 0.5)
         if ratio >= bounds.ratio and n * math.log(ratio) >= bounds.evidence:
             found.append((-n * math.log(ratio), f))
-    chosen = {f: i for i, (_, f) in enumerate(sorted(found)[: bounds.max_features])}
+    chosen = {f: i for i, (_, f) in enumerate(sorted(found))}
     weights, bias, move = np.zeros(len(chosen)), -4.0, np.log(np.array([[0.99, 0.01], [0.8, 0.2]]))
 
     rows, total, order = [], 0, sorted(range(len(texts)), key=lambda i: (i // max(1, len(texts) // 50), -toxic[i], i))
     for i in order:
         tokens = [w.lower() for w in TOKEN.findall(texts[i])]
-        if tokens and total + len(tokens) <= bounds.max_tokens:
+        if tokens and total + len(tokens) <= bounds.field_tokens:
             active = [[chosen[f] for f in features(w) if f in chosen] for w in tokens]
             rows.append((len(tokens), active, [int(bool(a) and toxic[i]) for a in active]))
             total += len(tokens)
@@ -163,12 +167,19 @@ def fit(texts: list[str], toxic: list[int], bounds: Fit = Fit()) -> Model:  # no
 
 
 def sample(docs: DataFrame, labels: DataFrame, bounds: Fit = Fit()) -> tuple[list[str], list[int]]:  # noqa: B008
-    """Whole texts and labels of at most max_docs labelled documents, by a hash of their id; labels are learned only where crc32(doc_id as text) mod 4 isn't 2."""
+    """Whole texts and labels of labelled documents within the bounds' max_docs and max_bytes, by a hash of their id.
+
+    Labels are learned only where crc32(doc_id as text) mod 4 isn't 2; those and texts that are null count for nothing. Of rows with one
+    id, one text counts, and the id is toxic if one of its labels is.
+    """
     known = labels.where("doc_id is not null and toxic is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = docs.select("doc_id").join(known, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = written(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bounds.max_docs), "toxic-sample")
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (hash((r.doc_id * 0x9E3779B97F4A7C15) & 0xFFFFFFFF), r.doc_id, r.text))
+    sized = docs.where("text is not null").select("doc_id", F.struct(F.octet_length("text").alias("size"), F.xxhash64("text").alias("rid")).alias("t"))
+    ids = sized.join(known, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("t").alias("t")).withColumn("place", F.xxhash64("doc_id"))
+    ids = ids.orderBy("place", "doc_id").limit(bounds.max_docs).withColumn("upto", F.sum("t.size").over(Window.orderBy("place", "doc_id")))  # a window over max_docs rows
+    ids = written(ids.where(F.col("upto") <= bounds.max_bytes).select("doc_id", "toxic", "t.rid"), "toxic-sample")
+    named = ids.select(F.col("doc_id").alias("id"), "rid", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(named), (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("rid"))).select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).collect()
+    rows.sort(key=lambda r: ((r.doc_id * 0x9E3779B97F4A7C15) & 0xFFFFFFFF, r.doc_id))
     return [r.text for r in rows], [int(r.toxic > 0) for r in rows]
 
 

@@ -77,8 +77,8 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
 
     Pre-tokens are words between ASCII white space with the mark of a word start before them. A worker
     gathers the distinct new ones of a batch, scores them in trie order and keeps their counts, up to a bound, for
-    all its tasks; documents add up counts, and nothing is shuffled. Null text counts as empty; repeated rows
-    stay; other columns are ignored.
+    all its tasks; documents add up counts, and nothing is shuffled. Null text counts as empty; bytes that aren't
+    UTF-8 count as U+FFFD; repeated rows stay; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,8 +93,9 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
                 if len(known) + len(new) > WORDS:
                     known.clear()
                     new = set().union(*texts)
-                names = {START + w.decode("utf-8", "replace"): w for w in new}
-                found = {names[w]: n for w, n in vocabulary.counts(names).items()}
+                names = {w: START + w.decode("utf-8", "replace") for w in new}  # words that aren't UTF-8 may decode alike
+                counted = vocabulary.counts(set(names.values()))
+                found = {w: counted[name] for w, name in names.items()}
                 totals = [sum([known[w] if w in known else found[w] for w in words]) for words in texts]
                 known.update((w, n) for w, n in found.items() if len(w) <= LONG_WORD)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(totals, pa.int64())], ["doc_id", "n_pretokens", "n_tokens"])

@@ -80,7 +80,22 @@ def test_stages_keep_null_ids_and_clean_repeats(spark, tmp_path, name):
     rows = [(None, texts[3], None, None, None), (5, texts[5], "en", "s", 1), (5, texts[5], "en", "s", 1), (6, None, "en", "s", 0)]
     out = dict(corpus_pipeline.STAGES)[name](spark, spark.createDataFrame(rows, DOCS), folder).collect()
     found = [r.doc_id for r in out]
-    assert found.count(5) == 2 and None in found and (6 in found) == (name != "quality")
+    assert found.count(5) == (1 if name == "simhash" else 2) and None in found and (6 in found) == (name != "quality")
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_stages_reject_rows_not_ids(spark, tmp_path, name):
+    texts = corpus()
+    good, bad = texts[:40], {"quality": "too short", "toxicity": texts[40] and next(t for t in texts if t and "scumfiend" in t), "simhash": texts[0].upper(), "decontamination": next(t for t in texts if t and ITEM in t)}[name]
+    folder = written_tables(spark, tmp_path / "t", texts, {i for i, t in enumerate(texts) if t and "scumfiend" in t})
+    known = [(i, t) for i, t in enumerate(texts) if t and len(t.split()) >= 20 and i >= 4] if name == "toxicity" else []
+    rows = [(100 + i, t, "en", "s", 1, 1, 1) for i, t in enumerate(good[:1])] + [(None, good[1], None, "s", 1, 1, 1), (None, bad, None, "s", 1, 1, 1), (200, good[2], "en", "s", 1, 1, 1), (200, bad, "en", "s", 1, 1, 1), (300, good[3], "en", None, 1, None, None)]
+    rows += [(i, t, "en", "s", 1, 1, 1) for i, t in known]
+    docs = spark.createDataFrame(rows, DOCS + ", __id long, rid long")
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, folder)
+    kept = {(r.doc_id, r.text) for r in out.collect()}
+    assert {(None, good[1]), (200, good[2]), (300, good[3]), (100, good[0])} <= kept and out.columns == docs.columns
+    assert (None, bad) not in kept and (200, bad) not in kept
 
 
 def test_only_exact_similarity_of_four_fifths_makes_copies(spark, tmp_path):
@@ -96,8 +111,5 @@ def test_only_exact_similarity_of_four_fifths_makes_copies(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
     kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash"](spark, docs, "").collect()}
     near = lambda a, b: len(shingles(texts[a]) & shingles(texts[b])) >= 0.8 * len(shingles(texts[a]) | shingles(texts[b]))
-    expected = set()
-    for b in range(len(texts)):
-        if not any(near(a, b) for a in expected):
-            expected.add(b)
+    expected = {b for b in range(len(texts)) if not any(near(a, b) for a in range(b))}
     assert kept == expected and len(expected) == 101
