@@ -16,6 +16,34 @@ def rotated_bounds(labelled: DataFrame, degrees: float) -> DataFrame:
     return labelled.groupBy("img", "label").agg(F.min(F.least(*xs)).alias("min_x"), F.min(F.least(*ys)).alias("min_y"), F.max(F.greatest(*xs)).alias("max_x"), F.max(F.greatest(*ys)).alias("max_y"))
 
 
+def corner_bounds(corners: Column, off_x: Column, off_y: Column, theta: Column) -> Column:
+    """Bounds of a fitted rectangle's corners (array of x, y within an object's bounds), moved to the image and turned by theta about its origin."""
+    c, s = F.cos(theta.cast("double")), F.sin(theta.cast("double"))
+    at = lambda p: (p["x"] + off_x, p["y"] + off_y)
+    xs = F.transform(corners, lambda p: at(p)[0] * c - at(p)[1] * s)
+    ys = F.transform(corners, lambda p: at(p)[0] * s + at(p)[1] * c)
+    return F.when(corners.isNotNull(), F.struct(F.array_min(xs).alias("min_x"), F.array_min(ys).alias("min_y"), F.array_max(xs).alias("max_x"), F.array_max(ys).alias("max_y")))
+
+
+def run_bounds(runs: Column, theta: Column) -> Column:
+    """Bounds of all pixel corners of an object's runs (array of y, left, right), turned by theta about the image's origin: those of the runs' own four corners."""
+    c, s = F.cos(theta.cast("double")), F.sin(theta.cast("double"))
+    ends = F.flatten(F.transform(runs, lambda r: F.array(*(F.struct((x + F.lit(0.0)).alias("x"), (r["y"] + F.lit(float(d))).alias("y")) for x in (r["left"], r["right"] + 1) for d in (0, 1)))))
+    xs, ys = F.transform(ends, lambda p: p["x"] * c - p["y"] * s), F.transform(ends, lambda p: p["x"] * s + p["y"] * c)
+    return F.struct(F.array_min(xs).alias("min_x"), F.array_min(ys).alias("min_y"), F.array_max(xs).alias("max_x"), F.array_max(ys).alias("max_y"))
+
+
+def crop_bounds(corners: Column, runs: Column, off_x: Column, off_y: Column, theta: Column) -> Column:
+    """The fitted rectangle's bounds if there is one, else those of the object's pixels."""
+    return F.coalesce(corner_bounds(corners, off_x, off_y, theta), run_bounds(runs, theta))
+
+
+def expanded(bounds: Column, percent: Column) -> Column:
+    """Each side moved out by the percent of the extent (at least 1)."""
+    side = lambda a: F.greatest(bounds[f"max_{a}"] - bounds[f"min_{a}"], F.lit(1.0)) * F.greatest(percent, F.lit(0.0)) / 100
+    return F.struct(*((bounds[f"{end}_{a}"] + (1 if end == "max" else -1) * side(a)).alias(f"{end}_{a}") for end in ("min", "max") for a in "xy"))
+
+
 def padded(bounds: DataFrame, percent: float) -> DataFrame:
     """Each side moved out by the percent of its extent (at least 1), and the size in whole pixels (at least 1)."""
     w, h = F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from platen.operators.grouped import by_group
+
 #: Share of the filled area in the rectangularity; the support of the sides has the rest.
 FILL_SHARE = 0.25
 #: Decimals that projections are rounded to, so that equal rectangles of several edges tie.
@@ -41,6 +43,21 @@ def _least(columns: pd.DataFrame) -> tuple[float, ...] | None:
     return (*u[i], *np.round([along[:, i].min(), across[:, i].min(), w[i], h[i]], PLACES))
 
 
+def least_rectangle(points: np.ndarray) -> tuple[float, ...] | None:
+    """(ux, uy, u0, v0, w, h) of the least rectangle around (n x 2) points; none for points on one line."""
+    x, y = points[np.lexsort((points[:, 1], points[:, 0]))].T
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, int)
+    last = np.concatenate([first[1:], [len(x)]]) - 1
+    return _least(pd.DataFrame({"x": x[first], "low": y[first], "high": y[last]})) if len(first) > 1 else None
+
+
+def rectangle_corners(rect: tuple[float, ...]) -> np.ndarray:
+    """The four corners (4 x 2) of (ux, uy, u0, v0, w, h)."""
+    ux, uy, u0, v0, w, h = rect
+    u, v = np.array([u0, u0 + w, u0 + w, u0]), np.array([v0, v0, v0 + h, v0 + h])
+    return np.stack([u * ux - v * uy, u * uy + v * ux], axis=1)
+
+
 def least_rectangles(points: DataFrame) -> DataFrame:
     """Points (obj, x, y) to (obj, ux, uy, u0, v0, w, h): the rectangle of least area on an edge of the hull, of ties the first edge.
 
@@ -55,7 +72,7 @@ def least_rectangles(points: DataFrame) -> DataFrame:
         rows = [] if found is None else [(frame["obj"].iloc[0], *found)]
         return pd.DataFrame(rows, columns=["obj", "ux", "uy", "u0", "v0", "w", "h"])
 
-    return columns.groupBy("obj").applyInPandas(one, "obj long, ux double, uy double, u0 double, v0 double, w double, h double")
+    return by_group(columns, ["obj"], one, "obj long, ux double, uy double, u0 double, v0 double, w double, h double")
 
 
 def corners(x: str = "ux", y: str = "uy") -> Column:

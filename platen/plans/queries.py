@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,10 +25,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def alpha_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(img, y, x, alpha): each embedding as an image, its values stretched to 0..255."""
+    """(img, y, x, alpha): each embedding as an image, its values stretched to 0..255; 0 if they are all the same."""
     rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("img"), F.transform("embedding", lambda e: e.cast("double")).alias("e"))
     each = rows.select("img", F.array_min("e").alias("low"), F.array_max("e").alias("high"), F.posexplode("e").alias("p", "v"))
-    alpha = F.round((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * 255).cast("int")
+    alpha = F.coalesce(F.round(F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low")) * 255), F.lit(0)).cast("int")
     return each.select("img", F.floor(F.col("p") / SIDE).cast("int").alias("y"), (F.col("p") % SIDE).cast("int").alias("x"), alpha.alias("alpha"))
 
 
@@ -82,11 +83,11 @@ def rounded(df: DataFrame, names: list[str], places: int = 4) -> DataFrame:
 
 
 def flip_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of an object's sampled lines within 45 degrees, flipped ones (odd parts) against upright ones; no line: null, a tie: not flipped."""
-    lines = votes.sample_lines(text_samples(spark, sf_dir))
-    usable = orientation_distance(F.col("angle"), F.lit(0.0)) <= 45
-    flipped = F.col("pos") % 2 == 1
-    return lines.groupBy("obj").agg(F.sum(F.when(usable & flipped, 1).otherwise(0)).alias("f"), F.sum(F.when(usable & ~flipped, 1).otherwise(0)).alias("u")).select("obj", F.when(F.col("f") + F.col("u") > 0, F.col("f") > F.col("u")).alias("flip"))
+    """Of an object's sampled lines that come out within 45 degrees once it is deskewed by its text angle, flipped ones (odd parts) against upright ones."""
+    samples = text_samples(spark, sf_dir)
+    lines = votes.sample_lines(samples).withColumn("flipped", F.col("pos") % 2 == 1)
+    found = votes.robust_text_angle(samples).select("obj", (-F.radians(F.round("angle_deg", 4).cast("float"))).cast("float").alias("theta"))
+    return votes.flip_votes(lines.join(found, "obj", "left"), F.coalesce("theta", F.lit(0.0)))
 
 
 def doc_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,15 +108,22 @@ def rotated_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crop_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(crops.padded(crops.rotated_bounds(labelled(spark, sf_dir), 30.0), 5.0), ["min_x", "min_y", "max_x", "max_y"])
+    """Windows at 30 degrees: bounds of the least rectangle's corners where an object has one, else of its pixels; 5 percent wider on each side."""
+    pixels = labelled(spark, sf_dir)
+    theta = F.lit(math.radians(30.0))
+    runs = objects.label_runs(foreground(spark, sf_dir), SIDE).groupBy("img", "label").agg(F.collect_list(F.struct("y", "left", "right")).alias("runs"))
+    edge = objects.outline_pixels(foreground(spark, sf_dir), SIDE).select((F.col("img") * SIDE * SIDE + F.col("label")).alias("obj"), "x", "y")
+    fitted = rectangles.least_rectangles(edge).select("obj", rectangles.corners().alias("q"))
+    each = runs.withColumn("obj", F.col("img") * SIDE * SIDE + F.col("label")).join(fitted, "obj", "left")
+    bounds = each.select("img", "label", crops.crop_bounds(F.col("q"), F.col("runs"), F.lit(0), F.lit(0), theta).alias("b")).select("img", "label", "b.*")
+    return rounded(crops.padded(bounds, 5.0), ["min_x", "min_y", "max_x", "max_y"])
 
 
 def output_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = scan_paths(spark, sf_dir)
-    given = F.coalesce(outputs.format_of(F.col("path")), F.lit("png"))
-    planned = paths.select("page_id", "path", given.alias("given"), (F.col("page_id") % 3 == 0).alias("alpha"), (F.col("page_id") % 5 == 0).alias("lossy"))
-    final = planned.withColumn("format", outputs.output_format(F.col("given"), F.col("alpha"), F.col("lossy")))
-    return final.select("page_id", "format", outputs.object_path(F.col("path"), F.col("given"), F.col("format"), F.lit(0)).alias("out_path"))
+    sniffed = F.when(F.col("page_id") % 16 == 7, "jpeg").otherwise("tiff")  # files without an extension
+    planned = outputs.plan(F.col("path"), F.coalesce(outputs.format_of(F.col("path")), sniffed), F.col("page_id") % 3 == 0, F.col("page_id") % 5 == 0)
+    return paths.select("page_id", planned["format"].alias("format"), outputs.object_path(planned["base"], F.lit(0)).alias("out_path"))
 
 
 def skip_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,10 +138,12 @@ def composite_white(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trim_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bounds of pixels that aren't transparent, and the padding of 5 percent of each side."""
-    seen = foreground(spark, sf_dir).groupBy("img").agg(*(F.min(c).alias(f"min_{c}") for c in "xy"), *(F.max(c).alias(f"max_{c}") for c in "xy"))
+    """Bounds of pixels that aren't transparent (of all, if none is seen), and the padding of 5 percent of each side."""
+    seen = lambda c: F.when(F.col("alpha") != 0, F.col(c))
+    low, high = lambda c: F.coalesce(F.min(seen(c)), F.min(c)), lambda c: F.coalesce(F.max(seen(c)), F.max(c))
+    cut = alpha_raster(spark, sf_dir).groupBy("img").agg(*(low(c).alias(f"min_{c}") for c in "xy"), *(high(c).alias(f"max_{c}") for c in "xy"))
     pad = lambda a: F.ceil((F.col(f"max_{a}") - F.col(f"min_{a}") + 1) * 0.05).cast("long").alias(f"pad_{a}")
-    return seen.select("img", "min_x", "min_y", "max_x", "max_y", pad("x"), pad("y"))
+    return cut.select("img", "min_x", "min_y", "max_x", "max_y", pad("x"), pad("y"))
 
 
 def detector_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,13 +218,13 @@ QUERIES: dict[str, Query] = {
     "unclip_rect": unclip_rect,
     "box_score": box_score,
     "angle_decision": angle_decision,
-    "hole_count": lambda s, d: objects.hole_counts(labelled(s, d)),
+    "hole_count": lambda s, d: objects.hole_counts(labelled(s, d), 1),
     "iou_merge": lambda s, d: objects.merged_instances(instance_masks(s, d), MERGE),
     "component_objects": component_objects,
     "alpha_foreground": foreground,
     "min_side_filter": min_side_filter,
     "clipped_sides": lambda s, d: crops.clipped_sides(component_objects(s, d), SIDE, SIDE),
-    "contour_points": lambda s, d: objects.contour(labelled(s, d)),
+    "contour_points": lambda s, d: objects.outline_pixels(foreground(s, d), SIDE),
     "orientation_math": orientation_math,
     "robust_text_angle": robust_text_angle,
     "line_sample_ranks": lambda s, d: votes.sample_lines(text_samples(s, d)),
@@ -235,7 +245,7 @@ QUERIES: dict[str, Query] = {
 _WRAP = "CASE WHEN ((({0}) % 180) + 180) % 180 > 90 THEN ((({0}) % 180) + 180) % 180 - 180 ELSE ((({0}) % 180) + 180) % 180 END"
 _DIST = "least(((({0}) % 180) + 180) % 180, 180 - ((({0}) % 180) + 180) % 180)"
 _X1 = f"""x1 AS (
-    SELECT img, CAST(p // {SIDE} AS INTEGER) AS y, CAST(p % {SIDE} AS INTEGER) AS x, CAST(round((CAST(v AS DOUBLE) - low) / (high - low) * 255) AS INTEGER) AS alpha
+    SELECT img, CAST(p // {SIDE} AS INTEGER) AS y, CAST(p % {SIDE} AS INTEGER) AS x, CAST(coalesce(round((CAST(v AS DOUBLE) - low) / nullif(high - low, 0) * 255), 0) AS INTEGER) AS alpha
     FROM (SELECT vec_id AS img, CAST(list_min(embedding) AS DOUBLE) AS low, CAST(list_max(embedding) AS DOUBLE) AS high, unnest(embedding) AS v, unnest(range(len(embedding))) AS p FROM embeddings))"""
 _LABELS = f"""{_X1},
 fg AS (SELECT img, y, x FROM x1 WHERE alpha >= {CUTOFF}),
@@ -261,6 +271,13 @@ _BOUNDS = """turned AS (
 bounds AS (SELECT img, label, min(u) AS min_x, min(v) AS min_y, max(u) AS max_x, max(v) AS max_y FROM turned GROUP BY img, label)"""
 _SIZE = "CAST(greatest(round({0} * least(1.0::DOUBLE, 960.0::DOUBLE / greatest(w, h)) / 32) * 32, 32) AS BIGINT)"
 
+_TEXT_ANGLE = f"""a AS (SELECT obj, arg_max(angle, struct_pack(l := length, p := pos)) AS anchor FROM x4 GROUP BY obj),
+t AS (
+    SELECT x4.obj, anchor, sum(length * length * ({_WRAP.format("angle - anchor")})) FILTER ({_DIST.format("angle - anchor")} <= 10) / sum(length * length) FILTER ({_DIST.format("angle - anchor")} <= 10) AS d
+    FROM x4 JOIN a ON x4.obj = a.obj GROUP BY x4.obj, anchor HAVING sum(length) > 0)"""
+#: How far a line is from horizontal once its object is turned by its text angle deg.
+_TURNED = _DIST.format("angle + degrees(CAST(CAST(-radians(CAST(CAST(coalesce(deg, 0) AS FLOAT) AS DOUBLE)) AS FLOAT) AS DOUBLE))")
+
 _RECTS = f"""x3 AS (
     SELECT obj, c * px - s * py AS x, s * px + c * py AS y, py = min(py) OVER (PARTITION BY obj, px) OR py = max(py) OVER (PARTITION BY obj, px) AS outer_point
     FROM (SELECT DISTINCT l_suppkey AS obj, CAST(l_quantity AS BIGINT) AS px, CAST(round(l_discount * 100) AS BIGINT) AS py,
@@ -321,10 +338,9 @@ ORACLES: dict[str, str] = {
         spread(img, inst, root) AS (SELECT img, inst, inst FROM n UNION SELECT s.img, near.b, s.root FROM spread s JOIN near ON near.img = s.img AND near.a = s.inst)
         SELECT img, inst, min(root) AS root FROM spread GROUP BY img, inst""",
     "angle_decision": f"""WITH {_RECTS}, {_SUPPORT}, {_X4},
-        a AS (SELECT obj, arg_max(angle, struct_pack(l := length, p := pos)) AS anchor FROM x4 GROUP BY obj),
-        t AS (SELECT x4.obj, anchor, sum(length * length * ({_WRAP.format("angle - anchor")})) FILTER ({_DIST.format("angle - anchor")} <= 10) / sum(length * length) FILTER ({_DIST.format("angle - anchor")} <= 10) AS d
-              FROM x4 JOIN a ON x4.obj = a.obj GROUP BY x4.obj, anchor HAVING sum(length) > 0),
-        f AS (SELECT obj, count(*) FILTER (pos % 2 = 1 AND {_DIST.format("angle")} <= 45) > count(*) FILTER (pos % 2 = 0 AND {_DIST.format("angle")} <= 45) AS flip FROM lines GROUP BY obj),
+        {_TEXT_ANGLE},
+        f AS (SELECT l.obj, count(*) FILTER (pos % 2 = 1 AND {_TURNED} <= 45) > count(*) FILTER (pos % 2 = 0 AND {_TURNED} <= 45) AS flip
+              FROM lines l LEFT JOIN (SELECT obj, round({_WRAP.format("anchor + d")}, 4) AS deg FROM t) t ON l.obj = t.obj GROUP BY l.obj),
         g AS (SELECT s.obj, rectangularity < 0.8 AS odd, rectangularity < 0.8 OR s.obj % 3 >= 2 AS use_text, round({_WRAP.format("anchor + d")}, 4) AS text_angle, {_AXIS} AS mask_angle, coalesce(flip, false) AS flip
               FROM shape s JOIN rects r ON r.obj = s.obj LEFT JOIN t ON t.obj = s.obj LEFT JOIN f ON f.obj = s.obj)
         SELECT obj, use_text, CASE WHEN odd THEN 'max' ELSE 'min' END AS fit, odd OR obj % 2 > 0 AS padded, CASE WHEN use_text AND text_angle IS NOT NULL THEN 'text' ELSE 'mask' END AS source,
@@ -341,7 +357,9 @@ ORACLES: dict[str, str] = {
         s AS (SELECT obj, anchor, sum(length * length * d) FILTER (inside) / sum(length * length) FILTER (inside) AS d, sum(length) FILTER (inside) / sum(length) AS agreement, count(*) FILTER (inside) AS inliers, count(*) AS total FROM e GROUP BY obj, anchor HAVING sum(length) > 0)
         SELECT obj, round({_WRAP.format("anchor + d")}, 4) AS angle_deg, round(agreement, 4) AS agreement, inliers, total FROM s""",
     "line_sample_ranks": f"WITH {_X4} SELECT obj, pos, rank, angle, length FROM lines",
-    "flip_vote": f"""WITH {_X4}, v AS (SELECT obj, count(*) FILTER (pos % 2 = 1 AND {_DIST.format("angle")} <= 45) AS f, count(*) FILTER (pos % 2 = 0 AND {_DIST.format("angle")} <= 45) AS u FROM lines GROUP BY obj)
+    "flip_vote": f"""WITH {_X4}, {_TEXT_ANGLE},
+        v AS (SELECT l.obj, count(*) FILTER (pos % 2 = 1 AND {_TURNED} <= 45) AS f, count(*) FILTER (pos % 2 = 0 AND {_TURNED} <= 45) AS u
+              FROM lines l LEFT JOIN (SELECT obj, round({_WRAP.format("anchor + d")}, 4) AS deg FROM t) t ON l.obj = t.obj GROUP BY l.obj)
         SELECT obj, CASE WHEN f + u > 0 THEN f > u END AS flip FROM v""",
     "doc_turns": """WITH s AS (SELECT vec_id AS img, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c, CAST(embedding[4] AS DOUBLE) AS d FROM embeddings),
         m AS (SELECT *, greatest(a, b, c, d) AS top FROM s), k AS (SELECT *, CAST(CASE WHEN d = top THEN 3 WHEN c = top THEN 2 WHEN b = top THEN 1 ELSE 0 END AS BIGINT) AS cls FROM m)
@@ -350,20 +368,32 @@ ORACLES: dict[str, str] = {
         i AS (SELECT p.img, p.inst AS a, q.inst AS b, count(*) AS i FROM x5 p JOIN x5 q ON p.img = q.img AND p.y = q.y AND p.x = q.x AND p.inst < q.inst GROUP BY ALL)
         SELECT i.img, a, b, round(i / (p.n + q.n - i), 6) AS iou FROM i JOIN n p ON p.img = i.img AND p.inst = a JOIN n q ON q.img = i.img AND q.inst = b""",
     "instance_objects": f"WITH {_X5}, o AS (SELECT img, y, x, min(inst) AS inst FROM x5 GROUP BY ALL) SELECT img, inst, count(*) AS area, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y FROM o GROUP BY img, inst",
-    "background_inversion": f"""WITH {_X5}, g AS (SELECT img, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x FROM (SELECT DISTINCT img FROM x5), range(31) a(y), range(24) b(x))
-        SELECT g.* FROM g WHERE NOT EXISTS (SELECT 1 FROM x5 WHERE x5.img = g.img AND x5.y = g.y AND x5.x = g.x AND inst % 7 = 0)""",
+    "background_inversion": f"""WITH RECURSIVE {_X1}, dark AS (SELECT img, y, x FROM x1 WHERE alpha < {CUTOFF}),
+        reach(img, y, x, l) AS (
+            SELECT img, y, x, y * {SIDE} + x FROM dark
+            UNION
+            SELECT d.img, d.y, d.x, r.l FROM reach r JOIN dark d ON d.img = r.img AND abs(d.y - r.y) <= 1 AND abs(d.x - r.x) <= 1)
+        SELECT img, y, x, CAST(min(l) AS BIGINT) AS label FROM reach GROUP BY img, y, x""",
     "rotated_bounds": f"WITH RECURSIVE {_LABELS}, {_BOUNDS} SELECT img, label, round(min_x, 4) AS min_x, round(min_y, 4) AS min_y, round(max_x, 4) AS max_x, round(max_y, 4) AS max_y FROM bounds",
-    "crop_window": f"""WITH RECURSIVE {_LABELS}, {_BOUNDS}, p AS (SELECT *, greatest(max_x - min_x, 1.0) * 0.05 AS px, greatest(max_y - min_y, 1.0) * 0.05 AS py FROM bounds),
+    "crop_window": f"""WITH RECURSIVE {_LABELS}, {_BOUNDS},
+        x3 AS (SELECT img * {SIDE * SIDE} + label AS obj, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, y = min(y) OVER (PARTITION BY img, label, x) OR y = max(y) OVER (PARTITION BY img, label, x) AS outer_point FROM labelled),
+        {_RECTS[_RECTS.index("e AS (SELECT obj, x, y FROM x3"):]},
+        corners AS (SELECT obj, (u0 + a * w) * ux - (v0 + b * h) * uy AS x, (u0 + a * w) * uy + (v0 + b * h) * ux AS y FROM rects, (VALUES (0), (1)) p(a), (VALUES (0), (1)) q(b)),
+        fitted AS (SELECT obj, min(x * cos(radians(30)) - y * sin(radians(30))) AS min_x, min(x * sin(radians(30)) + y * cos(radians(30))) AS min_y, max(x * cos(radians(30)) - y * sin(radians(30))) AS max_x, max(x * sin(radians(30)) + y * cos(radians(30))) AS max_y FROM corners GROUP BY obj),
+        c AS (SELECT b.img, b.label, coalesce(f.min_x, b.min_x) AS min_x, coalesce(f.min_y, b.min_y) AS min_y, coalesce(f.max_x, b.max_x) AS max_x, coalesce(f.max_y, b.max_y) AS max_y FROM bounds b LEFT JOIN fitted f ON f.obj = b.img * {SIDE * SIDE} + b.label),
+        p AS (SELECT *, greatest(max_x - min_x, 1.0) * 0.05 AS px, greatest(max_y - min_y, 1.0) * 0.05 AS py FROM c),
         m AS (SELECT img, label, min_x - px AS min_x, min_y - py AS min_y, max_x + px AS max_x, max_y + py AS max_y FROM p)
         SELECT img, label, round(min_x, 4) AS min_x, round(min_y, 4) AS min_y, round(max_x, 4) AS max_x, round(max_y, 4) AS max_y,
                CAST(greatest(ceil(round(max_x - min_x, 6)), 1) AS BIGINT) AS out_w, CAST(greatest(ceil(round(max_y - min_y, 6)), 1) AS BIGINT) AS out_h FROM m""",
     "output_plan": f"""WITH {_X8}, g AS (SELECT *, regexp_extract(path, '\\.([^./]*)$', 1) AS ext FROM x8),
-        f AS (SELECT *, CASE ext WHEN 'jpg' THEN 'jpeg' WHEN '' THEN 'png' ELSE ext END AS given FROM g),
-        o AS (SELECT *, CASE WHEN (page_id % 3 = 0 AND given IN ('jpeg', 'bmp')) OR (page_id % 5 <> 0 AND given IN ('jpeg', 'avif')) THEN 'png' ELSE given END AS format FROM f)
-        SELECT page_id, format, regexp_replace(path, '\\.[^./]*$', '') || '_0.' || CASE WHEN format = given AND ext <> '' THEN ext ELSE format END AS out_path FROM o""",
+        f AS (SELECT *, CASE ext WHEN 'jpg' THEN 'jpeg' WHEN '' THEN CASE WHEN page_id % 16 = 7 THEN 'jpeg' ELSE 'tiff' END ELSE ext END AS given FROM g),
+        o AS (SELECT *, (page_id % 3 = 0 AND given IN ('jpeg', 'bmp')) OR (page_id % 5 <> 0 AND given IN ('jpeg', 'avif')) AS became FROM f)
+        SELECT page_id, CASE WHEN became THEN 'png' ELSE given END AS format,
+               regexp_replace(path, '\\.[^./]*$', '') || '_0.' || CASE WHEN became THEN 'png' WHEN ext <> '' THEN ext WHEN given = 'jpeg' THEN 'jpg' ELSE given END AS out_path FROM o""",
     "skip_existing": f"WITH {_X8} SELECT page_id, path FROM x8 WHERE page_id % 3 <> 0",
     "composite_white": f"WITH {_X1} SELECT img, y, x, CAST(round(((img * 7 + x) % 256) * (alpha / 255.0::DOUBLE) + 255.0 * (1.0 - alpha / 255.0::DOUBLE)) AS BIGINT) AS value FROM x1",
-    "trim_bounds": f"""WITH {_X1}, t AS (SELECT img, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y FROM x1 WHERE alpha >= {CUTOFF} GROUP BY img)
-        SELECT *, CAST(ceil((max_x - min_x + 1) * 0.05) AS BIGINT) AS pad_x, CAST(ceil((max_y - min_y + 1) * 0.05) AS BIGINT) AS pad_y FROM t""",
+    "trim_bounds": f"""WITH {_X1}, t AS (SELECT img, min(x) FILTER (alpha <> 0) AS min_x, min(y) FILTER (alpha <> 0) AS min_y, max(x) FILTER (alpha <> 0) AS max_x, max(y) FILTER (alpha <> 0) AS max_y FROM x1 GROUP BY img),
+        f AS (SELECT img, coalesce(min_x, 0) AS min_x, coalesce(min_y, 0) AS min_y, coalesce(max_x, {SIDE - 1}) AS max_x, coalesce(max_y, {SIDE - 1}) AS max_y FROM t)
+        SELECT *, CAST(ceil((max_x - min_x + 1) * 0.05) AS BIGINT) AS pad_x, CAST(ceil((max_y - min_y + 1) * 0.05) AS BIGINT) AS pad_y FROM f""",
     "detector_resize": f"WITH {_X8} SELECT page_id, {_SIZE.format('w')} AS out_w, {_SIZE.format('h')} AS out_h FROM x8",
 }
