@@ -135,7 +135,7 @@ def vote_flip(rgba: np.ndarray, boxes: list[TextBox], theta: float, classify: Ca
         if line is not None:
             upright, flipped = raster.softmax(np.asarray(classify(raster.line_input(line)), float))
             votes.append(flipped > upright)
-    return None if not votes else 2 * sum(votes) > len(votes)
+    return None if not votes else bool(2 * sum(votes) > len(votes))
 
 
 def document_turns(rgba: np.ndarray, theta: float, classify: Callable[[np.ndarray], np.ndarray]) -> tuple[int, float]:

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from platen.functions.angles import long_axis_degrees, orientation_distance, wrap_orientation
-from platen.operators import crops, objects, rectangles, votes
-from platen.sources import outputs
+from platen.operators import crops, objects, raster, rectangles, votes
+from platen.options import Options
+from platen.plans import digitise
+from platen.sources import codecs, images, outputs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -210,7 +214,66 @@ def angle_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("obj", "use_text", "fit", "padded", "source", F.round("angle_deg", 3).alias("angle_deg"), "turns")
 
 
+def raster_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content, format): the rasters as grey images in files, PNG and TIFF in turn."""
+    pixels = alpha_raster(spark, sf_dir).groupBy("img").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "alpha"))), lambda p: p["alpha"]).alias("values"))
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary()), ("format", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for img, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                form = ("png", "tiff")[img % 2]
+                rows.append({"path": f"x1/{img}.{form}", "content": codecs.encode(np.array(values, np.uint8).reshape(SIDE, SIDE, 1), form), "format": form})
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return pixels.mapInArrow(run, "path string, content binary, format string")
+
+
+def image_of(path: Column) -> Column:
+    return F.regexp_extract(path, r"/(\d+)\.", 1).cast("long")
+
+
+def decode_encode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels (img, y, x, value) that come back from files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for img, width, height, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                y, x = np.divmod(np.arange(width * height), width)
+                yield pa.RecordBatch.from_arrays([pa.array([img] * len(y), pa.int64()), pa.array(y, pa.int32()), pa.array(x, pa.int32()), pa.array(np.frombuffer(data, np.uint8), pa.int32())], ["img", "y", "x", "value"])
+
+    return images.decode_images(raster_files(spark, sf_dir)).select(image_of(F.col("path")).alias("img"), "width", "height", "data").mapInArrow(run, "img long, y int, x int, value int")
+
+
+def deskew_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels (img, y, x, value) of the rasters turned by 30 degrees, on the window of all their corners."""
+    theta = math.radians(30.0)
+    c, s = math.cos(theta), math.sin(theta)
+    bounds = (-SIDE * s, 0.0, SIDE * c, SIDE * (c + s))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for img, width, height, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out = raster.deskewed(images.pixels_of(data, width, height, 1, 8), bounds, theta)[:, :, 0]
+                y, x = np.divmod(np.arange(out.size), out.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array([img] * len(y), pa.int64()), pa.array(y, pa.int32()), pa.array(x, pa.int32()), pa.array(out.reshape(-1), pa.int32())], ["img", "y", "x", "value"])
+
+    return images.decode_images(raster_files(spark, sf_dir)).select(image_of(F.col("path")).alias("img"), "width", "height", "data").mapInArrow(run, "img long, y int, x int, value int")
+
+
+def scan_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From files to crops: the rasters are their own masks."""
+    pixels = images.decode_images(raster_files(spark, sf_dir))
+    found = pixels.select("path", F.lit(0).alias("mask_no"), "width", "height", "data")
+    done = digitise.digitise(pixels, found, Options(threshold=60.0, min_side_percent=30.0), output_dir="crops")
+    return done.select(image_of(F.col("path")).alias("img"), "obj_idx", "area", F.round("angle_deg", 2).alias("angle_deg"), "source", "out_w", "out_h", "out_path", F.sha2("content", 256).alias("content_sha256"), "error")
+
+
 QUERIES: dict[str, Query] = {
+    "decode_encode_roundtrip": decode_encode_roundtrip,
+    "deskew_pixels": deskew_pixels,
+    "scan_crops": scan_crops,
     "min_area_rect": min_area_rect,
     "body_rect": body_rect,
     "rectangularity": rectangularity,
@@ -345,6 +408,13 @@ ORACLES: dict[str, str] = {
               FROM shape s JOIN rects r ON r.obj = s.obj LEFT JOIN t ON t.obj = s.obj LEFT JOIN f ON f.obj = s.obj)
         SELECT obj, use_text, CASE WHEN odd THEN 'max' ELSE 'min' END AS fit, odd OR obj % 2 > 0 AS padded, CASE WHEN use_text AND text_angle IS NOT NULL THEN 'text' ELSE 'mask' END AS source,
                round(CASE WHEN use_text THEN coalesce(text_angle, mask_angle) ELSE mask_angle END, 3) AS angle_deg, CAST(CASE WHEN NOT use_text THEN obj % 4 WHEN flip THEN 2 ELSE 0 END AS BIGINT) AS turns FROM g""",
+    "decode_encode_roundtrip": f"WITH {_X1} SELECT img, y, x, alpha AS value FROM x1",
+    "deskew_pixels": f"""WITH {_X1},
+        g AS (SELECT img, CAST(b.y AS INTEGER) AS y, CAST(a.x AS INTEGER) AS x, round((a.x - {SIDE} * sin(radians(30))) * cos(radians(30)) + b.y * sin(radians(30)), 6) AS u, round(b.y * cos(radians(30)) - (a.x - {SIDE} * sin(radians(30))) * sin(radians(30)), 6) AS v
+              FROM (SELECT DISTINCT img FROM x1), range(11) a(x), range(11) b(y)),
+        n AS (SELECT g.img, g.y, g.x, sum(alpha * (1 - abs(u - x1.x)) * (1 - abs(v - x1.y))) AS value FROM g JOIN x1 ON g.img = x1.img AND abs(u - x1.x) < 1 AND abs(v - x1.y) < 1
+              WHERE u BETWEEN 0 AND {SIDE - 1} AND v BETWEEN 0 AND {SIDE - 1} GROUP BY ALL)
+        SELECT g.img, g.y, g.x, CAST(coalesce(floor(n.value + 0.5), 255) AS INTEGER) AS value FROM g LEFT JOIN n ON g.img = n.img AND g.y = n.y AND g.x = n.x""",
     "component_objects": f"WITH RECURSIVE {_LABELS} SELECT img, obj_idx, label, area, min_x, min_y, max_x, max_y FROM objects",
     "alpha_foreground": f"WITH {_X1} SELECT img, y, x, alpha FROM x1 WHERE alpha >= {CUTOFF}",
     "min_side_filter": f"WITH RECURSIVE {_LABELS} SELECT img, obj_idx, area FROM objects WHERE greatest(max_x - min_x, max_y - min_y) + 1 >= 0.3 * {SIDE}",

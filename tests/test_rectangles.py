@@ -4,12 +4,10 @@ from pyspark.sql import functions as F
 
 from platen.operators import objects, rectangles, votes
 from platen.plans import queries
-from test_scans import SF, TABLES, same
+from test_scans import RECTANGLES, SF, TABLES, same
 
-NAMES = ["min_area_rect", "body_rect", "rectangularity", "polygon_measures", "unclip_rect", "box_score", "hole_count", "iou_merge", "angle_decision"]
 
-
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", RECTANGLES)
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
