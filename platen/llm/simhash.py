@@ -22,7 +22,7 @@ BITS = 64
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 ONE = np.uint64(1)
 #: Pairs of a row and a word of 64 rows that are compared at once, and rows that are gathered for that.
-ITEMS, ROWS = 1 << 17, 1 << 16
+ITEMS, ROWS = 1 << 15, 1 << 16
 
 
 def shingle_hashes(text: bytes | None, k: int, seed: int = 42) -> np.ndarray:
@@ -298,10 +298,13 @@ def _nearest(ids: np.ndarray, fps: np.ndarray, mark: np.ndarray, group: np.ndarr
         wanted = np.zeros(len(fps), bool)
         wanted[marked[at : at + step]] = True
         for i, j in close_pairs(fps, ends, search.radius, wanted=wanted):
-            own = place[j] - at
-            far = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.uint64)
-            np.minimum.at(best, own * slots + i % slots, far << np.uint64(40) | i.astype(np.uint64))
-            np.add.at(hits, own, 1)
+            hits += np.bincount(place[j] - at, minlength=len(hits))
+            for part in range(0, len(i), 1 << 18):
+                a, b = i[part : part + (1 << 18)], j[part : part + (1 << 18)]
+                far = np.zeros(len(a), np.uint64)
+                for w in range(fps.shape[1]):
+                    far += np.bitwise_count(fps[a, w] ^ fps[b, w])
+                np.minimum.at(best, (place[b] - at) * slots + a % slots, far << np.uint64(40) | a.astype(np.uint64))
         full = best.reshape(-1, slots) != ALL
         row, slot = np.nonzero(full)
         first = (best.reshape(-1, slots)[row, slot] & np.uint64((1 << 40) - 1)).astype(np.int64)
