@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from platen.llm.common import written
-from platen.llm.simhash import mixed, shingle_hashes
+from platen.llm.simhash import mixed, shingle_set
 
 TOKEN = re.compile(r"\w+")
 #: Lengths of the prefixes that are features beside the token itself.
@@ -43,38 +43,40 @@ def features(token: str) -> list[str]:
     return [f"={token}", *(token[:n] for n in PREFIXES if len(token) > n)]
 
 
-def chain(emit: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward-backward over rows of emissions (log-odds of the toxic state) with log transitions move (2 x 2; start like a clean token before).
+def odds_of(emit: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Forward-backward by odds toxic : clean, one number a step and row: transition weights, emission odds, forward odds and backward odds (steps x rows).
 
-    Marginals of the toxic state (0 past a row's length), and the expected transitions of all rows (2 x 2).
+    emit: rows of log-odds of the toxic state; move: log transitions (2 x 2); a row starts as after a clean token.
     """
-    n, steps = emit.shape
-    m, odds = np.exp(move - move.max()), np.exp(np.clip(emit, -30, 30))
-    alpha = np.empty((steps, n, 2))
-    now = np.tile(m[0], (n, 1))
-    for t in range(steps):
-        if t:
-            now = now @ m
-        now[:, 1] *= odds[:, t]
-        now /= now.sum(axis=1, keepdims=True)
-        alpha[t] = now
-    expected, marginal = np.zeros((2, 2)), np.zeros((n, steps))
-    beta = np.ones((n, 2))
-    for t in range(steps - 1, -1, -1):
-        inside = lengths > t
-        both = alpha[t] * beta
-        p = both[:, 1] / both.sum(axis=1)
-        marginal[:, t] = np.where(inside, p, 0)
-        seen = beta.copy()
-        seen[:, 1] *= odds[:, t]
-        before = alpha[t - 1] if t else np.tile([1.0, 0.0], (n, 1))
-        pair = before[:, :, None] * m[None] * seen[:, None, :]
-        pair /= pair.sum(axis=(1, 2), keepdims=True)
-        expected += pair[inside].sum(axis=0)
-        back = seen @ m.T
-        back /= back.sum(axis=1, keepdims=True)
-        beta = np.where(inside[:, None], back, beta)
-    return marginal, expected
+    m, odds = np.exp(move - move.max()), np.exp(np.clip(emit.T, -30, 30))
+    forward, back = np.empty_like(odds), np.ones_like(odds)
+    now = np.zeros(odds.shape[1])
+    for t in range(len(odds)):
+        now = odds[t] * (m[0, 1] + m[1, 1] * now) / (m[0, 0] + m[1, 0] * now)
+        forward[t] = now
+    for t in range(len(odds) - 1, 0, -1):
+        ahead = odds[t] * back[t]
+        back[t - 1] = np.where(lengths > t, (m[1, 0] + m[1, 1] * ahead) / (m[0, 0] + m[0, 1] * ahead), 1)
+    return m, odds, forward, back
+
+
+def chain(emit: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of the toxic state (0 past a row's length), and the expected transitions of all rows (2 x 2), the one into the first token included."""
+    m, odds, forward, back = odds_of(emit, lengths, move)
+    inside = np.arange(len(odds))[:, None] < lengths
+    before, ahead = np.concatenate([np.zeros((1, odds.shape[1])), forward[:-1]]), odds * back
+    pairs = [np.full_like(odds, m[0, 0]), m[0, 1] * ahead, m[1, 0] * before, m[1, 1] * before * ahead]
+    total = sum(pairs)
+    expected = np.array([(x / total)[inside].sum() for x in pairs]).reshape(2, 2)
+    ratio = forward * back
+    return np.where(inside, ratio / (1 + ratio), 0).T, expected
+
+
+def chain_marginals(emit: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Marginals alone."""
+    _, _, forward, back = odds_of(emit, lengths, move)
+    forward *= back
+    return np.where(np.arange(len(forward))[:, None] < lengths, forward / (1 + forward), 0).T
 
 
 @dataclass
@@ -95,7 +97,7 @@ def _first_of_copies(texts: list[str]) -> list[int]:
     seen: set[tuple[int, int]] = set()
     out = []
     for i, text in enumerate(texts):
-        hashes = shingle_hashes(text.encode("utf-8", "replace"), 5)
+        hashes = shingle_set(text.encode("utf-8", "replace"), 5)
         keys = [(n, int(mixed(hashes, n).min())) for n in range(4)] if len(hashes) else [(4, 0)]
         if seen.isdisjoint(keys):
             out.append(i)
@@ -224,24 +226,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, spans array<struct<start:int,end:int>>")
 
 
-def chain_marginals(emit: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """Marginals of the toxic state as chain() gives them, by odds toxic : clean alone, one number a row and step."""
-    m, odds = np.exp(move - move.max()), np.exp(np.clip(emit.T, -30, 30))
-    steps, n = odds.shape
-    forward = np.empty((steps, n))
-    now = np.zeros(n)
-    for t in range(steps):
-        now = odds[t] * (m[0, 1] + m[1, 1] * now) / (m[0, 0] + m[1, 0] * now)
-        forward[t] = now
-    back = np.ones(n)
-    for t in range(steps - 1, -1, -1):
-        r = forward[t] * back
-        forward[t] = r / (1 + r)
-        ahead = odds[t] * back
-        back = np.where(lengths > t, (m[1, 0] + m[1, 1] * ahead) / (m[0, 0] + m[0, 1] * ahead), back)
-    return np.where(np.arange(steps)[:, None] < lengths, forward, 0).T
-
-
 def _packs(sizes: list[int]) -> Iterator[list[int]]:
     """Rows of like length, together within CELLS; rows without tokens are left out."""
     pack: list[int] = []
