@@ -466,7 +466,7 @@ def copies(docs: DataFrame, k: int, search: Search, percent: int = 80, block_row
     similarity of the percent or more to that of a smaller doc_id, and of texts with equal sets all but that of the smallest id.
 
     The search only finds candidates. A set is compared with its nearest candidate of a smaller id; if they aren't alike and there are more, with
-    the nearest in each of 16 and of 256 slots, then with all. So no candidate is passed over, while a
+    the nearest in each of 32 slots, then with all. So no candidate is passed over, while a
     large group of copies costs one comparison each. Only texts that have a candidate are read again for
     that. Null ids come last; null texts are one set with those that have no words; rows equal in id and text are one text, so none of them is rejected for another.
     """
@@ -477,7 +477,7 @@ def copies(docs: DataFrame, k: int, search: Search, percent: int = 80, block_row
     sets = sets.select("digest", "n", F.col("first.doc_id").alias("first_id"), F.col("first.rid").alias("first_rid"), *columns)
     nodes = written(sets.orderBy(F.asc_nulls_last("first_id"), "digest").withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")  # grows with the id
     left, sets, gone = nodes.select(F.col("node").alias("id"), *columns, F.lit(True).alias("mark")), None, None
-    for slots in (1, 16, 256, 2 * block_rows * 64):
+    for slots in (1, 32, 2 * block_rows * 64):
         ready = buckets(left, search, block_rows, broadcast_rows)
         kernel = lambda ids, fp, mark, group, table, slots=slots: _nearest(ids, fp, mark, group, min(slots, len(ids)), search)
         found = written(compared(ready, kernel, "u long, v long, more boolean").groupBy("u", "v").agg(F.max("more").alias("more")), "simhash-links")
