@@ -52,7 +52,9 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """In order of doc_id, documents go that are alike to one that stays: sets of five-word shingles, exact Jaccard similarity of 0.8 or more.
+    """Documents go that are alike to one of a smaller doc_id: sets of five-word shingles, exact Jaccard similarity of 0.8 or more.
+
+    So no two that stay are alike, and of a chain of texts, each alike to the next, those that have no smaller neighbour stay.
 
     One of each group of copies stays, also among rows with one id or without any (null ids come last); of rows equal in id and text
     one stays. Null, empty and wordless texts are copies of each other. Other columns pass through, whatever their names.
