@@ -22,7 +22,7 @@ BITS = 64
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 ONE = np.uint64(1)
 #: Pairs of a row and a word of 64 rows that are compared at once, and rows that are gathered for that.
-ITEMS, ROWS = 1 << 15, 1 << 16
+ITEMS, ROWS = 1 << 15, 1 << 14
 
 
 def shingle_hashes(text: bytes | None, k: int, seed: int = 42) -> np.ndarray:
@@ -138,7 +138,8 @@ class Search:
     """Fingerprints of words * 64 bits link at radius or fewer differing bits, if they meet in a bucket.
 
     Each of tables is a word and a mask of the bits that must agree. Instead, each of bands may be a hash of so many rows
-    least values of a text's shingles under different orders, a column k0, k1, ... beside the fingerprint.
+    least values of a text's shingles under different orders, a column k0, k1, ... beside the fingerprint. Then a byte of each of
+    minima least values (a multiple of 8; those of the bands come first) lies beside, eight to a column s0, s1, ..., and of a pair so many must be agreeing.
     """
 
     words: int
@@ -146,6 +147,8 @@ class Search:
     tables: tuple[tuple[int, int], ...] = ()
     bands: int = 0
     rows: int = 0
+    minima: int = 0
+    agreeing: int = 0
 
     @classmethod
     def exact(cls, radius: int = 2, parts: int = 4) -> Search:
@@ -155,15 +158,17 @@ class Search:
         return cls(1, radius, tuple((0, sum(part[i] for i in kept)) for kept in combinations(range(parts), parts - radius)))
 
     @classmethod
-    def similar(cls, jaccard: float = 0.8, words: int = 4, bands: int = 20, rows: int = 5, slack: float = 3.0) -> Search:
+    def similar(cls, jaccard: float = 0.8, words: int = 4, bands: int = 20, rows: int = 5, minima: int = 192, slack: float = 3.0) -> Search:
         """For sets of word shingles of a Jaccard similarity or more: too far apart for exact buckets of a useful size.
 
         A pair of similarity j meets in some band with the chance 1 - (1 - j^rows)^bands, 0.9996 at 0.8. A bit differs with the
         chance angle / pi, where cos(angle) = 2 j / (1 + j) for sets alike in size. The radius is the mean at the similarity
-        plus slack standard deviations. Neither depends on the number of documents.
+        plus slack standard deviations. A least value is the same with the chance j, so of minima so many agree at the similarity, less slack
+        deviations. Nothing depends on the number of documents.
         """
         differ, bits = math.acos(2 * jaccard / (1 + jaccard)) / math.pi, words * BITS
-        return cls(words, int(bits * differ + slack * math.sqrt(bits * differ * (1 - differ))), (), bands, rows)
+        agreeing = int(minima * jaccard - slack * math.sqrt(minima * jaccard * (1 - jaccard)))
+        return cls(words, int(bits * differ + slack * math.sqrt(bits * differ * (1 - differ))), (), bands, rows, minima, agreeing)
 
     def keys(self) -> list[Column]:
         signed = lambda m: m - (1 << 64) if m >> 63 else m
@@ -171,7 +176,7 @@ class Search:
         return masked + [F.col(f"k{i}") for i in range(self.bands)]
 
     def columns(self) -> list[str]:
-        return names(self.words) + [f"k{i}" for i in range(self.bands)]
+        return names(self.words) + [f"k{i}" for i in range(self.bands)] + [f"s{i}" for i in range(self.minima // 8)]
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
@@ -273,20 +278,33 @@ def _ends(group: np.ndarray) -> np.ndarray:
     return np.repeat(bounds, np.diff(np.concatenate([[0], bounds])))
 
 
+def _hits(fps: np.ndarray, ends: np.ndarray, table: np.ndarray, search: Search, same: tuple[int, int] = (0, 0), wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The close pairs of rows of fingerprints, bands and least values: by bands, a pair comes only in the first band in which it meets, and if enough least values agree."""
+    keys, least = fps[:, search.words : search.words + search.bands], np.ascontiguousarray(fps[:, search.words + search.bands :]).view(np.uint8)
+    for i, j in close_pairs(fps[:, : search.words], ends, search.radius, same, wanted):
+        for k in range(search.bands if len(i) else 0):
+            new = (table[i] <= k) | (keys[i, k] != keys[j, k])
+            i, j = i[new], j[new]
+        for at in range(0, len(i), 1 << 14):
+            a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+            enough = np.count_nonzero(least[a] == least[b], axis=1) >= search.agreeing
+            yield a[enough], b[enough]
+
+
 def _spanning(ids: np.ndarray, fps: np.ndarray, mark: np.ndarray, group: np.ndarray, table: np.ndarray, search: Search) -> pa.RecordBatch:
     """Rows sorted by group to links (u, v) that span the classes of each group: at most one a row."""
     ends, label = _ends(group), np.arange(len(fps))
     for t in np.unique(table):
         own = np.flatnonzero(table == t)
         part = np.arange(len(own))
-        for i, j in close_pairs(fps[own], np.searchsorted(own, ends[own]), search.radius, search.tables[t] if search.tables else (0, 0)):
+        for i, j in _hits(fps[own], np.searchsorted(own, ends[own]), table[own], search, search.tables[t] if search.tables else (0, 0)):
             unite(part, i, j)
         label[own] = own[part]
     moved = np.flatnonzero(label != np.arange(len(fps)))
     return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], ["u", "v"])
 
 
-def _nearest(ids: np.ndarray, fps: np.ndarray, mark: np.ndarray, group: np.ndarray, slots: int, search: Search) -> pa.RecordBatch:
+def _nearest(ids: np.ndarray, fps: np.ndarray, mark: np.ndarray, group: np.ndarray, table: np.ndarray, slots: int, search: Search) -> pa.RecordBatch:
     """Rows sorted by group and id to links (u, v, more): for each marked row u the nearest of the close rows before it in each of so many slots, and whether there are others."""
     ends, marked = _ends(group), np.flatnonzero(mark)
     place = np.full(len(fps), -1)
@@ -297,12 +315,12 @@ def _nearest(ids: np.ndarray, fps: np.ndarray, mark: np.ndarray, group: np.ndarr
         best, hits = np.full(min(step, len(marked) - at) * slots, ALL), np.zeros(min(step, len(marked) - at), np.int64)
         wanted = np.zeros(len(fps), bool)
         wanted[marked[at : at + step]] = True
-        for i, j in close_pairs(fps, ends, search.radius, wanted=wanted):
+        for i, j in _hits(fps, ends, table, search, wanted=wanted):
             hits += np.bincount(place[j] - at, minlength=len(hits))
             for part in range(0, len(i), 1 << 18):
                 a, b = i[part : part + (1 << 18)], j[part : part + (1 << 18)]
                 far = np.zeros(len(a), np.uint64)
-                for w in range(fps.shape[1]):
+                for w in range(search.words):
                     far += np.bitwise_count(fps[a, w] ^ fps[b, w])
                 np.minimum.at(best, (place[b] - at) * slots + a % slots, far << np.uint64(40) | a.astype(np.uint64))
         full = best.reshape(-1, slots) != ALL
@@ -314,15 +332,15 @@ def _nearest(ids: np.ndarray, fps: np.ndarray, mark: np.ndarray, group: np.ndarr
 
 
 def buckets(fps: DataFrame, search: Search, block_rows: int, broadcast_rows: int) -> DataFrame:
-    """Fingerprints (id, w0, ..., k0, ..., mark) to (id, t, key, a, b, w0, ..., mark), each bucket together and in order of id.
+    """Fingerprints (id, w0, ..., k0, ..., mark) to (id, t, key, a, b, w0, ..., k0, ..., mark), each bucket together and in order of id.
 
     A bucket holds the rows that agree in the bits of a table, or in a band; those of one row, or without a marked one, are left out
     before fingerprints are shuffled, if the list of the others may be broadcast. One of over block_rows rows is cut
     into blocks, and each pair of its blocks becomes a group (a, b), so no task ever holds more than two blocks and no link is lost.
     """
-    words = names(search.words)
+    columns = search.columns()
     key = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), k.alias("key")) for t, k in enumerate(search.keys())]))
-    keyed = fps.select("id", *words, "mark", key.alias("k")).select("id", *words, "mark", "k.t", "k.key")
+    keyed = fps.select("id", *columns, "mark", key.alias("k")).select("id", *columns, "mark", "k.t", "k.key")
     sizes = fps.select("mark", key.alias("k")).select("mark", "k.t", "k.key").groupBy("t", "key").agg(F.count("*").alias("n"), F.max("mark").alias("mark")).where("n > 1 and mark")
     shared = written(sizes.select("t", "key", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks")), "simhash-shared")
     if fits(shared, broadcast_rows):
@@ -331,9 +349,9 @@ def buckets(fps: DataFrame, search: Search, block_rows: int, broadcast_rows: int
         dealt = keyed.join(small(written(shared.where("blocks > 1"), "simhash-hot"), broadcast_rows), ["t", "key"], "left")
     own = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).otherwise(0)
     other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
-    grouped = dealt.withColumn("own", own).select("id", *words, "mark", "t", "key", "own", other.alias("other"))
+    grouped = dealt.withColumn("own", own).select("id", *columns, "mark", "t", "key", "own", other.alias("other"))
     place = ["t", "key", "a", "b"]
-    ready = grouped.select("id", "t", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), *words, "mark")
+    ready = grouped.select("id", "t", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), *columns, "mark")
     return ready.repartition(*place).sortWithinPartitions(*place, "id")
 
 
@@ -396,22 +414,26 @@ def near_duplicates(docs: DataFrame, k: int = 3, search: Search | None = None, b
     return prints.join(classes(prints, search, block_rows), names(search.words)).select("doc_id", "component_id", *names(search.words))
 
 
-def band_keys(hashes: np.ndarray, bands: int, rows: int, factors: np.ndarray) -> np.ndarray:
-    """A key for each band, of the least values of a set of hashes under rows orders; 0 for an empty set."""
-    if not len(hashes):
-        return np.zeros(bands, np.uint64)
-    least = np.full(bands * rows, ALL)
+def least_values(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """The least value of a set of hashes under the order of each factor; the greatest number for an empty set."""
+    least = np.full(len(factors), ALL)
     for at in range(0, len(hashes), 8192):
         np.minimum(least, (factors[:, None] * hashes[None, at : at + 8192]).min(axis=1), out=least)
+    return least
+
+
+def band_keys(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A key for each band, of rows least values each."""
     keys = np.zeros(bands, np.uint64)
-    for column in least.reshape(bands, rows).T:
+    for column in least[: bands * rows].reshape(bands, rows).T:
         keys = mixed(keys ^ column, 1)
     return keys
 
 
 def sketches(docs: DataFrame, k: int, search: Search) -> DataFrame:
-    """(doc_id, rid, digest, w0, ..., k0, ...): rid is xxhash64(text); digest, fingerprint and bands are those of the set of a text's shingle hashes, in which each shingle weighs once."""
-    factors, columns = orders(search.bands * search.rows), search.columns()
+    """(doc_id, rid, digest, w0, ..., k0, ..., s0, ...): rid is xxhash64(text); digest, fingerprint, bands and bytes of least values are those of the set of a text's shingle hashes, in which each shingle weighs once."""
+    factors, columns = orders(max(search.bands * search.rows, search.minima)), search.columns()
+    fixed = search.words + search.bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -422,7 +444,9 @@ def sketches(docs: DataFrame, k: int, search: Search) -> DataFrame:
                     own = shingle_set(text, k)
                     digests.append(xxhash.xxh3_128_digest(own.tobytes()))
                     out[r, : search.words] = [np.packbits(2 * bit_counts(mixed(own, n)) > len(own), bitorder="little").view("<u8")[0] for n in range(search.words)]
-                    out[r, search.words :] = band_keys(own, search.bands, search.rows, factors)
+                    least = least_values(own, factors)
+                    out[r, search.words : fixed] = band_keys(least, search.bands, search.rows)
+                    out[r, fixed:] = (least[: search.minima] >> np.uint64(16)).astype(np.uint8).view("<u8")
                 found = out.view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.binary()), *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(len(columns)))], ["doc_id", "rid", "digest", *columns])
 
@@ -453,8 +477,9 @@ def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, part_rows: int = 256, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Those pairs (u, v) whose sets (node, hashes) have a Jaccard similarity of the percent or more. A v of many pairs is dealt out in parts."""
     many = written(pairs.groupBy("v").count().where(F.col("count") > part_rows).select("v", F.ceil(F.col("count") / part_rows).alias("parts")), "simhash-many")
-    dealt = pairs.join(small(many, broadcast_rows), "v", "left").select("u", "v", F.pmod(F.xxhash64("u"), F.coalesce("parts", F.lit(1))).alias("part"))
-    right = dealt.select("v", "part").distinct().join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
+    many, parts = small(many, broadcast_rows), F.coalesce("parts", F.lit(1))
+    dealt = pairs.join(many, "v", "left").select("u", "v", F.pmod(F.xxhash64("u"), parts).alias("part"))
+    right = pairs.select("v").distinct().join(many, "v", "left").select("v", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")).join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
     both = dealt.join(right, ["v", "part"]).join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u")
     total, common = F.size("a") + F.size("b"), F.size(F.array_intersect("a", "b"))
     alike = 100 * F.least(F.size("a"), F.size("b")) >= percent * F.greatest(F.size("a"), F.size("b"))
@@ -479,11 +504,11 @@ def copies(docs: DataFrame, k: int, search: Search, percent: int = 80, block_row
     left, sets, gone = nodes.select(F.col("node").alias("id"), *columns, F.lit(True).alias("mark")), None, None
     for slots in (1, 32, 2 * block_rows * 64):
         ready = buckets(left, search, block_rows, broadcast_rows)
-        kernel = lambda ids, fp, mark, group, table, slots=slots: _nearest(ids, fp, mark, group, min(slots, len(ids)), search)
+        kernel = lambda ids, fp, mark, group, table, slots=slots: _nearest(ids, fp, mark, group, table, min(slots, len(ids)), search)
         found = written(compared(ready, kernel, "u long, v long, more boolean").groupBy("u", "v").agg(F.max("more").alias("more")), "simhash-links")
         if found.isEmpty():
             break
-        ends = found.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "first_id", "first_rid"), "node")
+        ends = found.select(F.col("u").alias("node")).distinct().unionByName(found.select(F.col("v").alias("node")).distinct()).distinct().join(nodes.select("node", "first_id", "first_rid"), "node")
         ends = small(written(ends, "simhash-ends"), broadcast_rows)
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ends, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.xxhash64("text") == F.col("first_rid")))
         sets = written(shingle_sets(texts, k), "simhash-compared")
