@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platen.llm import bpe, chat, decontaminate, licenses, quality, simhash, toxicity, unigram, urls, warc
+from platen.llm import alignment, bpe, chat, decontaminate, language, licenses, negatives, quality, simhash, toxicity, unigram, urls, warc
 from platen.llm.common import LOWER, UPPER, sha256_hex, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,9 +84,30 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def held_out(parts: int, part: int) -> Column:
+    """Whether a hash of the id says so; a null id isn't held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == part, F.lit(False))
+
+
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.train(docs, ~held_out(3, 1)))
+    return found.select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc, "op2_simhash": op2_simhash, "op3_licenses": op3_licenses, "op4_decontaminate": op4_decontaminate, "op5_chat": op5_chat, "op6_bpe": op6_bpe,
     "op7_quality": op7_quality, "op8_urls": op8_urls, "op9_toxicity": op9_toxicity, "op10_tokens": op10_tokens,
+    "op11_language": op11_language, "op12_alignment": op12_alignment, "op13_negatives": op13_negatives,
 }
 
 
@@ -103,6 +124,22 @@ _SMALL_WORDS = rf"list_filter(string_split_regex(translate(coalesce(text, ''), '
 _LIMITS = quality.Limits()
 
 ORACLES: dict[str, str] = {
+    "op13_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        p AS (
+            SELECT * FROM (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE same)
+            WHERE n <= 5),
+        g AS (
+            SELECT p.anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+                   CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+            FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM g WHERE rank <= 5""",
     "op8_urls": f"""
         WITH urls AS (
             SELECT page_id,
