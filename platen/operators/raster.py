@@ -62,28 +62,38 @@ def padded(image: np.ndarray, percent: float) -> np.ndarray:
     return np.pad(image, ((y, y), (x, x), (0, 0)))
 
 
-def sampled(image: np.ndarray, x: np.ndarray, y: np.ndarray, border: int) -> np.ndarray:
-    """Bilinear values at x, y, pixel centres being whole numbers; the border where the place is outside."""
-    h, w = image.shape[:2]
+def sampled(image: np.ndarray, x: np.ndarray, y: np.ndarray, border: int, origin: tuple[int, int] = (0, 0), size: tuple[int, int] | None = None) -> np.ndarray:
+    """Bilinear values at x, y, pixel centres being whole numbers; the border where the place is outside.
+
+    The image may be a part of one of some size (width, height) that begins at origin (x, y) and holds all that is asked for: places are those of the whole.
+    """
+    w, h = size or image.shape[1::-1]
+    ox, oy = origin
     left, top = np.floor(x).astype(np.int64), np.floor(y).astype(np.int64)
     fx, fy = (x - left)[..., None], (y - top)[..., None]
     inside = (x >= 0) & (y >= 0) & (x <= w - 1) & (y <= h - 1)
     x0, y0 = np.clip(left, 0, w - 1), np.clip(top, 0, h - 1)
-    x1, y1 = np.minimum(x0 + 1, w - 1), np.minimum(y0 + 1, h - 1)
+    x1, y1 = np.minimum(x0 + 1, w - 1) - ox, np.minimum(y0 + 1, h - 1) - oy
+    x0, y0 = x0 - ox, y0 - oy
+    if size:  # what isn't inside needn't be in the part
+        x0, x1, y0, y1 = (np.clip(v, 0, n - 1) for v, n in ((x0, image.shape[1]), (x1, image.shape[1]), (y0, image.shape[0]), (y1, image.shape[0])))
     value = (image[y0, x0] * (1 - fx) + image[y0, x1] * fx) * (1 - fy) + (image[y1, x0] * (1 - fx) + image[y1, x1] * fx) * fy
     return np.where(inside[..., None], np.floor(value + 0.5), border).astype(image.dtype)
 
 
-def warped(image: np.ndarray, theta: float, min_x: float, min_y: float, width: int, height: int, border: int) -> np.ndarray:
-    """The window at min_x, min_y of the image turned by theta about its origin; rows in bands, to bound memory."""
+def places(theta: float, px: np.ndarray, py: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where places of the turned image are in the image. What rounding takes off whole places must not push them over an edge."""
     c, s = math.cos(theta), math.sin(theta)
+    return np.round(px * c + py * s, 6), np.round(py * c - px * s, 6)
+
+
+def warped(image: np.ndarray, theta: float, min_x: float, min_y: float, width: int, height: int, border: int, first: tuple[int, int] = (0, 0), origin: tuple[int, int] = (0, 0), size: tuple[int, int] | None = None) -> np.ndarray:
+    """The window at min_x, min_y of the image turned by theta about its origin; rows in bands, to bound memory. first: column and row of the window that are begun with."""
     out = np.empty((height, width, image.shape[2]), image.dtype)
-    px = np.arange(width) + min_x
+    px = np.arange(first[0], first[0] + width) + min_x
     for at in range(0, height, step := max(1, (1 << 20) // max(1, width))):
-        py = (np.arange(at, min(at + step, height)) + min_y)[:, None]
-        # what rounding takes off whole places must not push them over an edge
-        x, y = np.round(px * c + py * s, 6), np.round(py * c - px * s, 6)
-        out[at : at + step] = sampled(image, x, y, border)
+        py = (np.arange(first[1] + at, first[1] + min(at + step, height)) + min_y)[:, None]
+        out[at : at + step] = sampled(image, *places(theta, px, py), border, origin, size)
     return out
 
 

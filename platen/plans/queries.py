@@ -412,8 +412,9 @@ ORACLES: dict[str, str] = {
     "deskew_pixels": f"""WITH {_X1},
         g AS (SELECT img, CAST(b.y AS INTEGER) AS y, CAST(a.x AS INTEGER) AS x, round((a.x - {SIDE} * sin(radians(30))) * cos(radians(30)) + b.y * sin(radians(30)), 6) AS u, round(b.y * cos(radians(30)) - (a.x - {SIDE} * sin(radians(30))) * sin(radians(30)), 6) AS v
               FROM (SELECT DISTINCT img FROM x1), range(11) a(x), range(11) b(y)),
-        n AS (SELECT g.img, g.y, g.x, sum(alpha * (1 - abs(u - x1.x)) * (1 - abs(v - x1.y))) AS value FROM g JOIN x1 ON g.img = x1.img AND abs(u - x1.x) < 1 AND abs(v - x1.y) < 1
-              WHERE u BETWEEN 0 AND {SIDE - 1} AND v BETWEEN 0 AND {SIDE - 1} GROUP BY ALL)
+        c AS (SELECT img, y, x, u, v, CAST(floor(u) AS INTEGER) + i AS cx, CAST(floor(v) AS INTEGER) + j AS cy FROM g, (VALUES (0), (1)) p(i), (VALUES (0), (1)) q(j)
+              WHERE u BETWEEN 0 AND {SIDE - 1} AND v BETWEEN 0 AND {SIDE - 1}),
+        n AS (SELECT c.img, c.y, c.x, sum(alpha * (1 - abs(u - cx)) * (1 - abs(v - cy))) AS value FROM c JOIN x1 ON c.img = x1.img AND c.cx = x1.x AND c.cy = x1.y GROUP BY ALL)
         SELECT g.img, g.y, g.x, CAST(coalesce(floor(n.value + 0.5), 255) AS INTEGER) AS value FROM g LEFT JOIN n ON g.img = n.img AND g.y = n.y AND g.x = n.x""",
     "component_objects": f"WITH RECURSIVE {_LABELS} SELECT img, obj_idx, label, area, min_x, min_y, max_x, max_y FROM objects",
     "alpha_foreground": f"WITH {_X1} SELECT img, y, x, alpha FROM x1 WHERE alpha >= {CUTOFF}",

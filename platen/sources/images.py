@@ -50,7 +50,7 @@ def decode_images(files: DataFrame) -> DataFrame:
                 try:
                     image = codecs.decode(content or b"", form)
                     row |= {"width": image.shape[1], "height": image.shape[0], "channels": image.shape[2], "depth": 8 * image.itemsize, "data": image.astype(f"<u{image.itemsize}").tobytes()}
-                except (codecs.Unsupported, ValueError, IndexError, KeyError) as e:
+                except codecs.Unsupported as e:
                     row["error"] = f"{type(e).__name__}: {e}"
                 yield pa.RecordBatch.from_pylist([row], PIXEL_SCHEMA)
 
