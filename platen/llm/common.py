@@ -78,6 +78,16 @@ def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def within(sizes: list[int], most: int) -> list[int]:
+    """Places that are taken one after the other, passing over what would go beyond the sum."""
+    out, total = [], 0
+    for i, n in enumerate(sizes):
+        if total + n <= most:
+            out.append(i)
+            total += n
+    return out
+
+
 def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on equal keys, null to null; the result has the keys once."""
     named = right.select(*(F.col(c).alias(f"__{c}" if c in keys else c) for c in right.columns))

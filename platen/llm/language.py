@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from platen.llm.common import within
+
 #: Families of languages by ISO 639-1 code. A language that isn't listed is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af lb", "romance": "fr es pt it ro ca gl oc", "slavic": "ru uk be pl cs sk sl hr sr bs mk bg", "baltic": "lt lv",
@@ -200,16 +202,6 @@ def fit(texts: list[str], langs: list[str], settings: Fit = Fit()) -> Machines:
     return Machines(languages, families, levels, np.stack(columns).astype(np.float32) if columns else np.zeros((0, BUCKETS), np.float32), np.array(biases))
 
 
-def within(sizes: list[int], most: int) -> list[int]:
-    """Places that are taken one after the other, passing over what would go beyond the sum."""
-    out, total = [], 0
-    for i, n in enumerate(sizes):
-        if total + n <= most:
-            out.append(i)
-            total += n
-    return out
-
-
 def sample(docs: DataFrame, learn: Column, settings: Fit = Fit()) -> tuple[list[str], list[str]]:  # noqa: B008
     """Whole texts and languages within the bounds, of the rows for which learn holds: rows with an id, a text and a language, in order of a hash of the id.
 

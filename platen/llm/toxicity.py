@@ -10,10 +10,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platen.llm.common import written
+from platen.llm.common import within
 from platen.llm.simhash import mixed, shingle_set
 
 TOKEN = re.compile(r"\w+")
@@ -27,8 +27,8 @@ CELLS, KEPT = 1 << 20, 300_000
 class Fit:
     """Bounds of the sample of labelled documents that the model is fitted on, and settings of the fit.
 
-    max_docs and max_bytes: labelled documents, in order of a hash of their id, as many as keep to both; evidence of features comes from all of
-    them. field_tokens: the chain's weights are fitted on those of them, toxic ones of each fiftieth first, that have so many tokens together.
+    max_docs and max_bytes: labelled documents, in order of a hash of their id, so many, of which those that would go beyond the bytes are passed over; evidence
+    of features comes from all of them. evidence: documents times the log of the ratio. field_tokens: the chain's weights are fitted on those of them, toxic ones of each fiftieth first, that have so many tokens together.
     """
 
     max_docs: int = 6000
@@ -36,7 +36,7 @@ class Fit:
     field_tokens: int = 400_000
     rounds: int = 40
     ratio: float = 30.0
-    evidence: float = 22.0
+    evidence: float = 18.0
 
 
 def features(token: str) -> list[str]:
@@ -108,19 +108,14 @@ def _first_of_copies(texts: list[str]) -> list[int]:
 def fit(texts: list[str], toxic: list[int], bounds: Fit = Fit()) -> Model:  # noqa: B008
     """Fit on whole texts with document labels.
 
-    Of copies, whole or nearly, one counts. Features that come with toxic documents by clear evidence (documents times the log of
-    how much oftener than in clean ones) mark the tokens of toxic documents as toxic; all other tokens are clean. The field is fitted to these labels by gradient steps on its likelihood, with a small penalty on large weights.
+    Of copies, whole or nearly, one counts. Features that come with toxic documents by clear evidence (how many of them hold it, times the log of
+    how much oftener than clean ones) mark the tokens of toxic documents as toxic; all other tokens are clean. The field is fitted to these labels by gradient steps on its likelihood, with a small penalty on large weights.
     """
     once = _first_of_copies(texts)
     texts, toxic = [texts[i] for i in once], [toxic[i] for i in once]
-    sizes, counts = Counter(toxic), {0: Counter(), 1: Counter()}
+    sizes, by = Counter(toxic), {0: Counter(), 1: Counter()}
     for text, label in zip(texts, toxic, strict=True):
-        counts[label].update({w.lower() for w in TOKEN.findall(text)})
-    by = {label: Counter() for label in counts}
-    for label, tokens in counts.items():
-        for token, n in tokens.items():
-            for f in features(token):
-                by[label][f] += n
+        by[label].update({f for w in {w.lower() for w in TOKEN.findall(text)} for f in features(w)})
     n1, n0, found = max(1, sizes[1]), max(1, sizes[0]), []
     for f, n in by[1].items():
         ratio = (n + 0.5) / n1 * n0 / (by[0][f] + 0.5)
@@ -177,9 +172,11 @@ def sample(docs: DataFrame, labels: DataFrame, bounds: Fit = Fit()) -> tuple[lis
     known = labels.where("doc_id is not null and toxic is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sized = docs.where("text is not null").select("doc_id", F.struct(F.octet_length("text").alias("size"), F.xxhash64("text").alias("rid")).alias("t"))
     ids = sized.join(known, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("t").alias("t")).withColumn("place", F.xxhash64("doc_id"))
-    ids = ids.orderBy("place", "doc_id").limit(bounds.max_docs).withColumn("upto", F.sum("t.size").over(Window.orderBy("place", "doc_id")))  # a window over max_docs rows
-    ids = written(ids.where(F.col("upto") <= bounds.max_bytes).select("doc_id", "toxic", "t.rid"), "toxic-sample")
-    named = ids.select(F.col("doc_id").alias("id"), "rid", "toxic")
+    ranked = ids.orderBy("place", "doc_id").limit(bounds.max_docs).select("doc_id", "toxic", "t.rid", "t.size").collect()
+    chosen = [(ranked[i].doc_id, ranked[i].rid, ranked[i].toxic) for i in within([r.size for r in ranked], bounds.max_bytes)]
+    if not chosen:
+        return [], []
+    named = docs.sparkSession.createDataFrame(chosen, "id long, rid long, toxic int")
     rows = docs.select("doc_id", "text").join(F.broadcast(named), (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("rid"))).select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: ((r.doc_id * 0x9E3779B97F4A7C15) & 0xFFFFFFFF, r.doc_id))
     return [r.text for r in rows], [int(r.toxic > 0) for r in rows]
