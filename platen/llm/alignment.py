@@ -295,7 +295,7 @@ def pair_counts(found: DataFrame) -> DataFrame:
 def hot_from(counts: DataFrame, rows: int) -> int:
     """The least power of two such that at most so many pairs are linked in as many documents or more."""
     steps = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).count().collect()  # a row for each power of two
-    total, least = 0, 63
+    total, least = 0, 62
     for k, n in sorted(((r.k, r["count"]) for r in steps), reverse=True):
         total += n
         if total > rows:
