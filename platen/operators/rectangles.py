@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +16,8 @@ from platen.operators.grouped import by_group
 FILL_SHARE = 0.25
 #: Decimals that projections are rounded to, so that equal rectangles of several edges tie.
 PLACES = 9
+#: Corners of hulls that a task holds before it hands them on.
+HELD_CORNERS = 500_000
 
 
 def _lower(x: np.ndarray, y: np.ndarray) -> list[int]:
@@ -25,30 +30,64 @@ def _lower(x: np.ndarray, y: np.ndarray) -> list[int]:
     return kept
 
 
+def _hull(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Corners of the hull of columns with ascending, distinct x, anticlockwise from the least x and of these the least y; one or two for points on one line."""
+    under, over = _lower(x, low), _lower(x, -high)[::-1]
+    hull = np.concatenate([np.stack([x[under], low[under]], 1), np.stack([x[over], high[over]], 1)])
+    apart = np.any(hull != np.roll(hull, -1, axis=0), axis=1)
+    return hull[apart] if apart.any() else hull[:1]
+
+
+def _columns(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x, least and greatest y of each column of (n x 2) points."""
+    x, y = points[np.lexsort((points[:, 1], points[:, 0]))].T
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, int)
+    return x[first], y[first], y[np.append(first[1:], len(x))[: len(first)] - 1]
+
+
+def hull_of(points: np.ndarray) -> np.ndarray:
+    """Corners of the hull of (n x 2) points, anticlockwise; points inside its sides and repeated ones are none. Points with a NaN are left out."""
+    points = points[~np.isnan(points).any(axis=1)]
+    return _hull(*_columns(points)) if len(points) else points
+
+
+def _extents(hull: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Least and greatest projections of a hull along and across each of its sides' directions u.
+
+    The corner that is furthest in a direction is where the sides' directions pass the one a quarter turn on; as the calipers turn from side to side it walks around once. Its
+    neighbours are looked at too, for sides that are all but parallel.
+    """
+    turn = np.arctan2(u[:, 1], u[:, 0])
+    turn = turn[0] + np.mod(turn - turn[0], 2 * np.pi)  # ascending, for the hull is convex
+
+    def furthest(quarters: int, axis: np.ndarray) -> np.ndarray:
+        wanted = turn[0] + np.mod(turn + (quarters + 1) * np.pi / 2 - turn[0], 2 * np.pi)
+        at = np.searchsorted(turn, wanted - 1e-9)
+        return np.max([np.einsum("ij,ij->i", hull[(at + k) % len(hull)], axis) for k in (-1, 0, 1)], axis=0)
+
+    across = np.stack([-u[:, 1], u[:, 0]], axis=1)
+    return -furthest(2, -u), furthest(0, u), -furthest(3, -across), furthest(1, across)
+
+
 def _least(columns: pd.DataFrame) -> tuple[float, ...] | None:
     """(ux, uy, u0, v0, w, h) of the least rectangle from columns (x, low, high); none for points on one line."""
     columns = columns.sort_values("x")
-    x, low, high = (columns[c].to_numpy(float) for c in ("x", "low", "high"))
-    under, over = _lower(x, low), _lower(x, -high)[::-1]
-    hull = np.concatenate([np.stack([x[under], low[under]], 1), np.stack([x[over], high[over]], 1)])
-    hull = hull[np.any(hull != np.roll(hull, 1, axis=0), axis=1)]
+    hull = _hull(*(columns[c].to_numpy(float) for c in ("x", "low", "high")))
     if len(hull) < 3:
         return None
     edge = np.roll(hull, -1, axis=0) - hull
     u = edge / np.hypot(edge[:, 0], edge[:, 1])[:, None]
-    along, across = hull @ u.T, hull @ np.stack([-u[:, 1], u[:, 0]])
-    w, h = np.ptp(along, axis=0), np.ptp(across, axis=0)
+    u0, u1, v0, v1 = _extents(hull, u)
+    w, h = u1 - u0, v1 - v0
     turn = 270 - np.mod(270 - np.degrees(np.arctan2(u[:, 1], u[:, 0])), 360)
     i = np.lexsort((turn, np.round(w * h, 6)))[0]
-    return (*u[i], *np.round([along[:, i].min(), across[:, i].min(), w[i], h[i]], PLACES))
+    return (*u[i], *np.round([u0[i], v0[i], w[i], h[i]], PLACES))
 
 
 def least_rectangle(points: np.ndarray) -> tuple[float, ...] | None:
     """(ux, uy, u0, v0, w, h) of the least rectangle around (n x 2) points; none for points on one line."""
-    x, y = points[np.lexsort((points[:, 1], points[:, 0]))].T
-    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, int)
-    last = np.concatenate([first[1:], [len(x)]]) - 1
-    return _least(pd.DataFrame({"x": x[first], "low": y[first], "high": y[last]})) if len(first) > 1 else None
+    x, low, high = _columns(points)
+    return _least(pd.DataFrame({"x": x, "low": low, "high": high})) if len(x) > 1 else None
 
 
 def rectangle_corners(rect: tuple[float, ...]) -> np.ndarray:
@@ -75,6 +114,100 @@ def least_rectangles(points: DataFrame) -> DataFrame:
     return by_group(columns, ["obj"], one, "obj long, ux double, uy double, u0 double, v0 double, w double, h double")
 
 
+def _away(v: np.ndarray) -> np.ndarray:
+    """Rounded to whole numbers, halves away from zero."""
+    return np.trunc(v + np.copysign(0.5, v))
+
+
+def _body(rect: tuple[float, ...], points: np.ndarray) -> tuple[float, ...]:
+    """body_rectangles() of one object."""
+    ux, uy, u0, v0, w, h = rect
+    x, y = points.T
+    own = {"u": np.round(x * ux + y * uy, 6), "v": np.round(y * ux - x * uy, 6)}
+    out = {}
+    for axis, across, low0, extent in (("u", "v", u0, w), ("v", "u", v0, h)):
+        key, at = np.unique(_away(own[across]), return_inverse=True)
+        low, high = np.full(len(key), np.inf), np.full(len(key), -np.inf)
+        np.minimum.at(low, at, own[axis])
+        np.maximum.at(high, at, own[axis])
+        weight, ends = np.maximum(high - low, 1), []
+        for sign, end in ((-1, low), (1, high)):
+            place, of = np.unique(_away(end), return_inverse=True)
+            votes = np.round(np.bincount(of, weight), PLACES)
+            ends.append(place[np.lexsort((place * sign, votes))[-1]])
+        out[axis] = (ends[0], ends[1] - ends[0]) if ends[1] > ends[0] else (low0, extent)
+    return (ux, uy, out["u"][0], out["v"][0], out["u"][1], out["v"][1])
+
+
+def _side_support(rect: tuple[float, ...], points: np.ndarray) -> float:
+    """The side_support of rectangularity() of one object."""
+    ux, uy, u0, v0, w, h = rect
+    if w < 1 or h < 1:
+        return 0.0
+    x, y = points.T
+    u, v = np.round(x * ux + y * uy - u0, 6), np.round(y * ux - x * uy - v0, 6)
+    near, total = min(max(min(w, h) * 0.03, 1.0), 4.0), 0.0
+    for along, length, off in ((u, w, v), (u, w, h - v), (v, h, u), (v, h, w - u)):
+        n = int(min(max(np.ceil(length / 8.0), 4), 64))
+        touched = (np.abs(off) <= near) & (along >= -near) & (along <= length + near)
+        place = np.minimum(np.floor(np.clip(along / length, 0.0, 1.0) * n).astype(int), n - 1)
+        total += len(np.unique(place[touched])) / n
+    return total / 4
+
+
+@dataclass(frozen=True)
+class Shape:
+    """Of one object: corners of its least rectangle and of its body's, the direction of the longer side, and how rectangular it is."""
+
+    corners: np.ndarray
+    body: np.ndarray
+    degrees: float
+    rectangularity: float
+
+
+def shape_of(points: np.ndarray, area: int) -> Shape | None:
+    """The shape of an object by the points of its outline and its pixels; none for points on one line. As the operators on rows of points tell it."""
+    rect = least_rectangle(points)
+    if rect is None:
+        return None
+    ux, uy, _, _, w, h = rect
+    turn = np.degrees(np.arctan2(uy, ux)) + (0 if w >= h else 90)
+    turn = np.mod(turn, 180.0)
+    fill = min(area / ((w + 1) * (h + 1)), 1.0)
+    return Shape(rectangle_corners(rect), rectangle_corners(_body(rect, points)), float(turn - 180 if turn > 90 else turn), float(FILL_SHARE * fill + (1 - FILL_SHARE) * _side_support(rect, points)))
+
+
+def convex_hulls(points: DataFrame) -> DataFrame:
+    """Points (obj, x, y) to (obj, pos, x, y): the corners of each object's hull, anticlockwise from the least x and of these the least y.
+
+    A hull of hulls is the hull: each task hands on the corners of what it has read alone, and these meet. So an object's points may be spread over all tasks,
+    and none holds more than a batch of them beside corners. Points on one line have two corners, a single one has one; nulls and NaNs are left out.
+    """
+    known = points.where("obj is not null and x is not null and y is not null").select(F.col("obj").cast("long").alias("obj"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for frame in frames:
+            for obj, own in frame.groupby("obj"):
+                more = own[["x", "y"]].to_numpy()
+                held[obj] = hull_of(np.concatenate([held[obj], more]) if obj in held else more)
+            if sum(map(len, held.values())) > HELD_CORNERS:
+                yield rows_of(held)
+                held = {}
+        yield rows_of(held)
+
+    def rows_of(hulls: dict[int, np.ndarray]) -> pd.DataFrame:
+        n, parts = [len(h) for h in hulls.values()], [h for h in hulls.values() if len(h)]
+        xy = np.concatenate(parts) if parts else np.zeros((0, 2))
+        return pd.DataFrame({"obj": np.repeat(np.array(list(hulls), np.int64), n), "x": xy[:, 0], "y": xy[:, 1]})
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        hull = hull_of(frame[["x", "y"]].to_numpy())
+        return pd.DataFrame({"obj": frame["obj"].iloc[0], "pos": np.arange(len(hull)), "x": hull[:, 0], "y": hull[:, 1]})
+
+    return by_group(known.mapInPandas(partial, "obj long, x double, y double"), ["obj"], one, "obj long, pos int, x double, y double")
+
+
 def corners(x: str = "ux", y: str = "uy") -> Column:
     """The four corners of a rectangle row, as an array of (x, y)."""
     at = lambda u, v: F.struct((u * F.col(x) - v * F.col(y)).alias("x"), (u * F.col(y) + v * F.col(x)).alias("y"))

@@ -29,27 +29,68 @@ def wrapped(degrees: float) -> float:
     return d - 180.0 if d > 90 else d
 
 
+@dataclass(frozen=True)
+class Border:
+    """Points (x, y), in row order, of a region's pixels with a side neighbour in one part of the background: an outer border, or one around a hole.
+
+    parent: place of the border around it, a region's outer border for a hole, the border of the hole that it lies in for a region; -1 if there is none.
+    """
+
+    points: np.ndarray
+    hole: bool
+    parent: int
+
+
+def border_tree(bitmap: np.ndarray) -> list[Border]:
+    """All borders of a bitmap, the largest region's first, its outer one before those of its holes in row order.
+
+    Regions are joined over corners, the background over sides, both told from runs once. A region's pixel belongs to the border with each part of the background that lies beside it, so pixels
+    are gone through once, however many regions and holes there are.
+    """
+    wide = np.pad(bitmap, 1)
+    h, w = wide.shape
+    runs, free = masks.runs_of(wide), masks.runs_of(~wide)
+    region, ground = masks.components(runs), masks.components(free, eight=False)
+    if not len(runs.y):
+        return []
+    place = np.empty(h * w, np.int32)  # of each pixel, its component's first run among those of its kind
+    for own, label in ((runs, region), (free, ground)):
+        at = np.repeat(own.y * w + own.left - (np.cumsum(own.sizes) - own.sizes), own.sizes) + np.arange(own.sizes.sum())
+        place[at] = np.repeat(label, own.sizes)
+    flat = wide.reshape(-1)
+    set_at = np.flatnonzero(flat)
+    keys, pixels = [], []
+    for step in (-w, -1, 1, w):
+        edge = set_at[~flat[set_at + step]]
+        keys.append(place[edge].astype(np.int64) * len(free.y) + place[edge + step])
+        pixels.append(edge)
+    key, pixel = np.concatenate(keys), np.concatenate(pixels)
+    order = np.lexsort((pixel, key))
+    key, pixel = key[order], pixel[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (pixel[1:] != pixel[:-1])])
+    key, pixel = key[new], pixel[new]
+    cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    inside, outside = np.divmod(key[cuts], len(free.y))
+    area = np.bincount(region, runs.sizes, len(region))[inside]
+    around = place[runs.y[inside] * w + runs.left[inside] - 1]  # what lies before a region's first pixel
+    hole = around != outside
+    rank = np.lexsort((outside, inside, -area))
+    number = np.empty(len(rank), np.int64)
+    number[rank] = np.arange(len(rank))
+    outer_of = dict(zip(inside[~hole].tolist(), number[~hole].tolist(), strict=True))
+    hole_of = dict(zip(outside[hole].tolist(), number[hole].tolist(), strict=True))
+    ends = np.append(cuts[1:], len(pixel))
+    out = []
+    for i in rank.tolist():
+        y, x = np.divmod(pixel[cuts[i] : ends[i]], w)
+        parent = outer_of[int(inside[i])] if hole[i] else hole_of.get(int(outside[i]), -1)
+        out.append(Border(np.stack([x - 1, y - 1], axis=1).astype(float), bool(hole[i]), parent))
+    return out
+
+
 def borders(bitmap: np.ndarray) -> list[np.ndarray]:
     """Points (x, y) of the border of each 8-connected region, and of the border around each of its holes."""
-    out, h, w = [], *bitmap.shape
-    runs = masks.runs_of(bitmap)
-    for o in masks.objects_of(runs, masks.components(runs)):
-        own = np.pad(masks.local_mask(o), 1)
-        free = masks.runs_of(~own)
-        label = masks.components(free, eight=False)
-        ground = np.full(own.shape, -1)
-        for y, a, b, n in zip(free.y, free.left, free.right, label, strict=True):
-            ground[y, a : b + 1] = n
-        for n in np.unique(label):
-            beside = ground == n
-            near = np.zeros_like(own)
-            near[1:] |= beside[:-1]
-            near[:-1] |= beside[1:]
-            near[:, 1:] |= beside[:, :-1]
-            near[:, :-1] |= beside[:, 1:]
-            y, x = np.nonzero(near & own)
-            out.append(np.stack([x + o.min_x - 1, y + o.min_y - 1], axis=1).astype(float))
-    return out
+    return [b.points for b in border_tree(bitmap)]
 
 
 def signed_area(polygon: np.ndarray) -> float:

@@ -1,6 +1,6 @@
 """Images in, crops out: decoded scans and the masks of a model to objects, their geometry, a plan of crops, and rendered files.
 
-Scores of models are inputs: masks for the extractor, probability maps of text, answers of the line and document classifiers. What is missing
+Scores of models are inputs, or models are callables: masks for the extractor, probability maps of text, answers of the line and document classifiers. What is missing
 degrades: without text the mask's angle holds, without classifiers nothing is turned.
 """
 
@@ -11,14 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from platen.functions.angles import long_axis_degrees
 from platen.operators import crops, masks, raster, rectangles, textboxes, votes
+from platen.operators.models import Models, ask_orientation, detect_text, extract_masks
 from platen.options import Options
 from platen.sources import codecs, outputs
 from platen.sources.images import pixels_of
+from platen.sources.scratch import broadcast_if, kept
 
 OBJECTS = (
     "path string, obj_idx int, obj long, label int, area long, min_x int, min_y int, max_x int, max_y int, width int, height int, clipped int, holes int, "
@@ -63,6 +64,8 @@ def objects_of_images(images: DataFrame, mask_rows: DataFrame, options: Options
                 rows = []
                 try:
                     if error is None:
+                        if any(m["data"] is None or m["width"] is None or m["height"] is None for m in given or []):
+                            raise ValueError("a mask has no pixels")
                         arrays = [np.frombuffer(m["data"], np.uint8).reshape(m["height"], m["width"]) for m in given or []]
                         least = options.min_side_percent / 100 * min(width, height)
                         kept = [o for o in foreground_objects(arrays, width, height, options) if options.min_side_percent <= 0 or max(o.size) >= least]
@@ -99,19 +102,40 @@ def text_lines(objects: DataFrame, chances: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "obj long, pos int, angle double, length double, score double, corners array<struct<x:double,y:double>>")
 
 
-def plan_crops(objects: DataFrame, options: Options = Options(), text: DataFrame | None = None, flips: DataFrame | None = None, doc_turns: DataFrame | None = None) -> DataFrame:  # noqa: B008
-    """Objects to the decision on each and its crop's bounds. text: (obj, pos, angle, length); flips: (obj, flip); doc_turns: (obj, doc_turns); each may be missing.
+_CORNERS = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+_SHAPE_SCHEMA = pa.schema([("obj", pa.int64()), ("clipped", pa.int32()), ("holes", pa.int32()), ("rectangularity", pa.float64()), ("mask_angle", pa.float64()), ("safe", _CORNERS), ("body", _CORNERS)])
 
-    The least rectangle around the outline says the angle and how rectangular the object is; around its body it says the crop of rectangular objects. Bounds are those of
-    that rectangle, or of the object's pixels if text said the angle. Rows with an error pass through.
+
+def geometry(objects: DataFrame) -> DataFrame:
+    """What an object's outline says: (obj, clipped, holes, rectangularity, mask_angle, safe, body), the last two the corners of its least rectangle and of its body's.
+
+    An outline stands in its object's row, so its shape is told from that row alone, without a shuffle.
     """
-    good = objects.where("error is null")
-    edge = good.select("obj", "area", F.explode("outline").alias("p")).select("obj", "area", F.col("p.x").cast("double").alias("x"), F.col("p.y").cast("double").alias("y"))
-    whole = rectangles.least_rectangles(edge)
-    shape, body = rectangles.rectangularity(edge, whole), rectangles.body_rectangles(edge, whole)
-    q = rectangles.corners
-    fitted = whole.select("obj", long_axis_degrees(F.col("w"), F.col("h"), F.atan2("uy", "ux")).alias("mask_angle"), q().alias("safe"))
-    all_of = good.select("obj", "clipped", "holes").join(shape.select("obj", "rectangularity"), "obj", "left").join(fitted, "obj", "left").join(body.select("obj", q().alias("body")), "obj", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            ends = batch.column(4).offsets.to_numpy()
+            x, y = (batch.column(4).values.field(k).to_numpy() for k in range(2))
+            for i, (obj, clipped, holes, area) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
+                shape = rectangles.shape_of(np.stack([x[ends[i] : ends[i + 1]], y[ends[i] : ends[i + 1]]], axis=1).astype(float), area)
+                row = {"obj": obj, "clipped": clipped, "holes": holes}
+                if shape is not None:
+                    row |= {"rectangularity": shape.rectangularity, "mask_angle": shape.degrees, "safe": _points(shape.corners), "body": _points(shape.body)}
+                rows.append(row)
+            yield pa.RecordBatch.from_pylist(rows, _SHAPE_SCHEMA)
+
+    good = objects.where("error is null").select("obj", "clipped", "holes", "area", "outline")
+    return good.mapInArrow(run, "obj long, clipped int, holes int, rectangularity double, mask_angle double, safe array<struct<x:double,y:double>>, body array<struct<x:double,y:double>>")
+
+
+def _points(corners: np.ndarray) -> list[dict[str, float]]:
+    return [{"x": x, "y": y} for x, y in corners.tolist()]
+
+
+def decisions(shapes: DataFrame, options: Options, text: DataFrame | None = None, flips: DataFrame | None = None, doc_turns: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Shapes with what is said of their text and turns, and the decision on each."""
+    all_of = shapes
     if text is None:
         all_of = all_of.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("text_angle", "double"), ("inliers", "long"), ("total", "long"), ("agreement", "double"))))
     else:
@@ -120,6 +144,17 @@ def plan_crops(objects: DataFrame, options: Options = Options(), text: DataFrame
     for extra, name, kind in ((flips, "flip", "boolean"), (doc_turns, "doc_turns", "int")):
         all_of = all_of.withColumn(name, F.lit(None).cast(kind)) if extra is None else all_of.join(extra.select("obj", name), "obj", "left")
     decided = votes.decide(all_of, text=options.text, force_rectangular=options.force_rectangular, safezone=options.safezone, no_deskew=options.no_deskew, no_doc_orient=options.no_doc_orient, rect_threshold=options.rectangle_threshold)
+    return all_of, decided
+
+
+def plan_crops(objects: DataFrame, options: Options = Options(), text: DataFrame | None = None, flips: DataFrame | None = None, doc_turns: DataFrame | None = None, shapes: DataFrame | None = None) -> DataFrame:  # noqa: B008
+    """Objects to the decision on each and its crop's bounds. text: (obj, pos, angle, length); flips: (obj, flip); doc_turns: (obj, doc_turns); each may be missing.
+    shapes: their geometry(), if it is at hand.
+
+    The least rectangle around the outline says the angle and how rectangular the object is; around its body it says the crop of rectangular objects. Bounds are those of
+    that rectangle, or of the object's pixels if text said the angle. Rows with an error pass through.
+    """
+    all_of, decided = decisions(geometry(objects) if shapes is None else shapes, options, text, flips, doc_turns)
     each = objects.join(decided, "obj", "left").join(all_of.select("obj", "rectangularity", "safe", "body", "inliers", "total", "agreement"), "obj", "left")
     corners = F.when(F.col("source") != "text", F.when(F.col("fit") == "max", F.col("safe")).otherwise(F.coalesce("body", "safe")))
     padding = F.when(F.col("padded"), options.padding).otherwise(0.0)
@@ -173,19 +208,41 @@ def _rendered(image: np.ndarray, crop: dict, alpha: bool) -> np.ndarray:
     return raster.alpha_output(image, masks.local_mask(found), crop["min_x"], crop["min_y"], crop["theta"], crop["padding"], crop["turns"])
 
 
-def digitise(images: DataFrame, mask_rows: DataFrame, options: Options = Options(), *, chances: DataFrame | None = None, flips: DataFrame | None = None, doc_turns: DataFrame | None = None, output: str | None = None, output_dir: str | None = None, fail_fast: bool = False) -> DataFrame:  # noqa: B008
-    """The whole way. With fail_fast, as for a single input, a failed image is an error of the job; otherwise it is a row with the reason."""
-    objects = objects_of_images(images, mask_rows, options)
-    text = None if chances is None else text_lines(objects, chances)
-    crops_of = render(images, plan_crops(objects, options, text, flips, doc_turns), options, output, output_dir)
+def digitise(images: DataFrame, mask_rows: DataFrame | None = None, options: Options = Options(), *, models: Models = Models(), chances: DataFrame | None = None, flips: DataFrame | None = None, doc_turns: DataFrame | None = None, output: str | None = None, output_dir: str | None = None, fail_fast: bool = False) -> DataFrame:  # noqa: B008
+    """The whole way. With fail_fast, as for a single input, a failed image is an error of the job; otherwise it is a row with the reason.
+
+    Masks, chances of text, flips and turns are given, or asked of models: text only of objects whose angle is sought in it. Pixels, objects, shapes and plans are written once
+    each and read from there, so an image is decoded and labelled once. A path stands for one image: of rows with one path one counts, the others are rows with an error.
+    """
+    pixels = kept(images.select("path", "format", "width", "height", "channels", "depth", "data", "error", F.monotonically_increasing_id().alias("row")), "pixels")
+    order = F.row_number().over(Window.partitionBy("path").orderBy("row"))
+    again = kept(pixels.select("path", "row").withColumn("n", order).where("n > 1").select("path", "row"), "repeated-paths")
+    own = pixels.join(broadcast_if(again.select("row"), 1_000_000), "row", "left_anti").drop("row")
+    if mask_rows is None:
+        if models.extractor is None:
+            raise ValueError("masks, or a model that finds them, must be given")
+        mask_rows = extract_masks(own, models.extractor, options.object_prompts())
+    objects = kept(objects_of_images(own, mask_rows, options), "objects")
+    shapes = kept(geometry(objects), "shapes")
+    text = None if chances is None else kept(text_lines(objects, chances), "text-lines")
+    good = objects.where("error is null")
+    if text is None and models.detector is not None:
+        asked = decisions(shapes, options)[1].where("use_text").select("obj")
+        text = kept(detect_text(own, good.join(asked, "obj", "left_semi"), models.detector, required=options.text), "text-lines")
+    if (flips is None and models.lines is not None) or (doc_turns is None and models.document is not None):
+        answers = kept(ask_orientation(own, good, decisions(shapes, options, text)[1], text, models), "orientations")
+        flips, doc_turns = (answers if flips is None else flips), (answers if doc_turns is None else doc_turns)
+    planned = kept(plan_crops(objects, options, text, flips, doc_turns, shapes), "plan")
+    crops_of = render(own, planned, options, output, output_dir)
+    crops_of = crops_of.unionByName(again.select("path", F.lit("the path comes more than once").alias("error")), allowMissingColumns=True)
     if fail_fast:
         crops_of = crops_of.where(F.when(F.col("error").isNotNull(), F.raise_error(F.concat("path", F.lit(": "), "error")).isNotNull()).otherwise(True))
     return crops_of
 
 
 def summary(crops_of: DataFrame) -> DataFrame:
-    """(path, objects, error): objects found in each image, or why there are none."""
-    return crops_of.groupBy("path").agg(F.count(F.when(F.col("error").isNull(), 1)).alias("objects"), F.min("error").alias("error"))
+    """(path, objects, error): objects found in each image, whether or not their crops could be made, or why there are none."""
+    return crops_of.groupBy("path").agg(F.count("obj_idx").alias("objects"), F.min("error").alias("error"))
 
 
 def theta_of(degrees: float) -> float:

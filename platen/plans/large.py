@@ -6,11 +6,13 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from platen.operators import tiles
+from platen.operators import objects, rectangles, textboxes, tiles
+from platen.operators.grouped import by_group
 from platen.plans import queries
 from platen.plans.queries import CUTOFF, SIDE, alpha_raster, image_of, raster_files
 from platen.sources import images, jpeg
@@ -83,10 +85,63 @@ def tiled_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(image_of(F.col("path")).alias("img"), "obj_idx", "label", "area", "min_x", "min_y", "max_x", "max_y")
 
 
-QUERIES: dict[str, queries.Query] = {"jpeg_pixels": jpeg_pixels, "tiled_deskew": tiled_deskew, "tiled_objects": tiled_objects}
+def convex_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corners of each supplier's turned object, and how many it has."""
+    found = rectangles.convex_hulls(queries.turned_points(spark, sf_dir))
+    n = F.count("*").over(Window.partitionBy("obj"))
+    return found.select("obj", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), n.alias("n"))
+
+
+def text_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of the borders of each raster's regions (img, label, hole, y, x): label is the first pixel of the region; hole: its border with a hole, or the outer one."""
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        bitmap = np.zeros((SIDE, SIDE), bool)
+        for y, left, right in zip(frame["y"], frame["left"], frame["right"], strict=True):
+            bitmap[y, left : right + 1] = True
+        found = textboxes.border_tree(bitmap)
+        first = [int(b.points[0, 1]) * SIDE + int(b.points[0, 0]) for b in found]
+        label = [first[b.parent] if b.hole else n for b, n in zip(found, first, strict=True)]
+        size = [len(b.points) for b in found]
+        x, y = np.concatenate([b.points for b in found]).astype(int).T
+        return pd.DataFrame({"img": frame["img"].iloc[0], "label": np.repeat(label, size), "hole": np.repeat([b.hole for b in found], size), "y": y, "x": x})
+
+    runs = objects.pixel_runs(queries.foreground(spark, sf_dir))
+    return by_group(runs, ["img"], one, "img long, label long, hole boolean, y int, x int")
+
+
+def scan_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of scan_crops' way what SQL can say: the objects of each raster, where their angles come from, and the crops' paths."""
+    done = queries.scan_crops(spark, sf_dir)
+    return done.where("error is null").select("img", "obj_idx", "area", "angle_deg", "source", "out_path")
+
+
+QUERIES: dict[str, queries.Query] = {"jpeg_pixels": jpeg_pixels, "tiled_deskew": tiled_deskew, "tiled_objects": tiled_objects, "convex_hull": convex_hull, "text_borders": text_borders, "scan_plan": scan_plan}
 
 ORACLES: dict[str, str] = {
     "jpeg_pixels": f"WITH {queries._X1} SELECT img, y, x, alpha AS value, true AS flat, true AS near FROM x1",
     "tiled_deskew": queries.ORACLES["deskew_pixels"],
     "tiled_objects": queries.ORACLES["component_objects"],
+    "convex_hull": f"""WITH {queries._RECTS},
+        sides AS (SELECT obj, ax, ay, dx // gcd(abs(dx), abs(dy)) AS sx, dy // gcd(abs(dx), abs(dy)) AS sy FROM edges),
+        c AS (SELECT obj, sx, sy, arg_min(struct_pack(x := ax, y := ay), ax * sx + ay * sy) AS p FROM sides GROUP BY obj, sx, sy)
+        SELECT obj, CAST(p.x AS BIGINT) AS x, CAST(p.y AS BIGINT) AS y, count(*) OVER (PARTITION BY obj) AS n FROM c""",
+    "scan_plan": f"""WITH RECURSIVE {queries._LABELS},
+        large AS (SELECT *, img * {SIDE * SIDE} + label AS obj, row_number() OVER (PARTITION BY img ORDER BY obj_idx) - 1 AS idx FROM objects WHERE greatest(max_x - min_x, max_y - min_y) + 1 >= 0.3 * {SIDE}),
+        x3 AS (SELECT img * {SIDE * SIDE} + label AS obj, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, y = min(y) OVER (PARTITION BY img, label, x) OR y = max(y) OVER (PARTITION BY img, label, x) AS outer_point FROM labelled),
+        {queries._RECTS[queries._RECTS.index("e AS (SELECT obj, x, y FROM x3"):]}
+        SELECT img, CAST(idx AS INTEGER) AS obj_idx, area, round(CAST({queries._AXIS} AS FLOAT), 2) AS angle_deg, CASE WHEN r.obj IS NULL THEN 'none' ELSE 'mask' END AS source,
+               'crops/' || img || '_' || idx || (['.png', '.tiff'])[CAST(img % 2 + 1 AS INTEGER)] AS out_path
+        FROM large LEFT JOIN rects r ON r.obj = large.obj""",
+    "text_borders": f"""WITH RECURSIVE {queries._LABELS},
+        free AS (SELECT i.img, CAST(a.y AS INTEGER) - 1 AS y, CAST(b.x AS INTEGER) - 1 AS x FROM (SELECT DISTINCT img FROM labelled) i, range({SIDE + 2}) a(y), range({SIDE + 2}) b(x)
+                 WHERE NOT EXISTS (SELECT 1 FROM labelled l WHERE l.img = i.img AND l.y = a.y - 1 AND l.x = b.x - 1)),
+        spread(img, y, x, g) AS (
+            SELECT img, y, x, (y + 1) * {SIDE + 2} + x + 1 FROM free
+            UNION
+            SELECT f.img, f.y, f.x, s.g FROM spread s JOIN free f ON f.img = s.img AND abs(f.y - s.y) + abs(f.x - s.x) = 1),
+        ground AS (SELECT img, y, x, min(g) AS g FROM spread GROUP BY img, y, x),
+        around AS (SELECT o.img, o.label, g.g FROM (SELECT DISTINCT img, label FROM labelled) o JOIN ground g ON g.img = o.img AND g.y = o.label // {SIDE} AND g.x = o.label % {SIDE} - 1),
+        beside AS (SELECT DISTINCT l.img, l.label, g.g, l.y, l.x FROM labelled l JOIN ground g ON g.img = l.img AND abs(g.y - l.y) + abs(g.x - l.x) = 1)
+        SELECT b.img, b.label, b.g <> a.g AS hole, b.y, b.x FROM beside b JOIN around a ON a.img = b.img AND a.label = b.label""",
 }

@@ -28,6 +28,11 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path)
     one = F.col("path").endswith("/" + path.rstrip("/").rsplit("/", 1)[-1])  # a file is taken whatever its extension
     files = files.where(one | F.col("path").rlike(rf"(?i)\.({extensions})$"))
+    return with_format(files)
+
+
+def with_format(files: DataFrame) -> DataFrame:
+    """Files with their format by the first bytes, else by extension."""
     head = F.hex(F.substring("content", 1, 12))
     sniffed = F.coalesce(*(F.when(head.rlike(pattern), name) for name, pattern in MAGIC))
     return files.select("path", "length", "content", F.coalesce(sniffed, format_of(F.col("path"))).alias("format"))
