@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platen.llm.common import written
+from platen.llm.common import texts_in_batches, written
 
 #: A worker keeps the alignments of so many chunks of at most so many characters.
 CHUNKS, LONG_CHUNK = 300_000, 48
@@ -280,7 +280,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
                 at = upto
 
-    named = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    named = texts_in_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return named.mapInArrow(run, _SCHEMA)
 
 

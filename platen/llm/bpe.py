@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from platen.llm.common import texts_in_batches
+
 #: Bytes under the rolling hash; one cut in 2 to so many places; bytes that are hashed at once.
 WINDOW, CUT_BITS, SLAB = 16, 11, 1 << 20
 #: A worker's memory: bytes of kept chunks with their ids, kept words and parts of words, and bytes of the longest of these.
@@ -311,7 +313,7 @@ def encode(docs: DataFrame, path: str, *, with_decoded: bool = False) -> DataFra
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, ids binary" + ", decoded string" * with_decoded
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    return texts_in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def _decoded(enc: Encoder, ids: list[bytes]) -> list[str]:

@@ -42,6 +42,19 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of texts that go to Python at once, unless the session says otherwise; Spark's own bound.
+BATCH, BATCH_BYTES, SPARK_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m", "67108864b"
+
+
+def texts_in_batches(docs: DataFrame) -> DataFrame:
+    """The same rows; from now on the session hands rows to Python in batches of BATCH_BYTES, if it has Spark's own bound: some 10,000 rows of long texts in
+    buffers on both sides are more than what a worker keeps otherwise."""
+    conf = docs.sparkSession.conf
+    if conf.get(BATCH, None) == SPARK_BYTES:
+        conf.set(BATCH, BATCH_BYTES)
+    return docs
+
+
 #: Bytes of a table, as rows without overhead, up to which it is broadcast.
 BROADCAST_BYTES = 32 << 20
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platen.llm.common import within
+from platen.llm.common import texts_in_batches, within
 from platen.llm.simhash import mixed, shingle_set
 
 TOKEN = re.compile(r"\w+")
@@ -225,7 +225,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                             spans[i] = _spans(texts[i], hot.tolist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["doc_id", "score", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, spans array<struct<start:int,end:int>>")
+    return texts_in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, spans array<struct<start:int,end:int>>")
 
 
 def _packs(sizes: list[int]) -> Iterator[list[int]]:
