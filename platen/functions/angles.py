@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,3 +23,9 @@ def wrap_orientation(a: Column) -> Column:
 def long_axis_degrees(w: Column, h: Column, angle: Column) -> Column:
     """Orientation in degrees of a rectangle's longer side; angle: of its w side, in radians."""
     return wrap_orientation(F.degrees(angle) + F.when(w >= h, 0.0).otherwise(90.0))
+
+
+def normalize_orientation(radians: Column) -> Column:
+    """Radians to (-pi/2, pi/2]: the same line, whichever way it is run along."""
+    turned = F.pmod(radians, F.lit(math.pi))
+    return F.when(turned > math.pi / 2, turned - math.pi).otherwise(turned)

@@ -37,6 +37,7 @@ class Options:
     doc_model: str | None = "onnx/bkori.onnx"
     overwrite: bool = False
     safezone: bool = False
+    debug: bool = False
 
     def __post_init__(self) -> None:
         ranges = {"overlap": 1.0, "threshold": 100.0, "rectangularity": 1.0, "padding": 100.0, "min_side_percent": 100.0}

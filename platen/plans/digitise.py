@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from platen.operators import crops, masks, raster, rectangles, textboxes, votes
+from platen.operators import crops, masks, overlays, raster, rectangles, textboxes, votes
 from platen.operators.models import Models, ask_orientation, detect_text, extract_masks
 from platen.options import Options
 from platen.sources import codecs, outputs
@@ -208,8 +208,16 @@ def _rendered(image: np.ndarray, crop: dict, alpha: bool) -> np.ndarray:
     return raster.alpha_output(image, masks.local_mask(found), crop["min_x"], crop["min_y"], crop["theta"], crop["padding"], crop["turns"])
 
 
-def digitise(images: DataFrame, mask_rows: DataFrame | None = None, options: Options = Options(), *, models: Models = Models(), chances: DataFrame | None = None, flips: DataFrame | None = None, doc_turns: DataFrame | None = None, output: str | None = None, output_dir: str | None = None, fail_fast: bool = False) -> DataFrame:  # noqa: B008
-    """The whole way. With fail_fast, as for a single input, a failed image is an error of the job; otherwise it is a row with the reason.
+def digitise(images: DataFrame, mask_rows: DataFrame | None = None, options: Options = Options(), **more: object) -> DataFrame:  # noqa: B008
+    """The whole way, to crops: the first of what digitised() gives."""
+    return digitised(images, mask_rows, options, **more)[0]
+
+
+def digitised(
+    images: DataFrame, mask_rows: DataFrame | None = None, options: Options = Options(), *, models: Models = Models(), chances: DataFrame | None = None, flips: DataFrame | None = None,  # noqa: B008
+    doc_turns: DataFrame | None = None, output: str | None = None, output_dir: str | None = None, fail_fast: bool = False
+) -> tuple[DataFrame, DataFrame | None]:
+    """Crops of images, and with options.debug the pictures that show how each object was understood. With fail_fast, as for a single input, a failed image is an error of the job; otherwise it is a row with the reason.
 
     Masks, chances of text, flips and turns are given, or asked of models: text only of objects whose angle is sought in it. Pixels, objects, shapes and plans are written once
     each and read from there, so an image is decoded and labelled once. A path stands for one image: of rows with one path one counts, the others are rows with an error.
@@ -234,10 +242,26 @@ def digitise(images: DataFrame, mask_rows: DataFrame | None = None, options: Opt
         flips, doc_turns = (answers if flips is None else flips), (answers if doc_turns is None else doc_turns)
     planned = kept(plan_crops(objects, options, text, flips, doc_turns, shapes), "plan")
     crops_of = render(own, planned, options, output, output_dir)
+    shown = _shown(own, objects, shapes, decisions(shapes, options, text, flips, doc_turns)[1], text, options, output, output_dir) if options.debug else None
     crops_of = crops_of.unionByName(again.select("path", F.lit("the path comes more than once").alias("error")), allowMissingColumns=True)
     if fail_fast:
         crops_of = crops_of.where(F.when(F.col("error").isNotNull(), F.raise_error(F.concat("path", F.lit(": "), "error")).isNotNull()).otherwise(True))
-    return crops_of
+    return crops_of, shown
+
+
+def _shown(images: DataFrame, objects: DataFrame, shapes: DataFrame, decided: DataFrame, text: DataFrame | None, options: Options, output: str | None, output_dir: str | None) -> DataFrame:
+    """Pictures of what was decided on each object, named after its crop."""
+    given = outputs.plan(F.col("path"), F.col("format"), F.lit(options.alpha), F.lit(options.allow_lossy), None if output is None else F.lit(output), None if output_dir is None else F.lit(output_dir), output_dir is not None)
+    bases = images.where("error is null").select("path", given["base"].alias("base"))
+    named = objects.where("error is null").select("path", "obj_idx", "obj").join(bases, "path").select("obj", outputs.object_path(F.col("base"), F.col("obj_idx")).alias("out_path"))
+    fit = F.when(F.col("fit") == "max", F.col("safe")).otherwise(F.coalesce("body", "safe"))
+    each = named.join(decided.select("obj", "fit", "angle_deg", F.col("theta").cast("double").alias("theta")), "obj").join(shapes.select("obj", "safe", "body"), "obj")
+    each = each.select("obj", "out_path", fit.alias("fit"), F.when(F.col("fit") != "max", F.col("safe")).alias("safe"), F.col("angle_deg").cast("double").alias("angle_deg"), "theta")
+    if text is None or not {"corners", "score"} <= set(text.columns):
+        each = each.withColumn("lines", F.lit(None).cast("array<struct<pos:int,angle:double,length:double,score:double,corners:array<struct<x:double,y:double>>>>"))
+    else:
+        each = each.join(text.groupBy("obj").agg(F.array_sort(F.collect_list(F.struct("pos", "angle", "length", "score", "corners"))).alias("lines")), "obj", "left")
+    return overlays.overlays(images, objects, each)
 
 
 def summary(crops_of: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from platen.operators.models import Models
 from platen.options import Options, check_output, inputs_of
-from platen.plans.digitise import digitise
+from platen.plans.digitise import digitised
 from platen.sources import images, outputs
 from platen.sources.scratch import kept
 from platen.sources.storage import opened
@@ -134,11 +134,13 @@ def run(
         figures.found, figures.done = figures.found + total, figures.done + total - left
         for batch in _batches(spark, wanted):
             read = images.decode_images(content_of(spark, batch))
-            crops = digitise(read, masks, options, models=models, output=output if single_file[path] else None, output_dir=target, fail_fast=len(inputs) == 1 and single_file[path])
+            crops, shown = digitised(read, masks, options, models=models, output=output if single_file[path] else None, output_dir=target, fail_fast=len(inputs) == 1 and single_file[path])
             seen = Observation()
             figures.observed.append(seen)
             observed = written(crops).observe(seen, F.count("obj_idx").alias("objects"), F.count(F.when(F.col("error").isNull(), 1)).alias("crops"))
             results.append(kept(observed, "run"))
+            if shown is not None:
+                kept(written(shown), "overlays")
             figures.add()
             figures.read += len(batch)
             figures.failed += results[-1].where("obj_idx is null").select("path").distinct().count()

@@ -139,15 +139,16 @@ class Walk:
         self.ac = {k: look_up(windows, t, self.runs) for k, t in self.ac_tables.items()}
         self.next, self.after_ac, self.ending = {}, {}, {}
         for k, x in self.ac.items():
-            jump, gain = [np.minimum(np.arange(n) + x.step, n - 1)], [np.minimum(x.skip + 1, 64).astype(np.uint8)]
+            jump, gain = [np.minimum(np.arange(n, dtype=np.int32) + x.step, n - 1)], [np.minimum(x.skip + 1, 64).astype(np.uint8)]
             for _ in range(5):
                 j, g = jump[-1], gain[-1]
                 jump.append(j[j])
                 gain.append(np.minimum(g.astype(np.int16) + g[j], 64).astype(np.uint8))
-            place_, passed = np.arange(n), np.zeros(n, np.int16)
+            place_, passed = np.arange(n, dtype=np.int32), np.zeros(n, np.int16)
             for j, g in zip(reversed(jump), reversed(gain), strict=True):
-                go = passed + g[place_] < self.band
-                passed = np.where(go, passed + g[place_], passed)
+                further = passed + g[place_]
+                go = further < self.band
+                passed = np.where(go, further, passed)
                 place_ = np.where(go, j[place_], place_)
             self.next[k], self.after_ac[k], self.ending[k] = jump[0], jump[0][place_], x.ends[place_]
 
@@ -304,7 +305,7 @@ def _first(own: list[Component], tables: list[tuple[int, int]], codes: dict[int,
         walk.at(place)
         starts, begun = [], []
         here, limit = 0, walk.stop - walk.start
-        after_dc, after_ac, ending = ({k: v.tolist() for k, v in x.items()} for x in (walk.after_dc, walk.after_ac, walk.ending))
+        after_dc, after_ac, ending = ({k: memoryview(np.ascontiguousarray(v)) for k, v in x.items()} for x in (walk.after_dc, walk.after_ac, walk.ending))
         i = done
         while i < n and here < limit:
             if walk.start + here >= bits.size:

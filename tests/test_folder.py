@@ -80,6 +80,15 @@ def test_single_files_and_arguments(spark, tmp_path):
         folder.run(spark, [str(tmp_path / "none")], models=own)
 
 
+def test_debug_pictures(spark, tmp_path):
+    scans, out = str(tmp_path / "s"), str(tmp_path / "o")
+    put(scans, "a.png", sheet(boxes=((8, 10, 30, 40),)))
+    folder.run(spark, [scans], Options(debug=True), models=models.Models(extractor=EXTRACTOR), output_dir=out)
+    assert sorted(os.listdir(out)) == ["a_0.debug.png", "a_0.deskewed.png", "a_0.png"]
+    picture = codecs.decode(open(f"{out}/a_0.debug.png", "rb").read(), "png")
+    assert picture.shape == (22, 30, 3) and picture[0, 15].tolist() == [0, 90, 255] and picture[11, 15].tolist() == [230, 0, 230]
+
+
 def pixels_of(spark, tmp_path, pictures):
     for name, picture in pictures.items():
         put(str(tmp_path / "in"), name, picture)
