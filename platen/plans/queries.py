@@ -15,6 +15,7 @@ from platen.operators import crops, objects, raster, rectangles, votes
 from platen.options import Options
 from platen.plans import digitise
 from platen.sources import codecs, images, outputs
+from platen.sources.scratch import kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -113,10 +114,10 @@ def rotated_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def crop_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows at 30 degrees: bounds of the least rectangle's corners where an object has one, else of its pixels; 5 percent wider on each side."""
-    pixels = labelled(spark, sf_dir)
     theta = F.lit(math.radians(30.0))
-    runs = objects.label_runs(foreground(spark, sf_dir), SIDE).groupBy("img", "label").agg(F.collect_list(F.struct("y", "left", "right")).alias("runs"))
-    edge = objects.outline_pixels(foreground(spark, sf_dir), SIDE).select((F.col("img") * SIDE * SIDE + F.col("label")).alias("obj"), "x", "y")
+    known = kept(objects.label_runs(foreground(spark, sf_dir), SIDE, outlines=True), "labelled-runs")
+    runs = known.groupBy("img", "label").agg(F.collect_list(F.struct("y", "left", "right")).alias("runs"))
+    edge = known.select((F.col("img") * SIDE * SIDE + F.col("label")).alias("obj"), F.explode("edge").alias("x"), "y")
     fitted = rectangles.least_rectangles(edge).select("obj", rectangles.corners().alias("q"))
     each = runs.withColumn("obj", F.col("img") * SIDE * SIDE + F.col("label")).join(fitted, "obj", "left")
     bounds = each.select("img", "label", crops.crop_bounds(F.col("q"), F.col("runs"), F.lit(0), F.lit(0), theta).alias("b")).select("img", "label", "b.*")
@@ -204,8 +205,8 @@ def box_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def angle_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decision on each supplier's object: text angles from its lines as an order, flips by the parity of these, turns by its number."""
-    points = turned_points(spark, sf_dir)
-    r = rectangles.least_rectangles(points)
+    points = kept(turned_points(spark, sf_dir), "points")
+    r = kept(rectangles.least_rectangles(points), "rectangles")
     shape = rectangles.rectangularity(points, r)
     mask = r.select("obj", long_axis_degrees(F.col("w"), F.col("h"), F.atan2("uy", "ux")).alias("mask_angle"))
     text = robust_text_angle(spark, sf_dir).select("obj", F.col("angle_deg").alias("text_angle"))
@@ -281,7 +282,7 @@ QUERIES: dict[str, Query] = {
     "unclip_rect": unclip_rect,
     "box_score": box_score,
     "angle_decision": angle_decision,
-    "hole_count": lambda s, d: objects.hole_counts(labelled(s, d), 1),
+    "hole_count": lambda s, d: objects.run_hole_counts(objects.label_runs(foreground(s, d), SIDE), 1),
     "iou_merge": lambda s, d: objects.merged_instances(instance_masks(s, d), MERGE),
     "component_objects": component_objects,
     "alpha_foreground": foreground,
