@@ -276,3 +276,44 @@ def test_toxicity_sample_passes_over_what_is_too_long(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
     texts, _ = toxicity.sample(docs, labels, toxicity.Fit(max_bytes=1000))
     assert len(texts) > 15 and max(map(len, texts)) == 20
+
+
+# --- token counts, and rows of toxicity ---
+
+
+def test_token_counts_are_those_of_the_best_segmentation(spark):
+    from platen.llm import unigram
+
+    path = tokenizer_path(B)
+    scores = unigram.Vocabulary.from_model(path)
+
+    def tokens(word):
+        """Best score and its count for each end of the word, over all pieces and bytes of single characters; of equal ones the longer last piece."""
+        best = [(0.0, 0)]
+        for end in range(1, len(word) + 1):
+            ways = [(best[s][0] + scores.scores[word[s:end]], end - s, best[s][1] + 1) for s in range(end) if word[s:end] in scores.scores]
+            if word[end - 1] not in scores.scores:
+                ways.append((best[end - 1][0] + scores.unknown, 0, best[end - 1][1] + len(word[end - 1].encode())))
+            top = max(ways, key=lambda w: (w[0], w[1]))
+            best.append((top[0], top[2]))
+        return best[-1][1]
+
+    texts = ["the cat sat", "unbelievably  zzzqqqxx\nnaïve", "", None, "漢字 🙂 x", "the the the", "a" * 70]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_tokens string")
+    found = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in unigram.token_counts(docs, path).collect()}
+    for i, t in enumerate(texts):
+        words = (t or "").split()
+        assert found[i] == (len(words), sum(tokens(f"▁{w}") for w in words))
+
+
+def test_toxicity_rows(spark):
+    texts = ["you scum and idiot", "a fine day", None, "", "scum " * 30_000]
+    labels = [1, 0, 0, 0, 1]
+    model = toxicity.fit([f"{t} {i}" for i, t in enumerate(["scum here", "all fine", "a day", "good scum", "an idiot", "nice"] * 20)], [1, 0, 0, 1, 1, 0] * 20, toxicity.Fit(ratio=2.0, evidence=2.0))
+    docs = spark.createDataFrame([(None if i == 0 else i, t, n) for i, (t, n) in enumerate(zip(texts, labels, strict=True))] * 2, "doc_id long, text string, score int")
+    rows = toxicity.score(docs, model).collect()
+    assert len(rows) == 10 and sorted(r.doc_id is None for r in rows) == [False] * 8 + [True] * 2
+    said: dict[object, set] = {}
+    for r in rows:
+        said.setdefault(r.doc_id, set()).add(r.score)
+    assert all(len(v) == 1 for v in said.values()) and said[2] == said[3] == {0.0} and min(said[4]) > 0.9 > max(said[1])
