@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus operators that work on ``documents``-like tables.
+"""Training-data operators: thirteen operators on ``documents``-like tables, pages, conversations and embeddings.
 
 Nothing outside this package imports it.
 """
