@@ -63,9 +63,8 @@ def raster_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tiled_deskew(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels (img, y, x, value) of the rasters turned by 30 degrees, tile by tile: as of whole images."""
     theta = math.radians(30.0)
-    c, s = math.cos(theta), math.sin(theta)
     cut = raster_tiles(spark, sf_dir)
-    bounds = F.struct(*(F.lit(float(v)).alias(n) for n, v in (("min_x", -SIDE * s), ("min_y", 0.0), ("max_x", SIDE * c), ("max_y", SIDE * (c + s)))))
+    bounds = F.struct(*(F.lit(v).alias(n) for n, v in zip(("min_x", "min_y", "max_x", "max_y"), tiles.theta_window(SIDE, SIDE, theta), strict=True)))
     planned = cut.where("ty = 0 and tx = 0").select("path", F.lit(0).alias("obj_idx"), bounds.alias("bounds"), F.lit(theta).alias("theta"), F.lit(0).alias("turns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
