@@ -107,6 +107,51 @@ def test_cut_off_jpegs_are_refused():
                 codecs.decode(data[:cut], "jpeg")
 
 
+def test_gif_as_another_encoder_writes_it(spark):
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    for h, w, step in ((9, 14, 3), (60, 80, 1), (150, 150, 1)):
+        grey = picture(h, w, 1, step)
+        own = jvm.java.awt.image.BufferedImage(w, h, 10)
+        values = gateway.new_array(jvm.int, h * w)
+        for i, v in enumerate(grey.reshape(-1).tolist()):
+            values[i] = v
+        own.getRaster().setPixels(0, 0, w, h, values)
+        out = jvm.java.io.ByteArrayOutputStream()
+        assert jvm.javax.imageio.ImageIO.write(own, "gif", out)
+        data = bytes(out.toByteArray())
+        found = codecs.decode(data, "gif")
+        assert np.array_equal(found[:, :, :3], np.repeat(grey, 3, axis=2)) and (found[:, :, 3] == 255).all()
+        for cut in range(0, len(data) - 2, max(1, len(data) // 40)):
+            with pytest.raises(codecs.Unsupported):
+                codecs.decode(data[:cut], "gif")
+
+
+def test_interlaced_and_clear_gif():
+    """Three colours, five rows in passes, the first colour clear, on a larger canvas."""
+    numbers = RNG.integers(0, 3, (5, 3))
+    order = [0, 4, 2, 1, 3]
+    bits = "".join(f"{c:03b}"[::-1] for c in [n for v in numbers[order].reshape(-1).tolist() for n in (4, v)] + [5])  # a clear code before each keeps codes short
+    codes = np.packbits(np.array(list(bits), np.uint8), bitorder="little").tobytes()
+    data = b"GIF89a" + struct.pack("<HHBBB", 6, 8, 0xA1, 0, 0) + bytes([1, 2, 3, 40, 50, 60, 70, 80, 90, 0, 0, 0]) + b"\x21\xf9\x04\x01\0\0\0\0" + b"\x2c" + struct.pack("<HHHHB", 1, 2, 3, 5, 0x40) + bytes([2, len(codes)]) + codes + b"\0\x3b"
+    found = codecs.decode(data, "gif")
+    assert found.shape == (8, 6, 4) and not found[:2].any() and not found[:, 0].any() and not found[7].any()
+    colours = np.array([[1, 2, 3, 0], [40, 50, 60, 255], [70, 80, 90, 255]])
+    assert np.array_equal(found[2:7, 1:4], colours[numbers])
+
+
+def test_tga_plain_and_in_runs():
+    for c in (1, 3, 4):
+        own = picture(13, 21, c, 4)
+        assert np.array_equal(codecs.decode(codecs.encode(own, "tga"), "tga"), own)
+        body = b""
+        for row in own[::-1]:
+            for p in (row if c == 1 else row[:, [2, 1, 0, 3][:c]]):
+                body += b"\x80" + bytes(p.tolist()) if RNG.random() < 0.5 else b"\x00" + bytes(p.tolist())
+        assert np.array_equal(codecs.decode(struct.pack("<BBBHHBHHHHBB", 0, 0, 11 if c == 1 else 10, 0, 0, 0, 0, 0, 21, 13, 8 * c, 0) + body, "tga"), own)
+    with pytest.raises(codecs.Unsupported):
+        codecs.encode(np.zeros((2, 2, 2), np.uint8), "tga")
+
+
 def filtered(rows, kinds, back):
     """Rows with each one's filter, pixel by pixel as the format says."""
     out, above = b"", [0] * rows.shape[1]
