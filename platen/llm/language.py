@@ -32,11 +32,12 @@ class Fit:
     """Bounds of the sample that is learned from, and settings of the machines.
 
     docs_per_lang and bytes_per_lang: of each language documents in order of a hash of their id; one that would go beyond the bytes is passed over, and
-    the next one tried. windows: of each text so many runs of 1, 2, 4, .. words are learned beside the whole, so that short texts are told as well.
+    the next one tried. max_bytes: of all languages together; with many of them each has an equal share. windows: of each text so many runs of 1, 2, 4, .. words are learned beside the whole, so that short texts are told as well.
     """
 
     docs_per_lang: int = 1200
     bytes_per_lang: int = 4 << 20
+    max_bytes: int = 96 << 20
     windows: int = 5
     penalty: float = 20.0
     rounds: int = 12
@@ -82,7 +83,7 @@ def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 @dataclass
 class Machines:
-    """One-versus-one machines: weights (machines x features) and biases. Machine k tells names[pairs[k][0]], above 0, from names[pairs[k][1]]."""
+    """One-versus-one machines: weights (machines x features), half a megabyte a machine, and biases. Machine k tells names[pairs[k][0]], above 0, from names[pairs[k][1]]."""
 
     languages: list[str]
     families: list[str]
@@ -218,10 +219,10 @@ def sample(docs: DataFrame, learn: Column, settings: Fit = Fit()) -> tuple[list[
         near |= (F.col("lang") == lang) & (F.col("place").cast("double") <= -(2.0**63) + share * 2.0**64)
     ranked = usable.where(near).select("place", "lang", "size").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "size")))
     rows = sorted(ranked.where(F.col("rank") <= settings.docs_per_lang).collect(), key=lambda r: (r.lang, r["rank"]))
-    chosen = []
+    chosen, most = [], min(settings.bytes_per_lang, settings.max_bytes // len(rate))
     for lang in rate:
         own = [r for r in rows if r.lang == lang]
-        chosen += [own[i].place for i in within([r.size for r in own], settings.bytes_per_lang)]
+        chosen += [own[i].place for i in within([r.size for r in own], most)]
     if not chosen:
         return [], []
     named = docs.sparkSession.createDataFrame([(p,) for p in set(chosen)], "chosen long")
