@@ -1,4 +1,4 @@
-"""Image files as arrays (h x w x channels, 8 or 16 bits) and back: PNG, JPEG, TIFF, BMP, PNM, farbfeld, GIF (read) and TGA, by numpy and zlib alone."""
+"""Image files as arrays (h x w x channels, 8 or 16 bits) and back: PNG, JPEG, TIFF, BMP, PNM, farbfeld, GIF (read), TGA, ICO and QOI, by numpy and zlib alone."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from platen.sources import palettes
 from platen.sources.jpeg import decode_jpeg, encode_jpeg
-from platen.sources.palettes import decode_gif, decode_tga, encode_tga
 
 PNG, FARBFELD = b"\x89PNG\r\n\x1a\n", b"farbfeld"
 #: Rows of a PNG that are undone together at most.
@@ -410,8 +410,8 @@ def size_of(data: bytes, form: str | None) -> tuple[int, int]:
     return image.shape[1], image.shape[0]
 
 
-DECODERS = {"png": decode_png, "jpeg": decode_jpeg, "tiff": decode_tiff, "bmp": decode_bmp, "pnm": decode_pnm, "farbfeld": decode_farbfeld, "gif": decode_gif, "tga": decode_tga}
-ENCODERS = {"png": encode_png, "jpeg": encode_jpeg, "tiff": encode_tiff, "bmp": encode_bmp, "pnm": encode_pnm, "farbfeld": encode_farbfeld, "tga": encode_tga}
+DECODERS = {"png": decode_png, "jpeg": decode_jpeg, "tiff": decode_tiff, "bmp": decode_bmp, "pnm": decode_pnm, "farbfeld": decode_farbfeld, "gif": palettes.decode_gif, "tga": palettes.decode_tga, "ico": lambda data: palettes.decode_ico(data, decode_png), "qoi": palettes.decode_qoi}
+ENCODERS = {"png": encode_png, "jpeg": encode_jpeg, "tiff": encode_tiff, "bmp": encode_bmp, "pnm": encode_pnm, "farbfeld": encode_farbfeld, "tga": palettes.encode_tga, "ico": lambda image: palettes.encode_ico(image, encode_png(image)), "qoi": palettes.encode_qoi}
 
 
 def decode(data: bytes, form: str | None) -> np.ndarray:
@@ -433,6 +433,10 @@ def encode(image: np.ndarray, form: str) -> bytes:
         raise Unsupported("jpeg: only 8-bit grey or colour")
     if form == "tga" and (image.dtype != np.uint8 or image.shape[2] == 2):
         raise Unsupported("tga: only 8-bit grey, colour or colour with alpha")
+    if form == "qoi" and (image.dtype != np.uint8 or image.shape[2] < 3):
+        raise Unsupported("qoi: only 8-bit colour")
+    if form == "ico" and max(image.shape[:2]) > 256:
+        raise Unsupported("ico: more than 256 pixels a side")
     if form == "bmp" and (image.dtype != np.uint8 or image.shape[2] != 3):
         raise Unsupported("bmp: only 8-bit colour")
     return ENCODERS[form](image)

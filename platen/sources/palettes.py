@@ -1,8 +1,9 @@
-"""GIF and TGA files as arrays, and TGA back."""
+"""Small formats as arrays and back: GIF (read), TGA, ICO and QOI."""
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 
 import numpy as np
 
@@ -135,3 +136,82 @@ def encode_tga(image: np.ndarray) -> bytes:
         raise ValueError("tga: only 8-bit grey, colour or colour with alpha")
     rows = image if c == 1 else image[:, :, [2, 1, 0, 3][:c]]
     return struct.pack("<BBBHHBHHHHBB", 0, 0, 3 if c == 1 else 2, 0, 0, 0, 0, 0, w, h, 8 * c, 0x20 | (8 if c == 4 else 0)) + np.ascontiguousarray(rows).tobytes()
+
+
+def decode_ico(data: bytes, decode_png: Callable[[bytes], np.ndarray]) -> np.ndarray:
+    """The largest picture of an icon, of equal ones the one of most bits: a PNG, or rows of 24 or 32 bits with a mask below."""
+    zero, kind, n = struct.unpack_from("<HHH", data)
+    if zero or kind != 1 or not n:
+        raise ValueError("ico: header")
+    found = [struct.unpack_from("<BBBBHHII", data, 6 + 16 * i) for i in range(n)]
+    *_, size, at = max(found, key=lambda e: ((e[0] or 256) * (e[1] or 256), e[5]))
+    body = data[at : at + size]
+    if body[:8] == b"\x89PNG\r\n\x1a\n":
+        return decode_png(body)
+    head, w, h, _, bits, packed = struct.unpack_from("<IiiHHI", body)
+    h //= 2  # the mask counts as well
+    if bits not in (24, 32) or packed or w <= 0 or h <= 0 or w * h > MOST_PIXELS:
+        raise ValueError("ico: pixel type")
+    stride, mask_stride = (w * bits // 8 + 3) // 4 * 4, (w + 31) // 32 * 4
+    rows = np.frombuffer(body, np.uint8, stride * h, head).reshape(h, stride)[::-1, : w * bits // 8].reshape(h, w, bits // 8)
+    if bits == 32:
+        return rows[:, :, [2, 1, 0, 3]].copy()
+    mask = np.unpackbits(np.frombuffer(body, np.uint8, mask_stride * h, head + stride * h).reshape(h, mask_stride), axis=1)[::-1, :w]
+    return np.concatenate([rows[:, :, [2, 1, 0]], np.where(mask, 0, 255).astype(np.uint8)[:, :, None]], axis=2)
+
+
+def encode_ico(image: np.ndarray, png: bytes) -> bytes:
+    """One picture, as PNG, of 256 pixels a side at most."""
+    h, w, c = image.shape
+    if max(h, w) > 256:
+        raise ValueError("ico: more than 256 pixels a side")
+    return struct.pack("<HHHBBBBHHII", 0, 1, 1, w % 256, h % 256, 0, 0, 1, 8 * c * image.itemsize, len(png), 22) + png
+
+
+def decode_qoi(data: bytes) -> np.ndarray:
+    """Height x width x 3 or 4."""
+    magic, w, h, channels, _ = struct.unpack_from(">4sIIBB", data)
+    if magic != b"qoif" or channels not in (3, 4) or not w or not h or w * h > MOST_PIXELS:
+        raise ValueError("qoi: header")
+    seen, last, at, out, left = [(0, 0, 0, 0)] * 64, (0, 0, 0, 255), 14, [], w * h
+    while left > 0:
+        op = data[at]
+        at += 1
+        run = 1
+        if op == 0xFE:
+            last = (data[at], data[at + 1], data[at + 2], last[3])
+            at += 3
+        elif op == 0xFF:
+            last = (data[at], data[at + 1], data[at + 2], data[at + 3])
+            at += 4
+        elif op < 0x40:
+            last = seen[op]
+        elif op < 0x80:
+            r, g, b, a = last
+            last = ((r + (op >> 4 & 3) - 2) & 255, (g + (op >> 2 & 3) - 2) & 255, (b + (op & 3) - 2) & 255, a)
+        elif op < 0xC0:
+            r, g, b, a = last
+            green, more = (op & 63) - 32, data[at]
+            at += 1
+            last = ((r + green - 8 + (more >> 4)) & 255, (g + green) & 255, (b + green - 8 + (more & 15)) & 255, a)
+        else:
+            run = (op & 63) + 1
+        seen[(last[0] * 3 + last[1] * 5 + last[2] * 7 + last[3] * 11) % 64] = last
+        out.append(bytes(last) * min(run, left))
+        left -= run
+    return np.frombuffer(b"".join(out), np.uint8).reshape(h, w, 4)[:, :, :channels].copy()
+
+
+def encode_qoi(image: np.ndarray) -> bytes:
+    """Whole colours and runs of equal ones, up to 62 each."""
+    h, w, c = image.shape
+    if image.dtype != np.uint8 or c not in (3, 4):
+        raise ValueError("qoi: only 8-bit colour")
+    flat = image.reshape(-1, c)
+    starts = np.flatnonzero(np.concatenate([[True], np.any(flat[1:] != flat[:-1], axis=1)]))
+    out = [struct.pack(">4sIIBB", b"qoif", w, h, c, 0)]
+    for colour, n in zip(flat[starts], np.diff(np.append(starts, len(flat))).tolist(), strict=True):
+        out.append((b"\xfe" if c == 3 else b"\xff") + colour.tobytes())
+        whole, rest = divmod(n - 1, 62)
+        out.append(b"\xfd" * whole + (bytes([0xC0 | rest - 1]) if rest else b""))
+    return b"".join(out) + bytes(7) + b"\1"

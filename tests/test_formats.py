@@ -152,6 +152,29 @@ def test_tga_plain_and_in_runs():
         codecs.encode(np.zeros((2, 2, 2), np.uint8), "tga")
 
 
+def test_icons():
+    own = picture(17, 9, 4, 3)
+    assert np.array_equal(codecs.decode(codecs.encode(own, "ico"), "ico"), own)
+    with pytest.raises(codecs.Unsupported):
+        codecs.encode(picture(300, 9, 3), "ico")
+    rows = own[::-1, :, [2, 1, 0]].reshape(17, -1)
+    mask = np.packbits(np.pad(own[::-1, :, 3] < 128, ((0, 0), (0, 23))), axis=1).tobytes()
+    body = struct.pack("<IiiHHIIiiII", 40, 9, 34, 1, 24, 0, 0, 0, 0, 0, 0) + np.pad(rows, ((0, 0), (0, 1))).tobytes() + mask
+    small = codecs.encode(own[:4, :4], "png")
+    data = struct.pack("<HHH", 0, 1, 2) + struct.pack("<BBBBHHII", 4, 4, 0, 0, 1, 32, len(small), 38) + struct.pack("<BBBBHHII", 9, 17, 0, 0, 1, 24, len(body), 38 + len(small)) + small + body
+    found = codecs.decode(data, "ico")
+    assert np.array_equal(found[:, :, :3], own[:, :, :3]) and np.array_equal(found[:, :, 3], np.where(own[:, :, 3] < 128, 0, 255))
+
+
+def test_qoi():
+    for c in (3, 4):
+        own = np.concatenate([picture(13, 21, c, 4), np.full((5, 21, c), 9, np.uint8)])
+        assert np.array_equal(codecs.decode(codecs.encode(own, "qoi"), "qoi"), own)
+    steps = bytes([0xFE, 10, 20, 30, 0x40 | 3 << 4 | 2 << 2 | 1, 0x80 | 40, 0x9F, 0xC1, 0xFF, 1, 2, 3, 4, (10 * 3 + 20 * 5 + 30 * 7 + 255 * 11) % 64])
+    data = struct.pack(">4sIIBB", b"qoif", 7, 1, 4, 0) + steps + bytes(7) + b"\1"
+    assert codecs.decode(data, "qoi")[0].tolist() == [[10, 20, 30, 255], [11, 20, 29, 255], [20, 28, 44, 255], [20, 28, 44, 255], [20, 28, 44, 255], [1, 2, 3, 4], [10, 20, 30, 255]]
+
+
 def filtered(rows, kinds, back):
     """Rows with each one's filter, pixel by pixel as the format says."""
     out, above = b"", [0] * rows.shape[1]
