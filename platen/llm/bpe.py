@@ -28,7 +28,7 @@ from platen.llm.common import texts_in_batches
 #: Bytes under the rolling hash; one cut in 2 to so many places; bytes that are hashed at once.
 WINDOW, CUT_BITS, SLAB = 16, 11, 1 << 20
 #: A worker's memory: bytes of kept chunks with their ids, kept words and parts of words, and bytes of the longest of these.
-CHUNK_BYTES, KEPT, LONG_WORD = 24 << 20, 150_000, 64
+CHUNK_BYTES, KEPT, LONG_WORD = 12 << 20, 60_000, 64
 #: Words on each side of a join that are encoded again at first.
 SPAN_WORDS = 2
 

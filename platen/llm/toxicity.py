@@ -20,7 +20,7 @@ TOKEN = re.compile(r"\w+")
 #: Lengths of the prefixes that are features beside the token itself.
 PREFIXES = (3, 4, 5, 6, 7)
 #: Cells (documents times tokens) that are scored at once; tokens whose emissions a worker keeps.
-CELLS, KEPT = 1 << 20, 300_000
+CELLS, KEPT = 1 << 20, 120_000
 
 
 @dataclass(frozen=True)
