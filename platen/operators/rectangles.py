@@ -16,13 +16,12 @@ from platen.operators.grouped import by_group
 FILL_SHARE = 0.25
 #: Decimals that projections are rounded to, so that equal rectangles of several edges tie.
 PLACES = 9
-#: Corners of hulls that a task holds before it hands them on.
-HELD_CORNERS = 500_000
 
 
 def _lower(x: np.ndarray, y: np.ndarray) -> list[int]:
     """Corners of the lower outline of points with ascending, distinct x."""
     kept: list[int] = []
+    x, y = x.tolist(), y.tolist()  # single values are met faster than in an array
     for i in range(len(x)):
         while len(kept) > 1 and (x[kept[-1]] - x[kept[-2]]) * (y[i] - y[kept[-2]]) <= (y[kept[-1]] - y[kept[-2]]) * (x[i] - x[kept[-2]]):
             kept.pop()
@@ -177,35 +176,46 @@ def shape_of(points: np.ndarray, area: int) -> Shape | None:
     return Shape(rectangle_corners(rect), rectangle_corners(_body(rect, points)), float(turn - 180 if turn > 90 else turn), float(FILL_SHARE * fill + (1 - FILL_SHARE) * _side_support(rect, points)))
 
 
+def _streamed_hulls(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Columns (obj, x, low, high), an object's rows together, to (obj, pos, x, y): the hull of each run of rows of one object. Of an object that goes on in the next batch its corners are held."""
+    held: tuple[int, np.ndarray] | None = None
+
+    def rows_of(hulls: list[tuple[int, np.ndarray]]) -> pd.DataFrame:
+        n = [len(h) for _, h in hulls]
+        xy = np.concatenate([np.zeros((0, 2)), *(h for _, h in hulls)])
+        pos = np.arange(len(xy)) - np.repeat(np.cumsum(n) - n, n) if hulls else np.zeros(0, int)
+        return pd.DataFrame({"obj": np.repeat(np.array([obj for obj, _ in hulls], np.int64), n), "pos": pos, "x": xy[:, 0], "y": xy[:, 1]})
+
+    for frame in frames:
+        if not len(frame):
+            continue
+        objs, x, low, high = (frame[c].to_numpy() for c in ("obj", "x", "low", "high"))
+        cuts = [0, *(np.flatnonzero(objs[1:] != objs[:-1]) + 1).tolist(), len(objs)]
+        done = []
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            own = np.stack([np.concatenate([x[i:j]] * 2), np.concatenate([low[i:j], high[i:j]])], axis=1)
+            if held is not None and held[0] == objs[i]:
+                own = np.concatenate([held[1], own])
+            elif held is not None:
+                done.append(held)
+            held = (int(objs[i]), hull_of(own))
+        yield rows_of(done)
+    yield rows_of([] if held is None else [held])
+
+
 def convex_hulls(points: DataFrame) -> DataFrame:
     """Points (obj, x, y) to (obj, pos, x, y): the corners of each object's hull, anticlockwise from the least x and of these the least y.
 
-    A hull of hulls is the hull: each task hands on the corners of what it has read alone, and these meet. So an object's points may be spread over all tasks,
-    and none holds more than a batch of them beside corners. Points on one line have two corners, a single one has one; nulls and NaNs are left out.
+    Only the least and greatest y of each x can be corners, and a hull of hulls is the hull: columns are dealt out by ranges of object and x, each task hands on the corners of
+    what it has read alone, and these meet. So a large object is spread over tasks, a small one is whole in one, and none holds more than a batch of columns beside the corners of one object.
+    Points on one line have two corners, a single one has one; nulls and NaNs are left out.
     """
     known = points.where("obj is not null and x is not null and y is not null").select(F.col("obj").cast("long").alias("obj"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, np.ndarray] = {}
-        for frame in frames:
-            for obj, own in frame.groupby("obj"):
-                more = own[["x", "y"]].to_numpy()
-                held[obj] = hull_of(np.concatenate([held[obj], more]) if obj in held else more)
-            if sum(map(len, held.values())) > HELD_CORNERS:
-                yield rows_of(held)
-                held = {}
-        yield rows_of(held)
-
-    def rows_of(hulls: dict[int, np.ndarray]) -> pd.DataFrame:
-        n, parts = [len(h) for h in hulls.values()], [h for h in hulls.values() if len(h)]
-        xy = np.concatenate(parts) if parts else np.zeros((0, 2))
-        return pd.DataFrame({"obj": np.repeat(np.array(list(hulls), np.int64), n), "x": xy[:, 0], "y": xy[:, 1]})
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        hull = hull_of(frame[["x", "y"]].to_numpy())
-        return pd.DataFrame({"obj": frame["obj"].iloc[0], "pos": np.arange(len(hull)), "x": hull[:, 0], "y": hull[:, 1]})
-
-    return by_group(known.mapInPandas(partial, "obj long, x double, y double"), ["obj"], one, "obj long, pos int, x double, y double")
+    columns = known.where("not isnan(x) and not isnan(y)").groupBy("obj", "x").agg(F.min("y").alias("low"), F.max("y").alias("high"))
+    hulls = "obj long, pos int, x double, y double"
+    parts = columns.repartitionByRange("obj", "x").sortWithinPartitions("obj", "x").mapInPandas(_streamed_hulls, hulls)
+    meet = parts.select("obj", "x", F.col("y").alias("low"), F.col("y").alias("high"))
+    return meet.repartition("obj").sortWithinPartitions("obj", "x").mapInPandas(_streamed_hulls, hulls)
 
 
 def corners(x: str = "ux", y: str = "uy") -> Column:

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +86,21 @@ def test_hulls_of_hulls(spark):
     assert rectangles.convex_hulls(table.where("false")).collect() == []
 
 
+def test_hulls_meet_columns_of_points_in_order(spark, monkeypatch):
+    rows = [(obj, float(x), float(y)) for y in range(30) for x in range(3) for obj in range(200)]
+    plan = rectangles.convex_hulls(spark.createDataFrame(rows, "obj long, x double, y double"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInPandas") < plan.rindex("MapInPandas") < plan.index("rangepartitioning") < plan.index("partial_min")  # points don't reach Python, only their columns
+    made = []
+    monkeypatch.setattr(rectangles, "hull_of", lambda points, own=rectangles.hull_of: made.append(len(points)) or own(points))
+    columns = pd.DataFrame({"obj": np.repeat(np.arange(50), 40), "x": np.tile(np.arange(40.0), 50), "low": np.tile(np.arange(40.0) ** 2, 50), "high": 2000.0})
+    done = pd.concat(list(rectangles._streamed_hulls(iter([columns[:60], columns[:0], columns[60:1990], columns[1990:]]))))
+    assert len(made) == 52 and max(made) < 160  # one each, and one more where an object goes on in the next batch
+    for obj in range(50):
+        own = done[done["obj"] == obj]
+        assert own["pos"].tolist() == list(range(42)) and own["x"].tolist() == [*range(40), 39, 0]
+    assert not len(pd.concat(list(rectangles._streamed_hulls(iter([columns[:0]])))))
+
+
 def test_calipers_reach_what_all_corners_reach():
     for n in (3, 4, 5, 40):
         for _ in range(30):
