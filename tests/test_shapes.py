@@ -1,6 +1,8 @@
 """Borders, hulls, calipers, shapes in one row, overlaps by prefixes, overlays, and radians."""
 
 import math
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -8,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from platen.functions.angles import normalize_orientation
-from platen.operators import masks, objects, overlays, rectangles, textboxes
+from platen.operators import masks, objects, overlays, raster, rectangles, textboxes
 
 RNG = np.random.default_rng(12)
 
@@ -178,3 +180,16 @@ def test_radians(spark):
     found = [r[0] for r in spark.createDataFrame([(v,) for v in values], "a double").select(normalize_orientation(F.col("a"))).collect()]
     for v, got in zip(values, found, strict=True):
         assert -math.pi / 2 < got <= math.pi / 2 + 1e-12 and abs(math.sin(got - v)) < 1e-9
+
+
+def test_turned_values_at_a_half_are_sums_in_row_order():
+    """Where a place lies midway between two columns and columns are equal, values are at a half: they come out as the sum over rows of pixels, tile by tile too."""
+    theta = math.radians(30)
+    u, v = raster.places(theta, np.arange(11) - 8 * math.sin(theta), np.arange(11.0)[:, None])
+    for a in range(0, 250, 3):
+        image = np.tile(np.array([a, a + 1], np.uint8), (8, 4))[..., None]
+        out = raster.warped(image, theta, -8 * math.sin(theta), 0.0, 11, 11, 255)[:, :, 0]
+        for y in (1, 3, 5, 7):
+            p, q = float(u[y, 4]), float(v[y, 4])
+            cells = [(cy, cx) for cy in (int(q), int(q) + 1) for cx in (int(p), int(p) + 1)]
+            assert out[y, 4] == math.floor(reduce(add, (float(image[cy, cx, 0]) * (1 - abs(p - cx)) * (1 - abs(q - cy)) for cy, cx in cells)) + 0.5)  # sum() would correct its rounding
