@@ -193,3 +193,20 @@ def test_turned_values_at_a_half_are_sums_in_row_order():
             p, q = float(u[y, 4]), float(v[y, 4])
             cells = [(cy, cx) for cy in (int(q), int(q) + 1) for cx in (int(p), int(p) + 1)]
             assert out[y, 4] == math.floor(reduce(add, (float(image[cy, cx, 0]) * (1 - abs(p - cx)) * (1 - abs(q - cy)) for cy, cx in cells)) + 0.5)  # sum() would correct its rounding
+
+
+def test_overlaps_in_strips_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(objects, "COUNTED", 50)
+    monkeypatch.setattr(objects, "LAID_OUT", 7)
+    for _ in range(30):
+        n = int(RNG.integers(2, 30))
+        own = RNG.random((n, 5, 9)) < 0.4
+        parts = [masks.runs_of(m) for m in own]
+        of = np.repeat(np.arange(n), [len(p.y) for p in parts])
+        whole = masks.Runs(*(np.concatenate([getattr(p, c) for p in parts]).astype(np.int64) for c in ("y", "left", "right")))
+        for rows in {n, n // 2}:
+            found = {(int(a), int(b)): int(c) for parts_ in objects._overlaps(whole, of, n, rows) for a, b, c in zip(*parts_, strict=True)}
+            assert found == {(a, b): int((own[a] & own[b]).sum()) for a in range(rows) for b in (range(a + 1, n) if rows == n else range(rows, n)) if (own[a] & own[b]).any()}
+    table = spark.createDataFrame([("a", i, 0, i % 3) for i in range(50)], "img string, inst long, y int, x int")
+    plan = objects.instance_iou(table)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan[: plan.index("MapInArrow")] and "Exchange" not in plan[: plan.index("MapInArrow")]  # pairs are neither joined nor shuffled
