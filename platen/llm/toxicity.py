@@ -19,8 +19,8 @@ from platen.llm.simhash import mixed, shingle_set
 TOKEN = re.compile(r"\w+")
 #: Lengths of the prefixes that are features beside the token itself.
 PREFIXES = (3, 4, 5, 6, 7)
-#: Cells (documents times tokens) that are scored at once; tokens whose emissions a worker keeps.
-CELLS, KEPT = 1 << 20, 120_000
+#: Cells (documents times tokens) that are scored at once, and that are fitted at once; tokens whose emissions a worker keeps.
+CELLS, FITTED, KEPT = 1 << 19, 1 << 18, 120_000
 
 
 @dataclass(frozen=True)
@@ -105,6 +105,18 @@ def _first_of_copies(texts: list[str]) -> list[int]:
     return out
 
 
+def _parts(rows: list[tuple]) -> Iterator[list[tuple]]:
+    """Rows in order of their lengths, together up to 256 and within FITTED cells: what the chain holds of a part is a dozen numbers a cell."""
+    part: list[tuple] = []
+    for row in rows:
+        if part and (len(part) == 256 or (len(part) + 1) * row[0] > FITTED):
+            yield part
+            part = []
+        part.append(row)
+    if part:
+        yield part
+
+
 def fit(texts: list[str], toxic: list[int], bounds: Fit = Fit()) -> Model:  # noqa: B008
     """Fit on whole texts with document labels.
 
@@ -117,15 +129,17 @@ def fit(texts: list[str], toxic: list[int], bounds: Fit = Fit()) -> Model:  # no
     for text, label in zip(texts, toxic, strict=True):
         counts[label].update({w.lower() for w in TOKEN.findall(text)})
     by = {label: Counter() for label in counts}
-    for label, tokens in counts.items():
-        for token, n in tokens.items():
+    for label in (1, 0):  # of clean tokens only features count that toxic ones have: all features of all tokens would be the most of the memory
+        for token, n in counts[label].items():
             for f in features(token):
-                by[label][f] += n
+                if label or f in by[1]:
+                    by[label][f] += n
     n1, n0, found = max(1, sizes[1]), max(1, sizes[0]), []
     for f, n in by[1].items():
         ratio = (n + 0.5) / n1 * n0 / (by[0][f] + 0.5)
         if ratio >= bounds.ratio and n * math.log(ratio) >= bounds.evidence:
             found.append((-n * math.log(ratio), f))
+    del by, counts
     chosen = {f: i for i, (_, f) in enumerate(sorted(found))}
     weights, bias, move = np.zeros(len(chosen)), -4.0, np.log(np.array([[0.99, 0.01], [0.8, 0.2]]))
 
@@ -133,19 +147,18 @@ def fit(texts: list[str], toxic: list[int], bounds: Fit = Fit()) -> Model:  # no
     for i in order:
         tokens = [w.lower() for w in TOKEN.findall(texts[i])]
         if tokens and total + len(tokens) <= bounds.field_tokens:
-            active = [[chosen[f] for f in features(w) if f in chosen] for w in tokens]
-            rows.append((len(tokens), active, [int(bool(a) and toxic[i]) for a in active]))
+            active = [(t, chosen[f]) for t, w in enumerate(tokens) for f in features(w) if f in chosen]
+            rows.append((len(tokens), active, sorted({t for t, _ in active}) if toxic[i] else []))
             total += len(tokens)
     rows.sort(key=lambda r: r[0])
     parts = []
-    for at in range(0, len(rows), 256):
-        part = rows[at : at + 256]
-        where = np.array([(r, t, f) for r, (_, active, _) in enumerate(part) for t, a in enumerate(active) for f in a], np.int64).reshape(-1, 3)
+    for part in _parts(rows):
+        where = np.array([(r, t, f) for r, (_, active, _) in enumerate(part) for t, f in active], np.int64).reshape(-1, 3)
         lengths = np.array([r[0] for r in part])
-        labels = np.zeros((len(part), lengths.max()), np.int64)
-        for r, (n, _, y) in enumerate(part):
-            labels[r, :n] = y
-        before = np.concatenate([np.zeros((len(part), 1), np.int64), labels[:, :-1]], axis=1)
+        labels = np.zeros((len(part), lengths.max()), np.int8)
+        for r, (_, _, marked) in enumerate(part):
+            labels[r, marked] = 1
+        before = np.concatenate([np.zeros((len(part), 1), np.int8), labels[:, :-1]], axis=1)
         real = np.arange(labels.shape[1]) < lengths[:, None]
         seen = np.array([[np.sum(real & (before == a) & (labels == b)) for b in (0, 1)] for a in (0, 1)], float)
         parts.append((where, lengths, labels, seen))

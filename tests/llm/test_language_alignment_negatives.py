@@ -330,3 +330,11 @@ def test_toxicity_rows(spark):
     for r in rows:
         said.setdefault(r.doc_id, set()).add(r.score)
     assert all(len(v) == 1 for v in said.values()) and said[2] == said[3] == {0.0} and min(said[4]) > 0.9 > max(said[1])
+
+
+def test_toxicity_is_fitted_in_small_parts():
+    """One long document doesn't make a part of 256 rows as long as itself: what the fit holds is bounded, and nothing is left out."""
+    rows = [(n, [], []) for n in [5] * 600 + [9000] * 70]
+    parts = list(toxicity._parts(rows))
+    assert [r for p in parts for r in p] == rows and max(len(p) * p[-1][0] for p in parts) <= toxicity.FITTED and max(map(len, parts)) == 256
+    assert list(toxicity._parts([(toxicity.FITTED + 1, [], [])])) == [[(toxicity.FITTED + 1, [], [])]]
