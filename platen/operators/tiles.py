@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from platen.operators import graph, masks, raster
 from platen.operators.grouped import by_group
 from platen.sources import codecs
+from platen.sources.batches import batched
 from platen.sources.scratch import kept
 
 #: Side of a tile.
@@ -30,7 +31,7 @@ def cut_files(files: DataFrame, side: int = SIDE) -> DataFrame:
     a row with an error and no pixels, after such tiles as came before the fault; null content is such a file.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for i in range(batch.num_rows):
                 path, content, form = (batch.column(c)[i].as_py() for c in range(3))
@@ -39,12 +40,11 @@ def cut_files(files: DataFrame, side: int = SIDE) -> DataFrame:
                     for ty, band in enumerate(codecs.bands(content, form, side)):
                         for tx in range(-(-width // side)):
                             part = band[:, tx * side : (tx + 1) * side]
-                            row = {"path": path, "ty": ty, "tx": tx, "width": width, "height": height, "channels": part.shape[2], "depth": 8 * part.itemsize, "data": part.astype(f"<u{part.itemsize}").tobytes()}
-                            yield pa.RecordBatch.from_pylist([row], _TILE_SCHEMA)
+                            yield {"path": path, "ty": ty, "tx": tx, "width": width, "height": height, "channels": part.shape[2], "depth": 8 * part.itemsize, "data": part.astype(f"<u{part.itemsize}").tobytes()}
                 except codecs.Unsupported as e:
-                    yield pa.RecordBatch.from_pylist([{"path": path, "error": str(e)}], _TILE_SCHEMA)
+                    yield {"path": path, "error": str(e)}
 
-    return files.select("path", "content", "format").mapInArrow(run, TILES)
+    return files.select("path", "content", "format").mapInArrow(lambda batches: batched(cut(batches), _TILE_SCHEMA), TILES)
 
 
 def tile_of(row: dict, side: int) -> np.ndarray:
@@ -173,6 +173,8 @@ def tiff_files(pictures: DataFrame, side: int = SIDE) -> DataFrame:
 
 # --- labelling ---
 
+#: Runs of tiles beyond which a batch is handed on.
+RUNS = 50_000
 _RUNS = "path string, ty int, tx int, y int, left int, right int, label long"
 
 
@@ -184,14 +186,19 @@ def local_runs(tiles: DataFrame, cutoff: int, side: int = SIDE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            done: list[list] = [[] for _ in range(7)]
             for i in range(batch.num_rows):
                 r = {c: batch.column(n)[i].as_py() for n, c in enumerate(batch.schema.names)}
                 own = masks.runs_of(tile_of(r, side)[:, :, 0] >= cutoff)
                 first = masks.components(own)
                 y, left, right = own.y + r["ty"] * side, own.left + r["tx"] * side, own.right + r["tx"] * side
                 label = (y[first] * r["width"] + left[first]).astype(np.int64)
-                columns = [pa.array([r["path"]] * len(y), pa.string()), *(pa.array(np.full(len(y), r[k]), pa.int32()) for k in ("ty", "tx")), *(pa.array(v.astype(np.int32)) for v in (y, left, right)), pa.array(label)]
-                yield pa.RecordBatch.from_arrays(columns, ["path", "ty", "tx", "y", "left", "right", "label"])
+                for held, v in zip(done, ([r["path"]] * len(y), *(np.full(len(y), r[k], np.int32) for k in ("ty", "tx")), *(v.astype(np.int32) for v in (y, left, right)), label), strict=True):
+                    held.append(v)
+                if i + 1 == batch.num_rows or sum(map(len, done[0])) > RUNS:
+                    columns = [pa.array([p for own in done[0] for p in own], pa.string()), *(pa.array(np.concatenate(v)) for v in done[1:])]
+                    yield pa.RecordBatch.from_arrays(columns, ["path", "ty", "tx", "y", "left", "right", "label"])
+                    done = [[] for _ in range(7)]
 
     good = tiles.where("error is null and data is not null").select("path", "ty", "tx", "width", "height", "channels", "depth", "data")
     return good.mapInArrow(run, _RUNS)

@@ -18,6 +18,7 @@ from platen.operators import crops, masks, overlays, raster, rectangles, textbox
 from platen.operators.models import Models, ask_orientation, detect_text, extract_masks
 from platen.options import Options
 from platen.sources import codecs, outputs
+from platen.sources.batches import batched
 from platen.sources.images import pixels_of
 from platen.sources.scratch import broadcast_if, kept
 
@@ -57,7 +58,7 @@ def objects_of_images(images: DataFrame, mask_rows: DataFrame, options: Options
     grouped = mask_rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("mask_no", "width", "height", "data"))).alias("masks"))
     joined = images.select("path", "width", "height", "error").join(grouped, "path", "left")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for i in range(batch.num_rows):
                 path, width, height, error, given = (batch.column(c)[i].as_py() for c in range(5))
@@ -79,9 +80,9 @@ def objects_of_images(images: DataFrame, mask_rows: DataFrame, options: Options
                     error = str(e)
                 if error is not None:
                     rows = [{"path": path, "error": error}]
-                yield pa.RecordBatch.from_pylist(rows, _OBJECT_SCHEMA)
+                yield from rows
 
-    found = joined.mapInArrow(run, OBJECTS.replace(" obj long,", ""))
+    found = joined.mapInArrow(lambda batches: batched(told(batches), _OBJECT_SCHEMA), OBJECTS.replace(" obj long,", ""))
     return found.withColumn("obj", F.xxhash64("path", "obj_idx")).select(*(c.split(" ")[0] for c in OBJECTS.replace("struct<x:int,y:int>", "").replace("struct<y:int,left:int,right:int>", "").split(", ")))
 
 
@@ -176,7 +177,7 @@ def render(images: DataFrame, planned: DataFrame, options: Options = Options(),
     joined = images.select("path", "format", "width", "height", "channels", "depth", "data", F.col("error").alias("failed"), given["format"].alias("out_format"), given["error"].alias("refused")).join(rows, "path")
     schema = pa.schema([("path", pa.string()), ("obj_idx", pa.int32()), ("out_w", pa.int32()), ("out_h", pa.int32()), ("content", pa.binary()), ("failure", pa.string())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(n)[i].as_py() for n, c in enumerate(batch.schema.names)}
@@ -189,9 +190,9 @@ def render(images: DataFrame, planned: DataFrame, options: Options = Options(),
                             out |= {"out_w": done.shape[1], "out_h": done.shape[0], "content": codecs.encode(done, row["out_format"])}
                         except (codecs.Unsupported, ValueError) as e:
                             out["failure"] = str(e)
-                    yield pa.RecordBatch.from_pylist([out], schema)
+                    yield out
 
-    done = joined.mapInArrow(run, "path string, obj_idx int, out_w int, out_h int, content binary, failure string").withColumnRenamed("path", "own_path").withColumnRenamed("obj_idx", "own_idx")
+    done = joined.mapInArrow(lambda batches: batched(drawn(batches), schema), "path string, obj_idx int, out_w int, out_h int, content binary, failure string").withColumnRenamed("path", "own_path").withColumnRenamed("obj_idx", "own_idx")
     paths = images.select("path", outputs.plan(F.col("path"), F.col("format"), F.lit(options.alpha), F.lit(options.allow_lossy), None if output is None else F.lit(output), None if output_dir is None else F.lit(output_dir), output_dir is not None)["base"].alias("base"), given["format"].alias("format"))
     both = planned.drop("runs").join(done, (F.col("path") == F.col("own_path")) & F.col("obj_idx").eqNullSafe(F.col("own_idx"))).drop("own_path", "own_idx").join(paths, "path")
     failed = F.coalesce("error", "failure")

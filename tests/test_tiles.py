@@ -69,3 +69,14 @@ def test_connected_groups(spark):
             up[high] = low
     assert {r.node: r.root for r in graph.connected(spark.createDataFrame(links, "a long, b long")).collect()} == {x: top(x) for x in list(up)}
     assert graph.connected(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_small_rows_share_batches():
+    import pyarrow as pa
+
+    from platen.sources import batches
+
+    schema = pa.schema([("path", pa.string()), ("data", pa.binary())])
+    rows = [{"path": str(i), "data": b"x" * 27} for i in range(1200)] + [{"path": "large", "data": bytes(batches.BYTES)}, {"path": "last", "data": None}]
+    made = list(batches.batched(iter(rows), schema))
+    assert [b.num_rows for b in made] == [512, 512, 177, 1] and [r for b in made for r in b.to_pylist()] == rows
