@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platen.llm.common import texts_in_batches
+from platen.llm.common import sparing, texts_in_batches
 
 #: Bytes under the rolling hash; one cut in 2 to so many places; bytes that are hashed at once.
-WINDOW, CUT_BITS, SLAB = 16, 11, 1 << 20
+WINDOW, CUT_BITS, SLAB = 16, 11, 1 << 16
 #: A worker's memory: bytes of kept chunks with their ids, kept words and parts of words, and bytes of the longest of these.
 CHUNK_BYTES, KEPT, LONG_WORD = 12 << 20, 60_000, 64
 #: Words on each side of a join that are encoded again at first.
@@ -285,12 +285,17 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The encoder of this Python process; it lives as long as the worker, over all its tasks."""
+    """The encoder of this Python process; it lives as long as the worker serves no other operator, over all its tasks."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
+def forget() -> None:
+    _encoders.clear()
+    _powers.clear()
+
+
 def encode(docs: DataFrame, path: str, *, with_decoded: bool = False) -> DataFrame:
     """(doc_id, ids): ids is binary, little-endian unsigned 32-bit integers; a row for each row of docs (doc_id, text).
 
@@ -313,7 +318,7 @@ def encode(docs: DataFrame, path: str, *, with_decoded: bool = False) -> DataFra
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, ids binary" + ", decoded string" * with_decoded
-    return texts_in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    return texts_in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(sparing(run, forget), schema)
 
 
 def _decoded(enc: Encoder, ids: list[bytes]) -> list[str]:
@@ -329,4 +334,4 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(_decoded(encoder(path), part.column(1).to_pylist()), pa.string())], ["doc_id", "ids", "decoded"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded string")
+    return tokens.select("doc_id", "ids").mapInArrow(sparing(run, forget), "doc_id long, ids binary, decoded string")

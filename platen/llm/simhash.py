@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platen.llm.common import fits, small, written
+from platen.llm.common import fits, small, sparing, written
 from platen.llm.components import connected_components
 
 BITS = 64
@@ -43,6 +43,10 @@ _words: dict[bytes, int] = {}
 KEPT_WORDS = 300_000
 
 
+def forget() -> None:
+    _words.clear()
+
+
 def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     """The sorted set of a text's shingles of k words as 64-bit hashes: of the whole sequence if it is shorter; none without words.
 
@@ -130,7 +134,7 @@ def fingerprints(docs: DataFrame, k: int = 3, words: int = 1) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(words))], ["doc_id", *names(words)])
 
     schema = ", ".join(["doc_id long", *(f"{w} long" for w in names(words))])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(sparing(run, forget, keeps=False), schema)
 
 
 @dataclass(frozen=True)
@@ -379,7 +383,7 @@ def compared(ready: DataFrame, kernel: Callable[..., pa.RecordBatch], schema: st
         if held:
             yield from flush(True)
 
-    return ready.mapInArrow(run, schema)
+    return ready.mapInArrow(sparing(run, forget, keeps=False), schema)
 
 
 def links(fps: DataFrame, search: Search, block_rows: int = 8192, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -451,7 +455,7 @@ def sketches(docs: DataFrame, k: int, search: Search) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.binary()), *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(len(columns)))], ["doc_id", "rid", "digest", *columns])
 
     schema = ", ".join(["doc_id long", "rid long", "digest binary", *(f"{c} long" for c in columns)])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("rid"), F.col("text").cast("binary").alias("text")).mapInArrow(sparing(run, forget, keeps=False), schema)
 
 
 def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
@@ -471,7 +475,7 @@ def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
                     hashes = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
                     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), hashes], ["node", "hashes"])
 
-    return texts.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, hashes array<long>").dropDuplicates(["node"])
+    return texts.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(sparing(run, forget, keeps=False), "node long, hashes array<long>").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, part_rows: int = 256, broadcast_rows: int = 1_000_000) -> DataFrame:

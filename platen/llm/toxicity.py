@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platen.llm.common import texts_in_batches, within
+from platen.llm.common import few, sparing, texts_in_batches, within
 from platen.llm.simhash import mixed, shingle_set
 
 TOKEN = re.compile(r"\w+")
@@ -194,7 +194,7 @@ def sample(docs: DataFrame, labels: DataFrame, bounds: Fit = Fit()) -> tuple[lis
     chosen = [(ranked[i].doc_id, ranked[i].rid, ranked[i].toxic) for i in within([r.size for r in ranked], bounds.max_bytes)]
     if not chosen:
         return [], []
-    named = docs.sparkSession.createDataFrame(chosen, "id long, rid long, toxic int")
+    named = few(docs.sparkSession, chosen, pa.schema([("id", pa.int64()), ("rid", pa.int64()), ("toxic", pa.int32())]))
     rows = docs.select("doc_id", "text").join(F.broadcast(named), (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("rid"))).select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: ((r.doc_id * 0x9E3779B97F4A7C15) & 0xFFFFFFFF, r.doc_id))
     return [r.text for r in rows], [int(r.toxic > 0) for r in rows]
@@ -238,7 +238,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                             spans[i] = _spans(texts[i], hot.tolist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["doc_id", "score", "spans"])
 
-    return texts_in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, spans array<struct<start:int,end:int>>")
+    return texts_in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sparing(run), "doc_id long, score double, spans array<struct<start:int,end:int>>")
 
 
 def _packs(sizes: list[int]) -> Iterator[list[int]]:

@@ -113,3 +113,42 @@ def test_only_exact_similarity_of_four_fifths_makes_copies(spark, tmp_path):
     near = lambda a, b: len(shingles(texts[a]) & shingles(texts[b])) >= 0.8 * len(shingles(texts[a]) | shingles(texts[b]))
     expected = {b for b in range(len(texts)) if not any(near(a, b) for a in range(b))}
     assert kept == expected and len(expected) == 101
+
+
+def test_the_sample_of_toxicity_starts_no_python_workers(spark, monkeypatch):
+    made, plain = [], type(spark).createDataFrame
+
+    def noted(self, *a, **b):
+        made.append(plain(self, *a, **b))
+        return made[-1]
+
+    docs = plain(spark, [(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    labels = plain(spark, [(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    monkeypatch.setattr(type(spark), "createDataFrame", noted)
+    texts, toxic = importlib.import_module("platen.llm.toxicity").sample(docs, labels)
+    assert len(texts) > 20 and [int(t.split()[1]) % 2 for t in texts] == toxic
+    assert made and all("LogicalRDD" not in d._jdf.queryExecution().optimizedPlan().toString() for d in made)
+
+
+def test_a_worker_drops_what_the_operator_before_has_kept():
+    common, simhash = importlib.import_module("platen.llm.common"), importlib.import_module("platen.llm.simhash")
+    same = common.sparing(lambda batches: batches, bpe.forget)
+    assert list(same(iter([1, 2]))) == [1, 2]
+    kept = bpe.encoder(queries.tokenizer_path("word_bpe_49k.json"))
+    assert list(same(iter([]))) == [] and bpe.encoder(queries.tokenizer_path("word_bpe_49k.json")) is kept
+    assert list(common.sparing(lambda batches: batches, simhash.forget)(iter([3]))) == [3] and not bpe._encoders
+    assert len(simhash.shingle_set(b"some words of a text", 2)) == 4 and simhash._words
+    assert list(common.sparing(lambda batches: batches)(iter([4]))) == [4] and not simhash._words
+    shingled = common.sparing(lambda batches: (simhash.shingle_set(x, 2) for x in batches), simhash.forget, keeps=False)
+    assert [len(x) for x in shingled(iter([b"three more words"]))] == [2] and not simhash._words
+
+
+def test_cuts_do_not_depend_on_slabs(monkeypatch):
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdefgh \n") for _ in range(200_000)).encode()
+    own = bpe.cuts(text)
+    bpe.forget()
+    monkeypatch.setattr(bpe, "SLAB", 1 << 20)
+    whole = bpe.cuts(text)
+    bpe.forget()
+    assert own == whole and len(own) > 30
