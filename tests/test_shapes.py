@@ -210,3 +210,38 @@ def test_overlaps_in_strips_and_parts(spark, monkeypatch):
     table = spark.createDataFrame([("a", i, 0, i % 3) for i in range(50)], "img string, inst long, y int, x int")
     plan = objects.instance_iou(table)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan[: plan.index("MapInArrow")] and "Exchange" not in plan[: plan.index("MapInArrow")]  # pairs are neither joined nor shuffled
+
+
+def test_overlaps_of_crowded_pieces_are_added_up(spark, monkeypatch):
+    import duckdb
+
+    called, added = [], objects._added
+    monkeypatch.setattr(objects, "_added", lambda *a: called.append(a[0].dtype) or added(*a))
+    for wide, kind in ((30, np.uint8), (400, np.uint16)):
+        n = 40
+        own = np.zeros((n, 3, wide), bool)
+        for m in own:
+            for y in range(3):
+                low = int(RNG.integers(0, wide))
+                m[y, low : low + int(RNG.integers(1, wide))] = True
+        parts = [masks.runs_of(m) for m in own]
+        of = np.repeat(np.arange(n), [len(p.y) for p in parts])
+        whole = masks.Runs(*(np.concatenate([getattr(p, c) for p in parts]).astype(np.int64) for c in ("y", "left", "right")))
+        for rows in (n, n // 2, 1):
+            wanted = {(a, b): int((own[a] & own[b]).sum()) for a in range(rows) for b in (range(a + 1, n) if rows == n else range(rows, n)) if (own[a] & own[b]).any()}
+            for laid_out, bound in ((1 << 20, 1 << 20), (100, 1 << 20), (1 << 20, 0)):  # in one strip, in several, laid out
+                monkeypatch.setattr(objects, "LAID_OUT", laid_out)
+                monkeypatch.setattr(objects, "ADDED", bound)
+                before = len(called)
+                found = {(int(a), int(b)): int(c) for parts_ in objects._overlaps(whole, of, n, rows) for a, b, c in zip(*parts_, strict=True)}
+                assert found == wanted and called[before:] == [kind] * (bound > 0)
+    monkeypatch.undo()
+    monkeypatch.setattr(objects, "CELL", 8)
+    table = spark.createDataFrame([("a", i, 0, x) for i in range(60) for x in range(i % 7, i % 7 + 1 + i % 5)], "img string, inst long, y int, x int")
+    pairs = objects.instance_iou(table, places=6)
+    assert pairs.rdd.getNumPartitions() == 2 * 8 * 9 / 2  # the cells of eight blocks aren't put together for being small
+    said = duckdb.sql("SELECT i, u, round(i / u, 6) AS iou FROM range(1, 130) a(i), range(1, 700) b(u) WHERE i <= u").fetchall()
+    assert objects._rounded(np.array([i / u for i, u, _ in said]), 6).tolist() == [r for _, _, r in said]
+    pixels = {i: set(range(i % 7, i % 7 + 1 + i % 5)) for i in range(60)}
+    round_of = {(i, u): r for i, u, r in said}
+    assert {(r.a, r.b): r.iou for r in pairs.collect()} == {(a, b): round_of[len(pixels[a] & pixels[b]), len(pixels[a] | pixels[b])] for a in pixels for b in pixels if a < b and pixels[a] & pixels[b]}
